@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from skein.llm.licenses import op6_licenses
+from skein.llm.minhash import op9_near_duplicates
 from skein.llm.packing import op10_pack
 from skein.llm.token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op6_licenses": op6_licenses,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
 }
 ORACLE_SQL: dict[str, str] = {}
