@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
 from skein.llm.minhash import op9_near_duplicates
 from skein.llm.packing import op10_pack
@@ -9,6 +10,7 @@ from skein.llm.token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_near_vectors": op2_near_vectors,
     "op6_licenses": op6_licenses,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
