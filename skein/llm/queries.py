@@ -6,11 +6,13 @@ from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
 from skein.llm.minhash import op9_near_duplicates
 from skein.llm.packing import op10_pack
+from skein.llm.suffix_dedup import op3_repeats
 from skein.llm.token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_near_vectors": op2_near_vectors,
+    "op3_repeats": op3_repeats,
     "op6_licenses": op6_licenses,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
