@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
+from skein.llm.line_dedup import OP4_SQL, op4_line_dedup
 from skein.llm.minhash import op9_near_duplicates
 from skein.llm.packing import op10_pack
 from skein.llm.suffix_dedup import op3_repeats
@@ -13,8 +14,11 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_near_vectors": op2_near_vectors,
     "op3_repeats": op3_repeats,
+    "op4_line_dedup": op4_line_dedup,
     "op6_licenses": op6_licenses,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
