@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.llm.decontaminate import op5_decontaminate
 from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
 from skein.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_near_vectors": op2_near_vectors,
     "op3_repeats": op3_repeats,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
