@@ -10,6 +10,7 @@ from skein.llm.minhash import op9_near_duplicates
 from skein.llm.packing import op10_pack
 from skein.llm.suffix_dedup import op3_repeats
 from skein.llm.token_store import op1_token_store
+from skein.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
+    "op7_toxicity": op7_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
 }
