@@ -11,6 +11,7 @@ from skein.llm.packing import op10_pack
 from skein.llm.suffix_dedup import op3_repeats
 from skein.llm.token_store import op1_token_store
 from skein.llm.toxicity import op7_toxicity
+from skein.llm.warc_audit import op8_fixity_audit
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_licenses": op6_licenses,
     "op7_toxicity": op7_toxicity,
+    "op8_fixity_audit": op8_fixity_audit,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
 }
