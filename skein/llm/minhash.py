@@ -8,8 +8,8 @@ Documents with equal sets form one class, and only one of each class takes part
   overlap far less than they must (five standard deviations; for sets no larger than the sketch the
   bound is exact). Value frequencies count all documents. The few values that are in very many lists
   are told by a broadcast table whose size is bounded by the ratio that makes a value frequent.
-* Pairs are not enumerated within a list. In a few rounds every document is compared with one member
-  of each of its lists and joins the component of the best match. What is left are pairs between
+* Pairs are not enumerated within a list. In a few rounds each list names one member, and every document
+  is compared with the member that most of its lists name and joins its component if they match. What is left are pairs between
   different components; they are compared block by block inside tasks.
 * Estimation: the bottom-k of the union, made from both sketches, estimates the Jaccard similarity;
   pairs well below the threshold go no further.
@@ -36,10 +36,11 @@ from skein.llm.storage import saved
 
 SKETCH_K = 64
 INDEX_K = 32
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 #: A value in more than this share of all list entries is frequent; there are at most FREQUENT_PARTS such values.
 FREQUENT_PARTS = 20_000
 BLOCK_ROWS = 1024
+FAMILY_ROWS = 512
 SKETCHED = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
 
@@ -124,8 +125,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle_words: int, percent:
             left, right = ([h for _, _, o, d in textscan.chunks(batch[c]) for h in shingle_sets(o, d, shingle_words)] for c in ("ta", "tb"))
             keep = np.zeros(rows, dtype=bool)
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+                keep[i] = _similar(x, y, percent)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
@@ -135,7 +135,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle_words: int, percent:
 def crossing_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, *, percent: int, sketch_k: int, cut: float) -> DataFrame:
     """Pairs (a, b) that share a list, lie in different components and pass the estimate.
 
-    Lists are cut into blocks, and each pair of blocks is compared in one task; only what passes leaves it.
+    Lists are cut into blocks, and each pair of blocks is compared in one task; only what passes leaves
+    it, and only from the list with the smallest value that both documents are in.
     """
     mixed = lists.join(labels, "doc_id")
     several = mixed.groupBy("value").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi").select("value")
@@ -144,23 +145,29 @@ def crossing_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, *, perc
     mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mixed = mixed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component_id")
-    mixed = mixed.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    values = lists.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
+    mixed = mixed.join(reps.select("doc_id", "n_shingles", "sketch").join(values, "doc_id"), "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = pa.Table.from_batches(list(batches)).combine_chunks()
-        i, j = batch["i"][0].as_py(), batch["j"][0].as_py()
-        own, ids = batch["own"].to_numpy(), batch["doc_id"].to_numpy()
-        component, n = batch["component_id"].to_numpy(), batch["n_shingles"].to_numpy()
-        sketch = batch["sketch"].combine_chunks()
-        bounds, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
-        sketches = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
+        own, ids, component, n = (table[c].to_numpy() for c in ("own", "doc_id", "component_id", "n_shingles"))
+        sketches, flat, heads = _ragged(table["sketch"])
+        listed, flat_listed, heads_listed = _ragged(table["listed"])
+        size = np.array([len(x) for x in sketches])
+        labels, at, counts = np.unique(component, return_inverse=True, return_counts=True)
+        largest = at == counts.argmax()
         found_a, found_b = [], []
-        for x in range(len(ids)):
-            if own[x] != i:
+        # every pair between components has a member outside the largest one
+        for x in np.flatnonzero(~largest):
+            near = (component != component[x]) & (largest | (ids > ids[x])) & (100 * n >= percent * n[x]) & (100 * n[x] >= percent * n)
+            if i != j:
+                near &= own != own[x]
+            if not near.any():
                 continue
-            near = (own == j) & (component != component[x]) & (100 * n >= percent * n[x]) & (100 * n[x] >= percent * n)
-            if i == j:
-                near &= ids > ids[x]
+            near &= np.add.reduceat(_inside(sketches[x], flat), heads) >= cut * np.maximum(size, size[x])
+            if near.any():
+                near &= ~np.logical_or.reduceat(_inside(listed[x], flat_listed) & (flat_listed < value), heads_listed)
             for y in np.flatnonzero(near):
                 union = np.union1d(sketches[x], sketches[y])[:sketch_k]
                 shared = np.intersect1d(sketches[x], sketches[y], assume_unique=True)
@@ -172,6 +179,51 @@ def crossing_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, *, perc
     return mixed.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _ragged(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(each list, all their values, where each list begins); no list is empty."""
+    column = column.combine_chunks()
+    bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], values[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0]
+
+
+def _inside(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def confirmed_in_families(pairs: DataFrame, texts: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
+    """Like ``confirmed``, for many pairs among few documents: a text goes to each block once, not to each pair.
+
+    A family is a component of the pairs; large families are cut into blocks of FAMILY_ROWS documents.
+    """
+    families = saved(connected_components(pairs), "families")
+    sizes = families.groupBy("component_id").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
+    members = saved(families.join(sizes, "component_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
+    block = lambda name: members.select(F.col("node").alias(name), F.col("component_id").alias("family"), F.col("own").alias(f"block_{name}"))
+    dealt = pairs.join(block("a"), "a").join(members.select(F.col("node").alias("b"), F.col("own").alias("block_b")), "b")
+    dealt = dealt.select("family", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select(F.col("component_id").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("doc_id"))
+    spread = spread.join(texts, "doc_id").select("family", "i", "j", "doc_id", "text")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left["a"].to_numpy(), left["b"].to_numpy()
+        keep = np.zeros(len(a), dtype=bool)
+        if len(a):
+            found = (h for _, _, o, d in textscan.chunks(right["text"]) for h in shingle_sets(o, d, shingle_words))
+            sets = dict(zip(right["doc_id"].to_pylist(), found, strict=True))
+            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                keep[k] = _similar(sets[x], sets[y], percent)
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    keys = ["family", "i", "j"]
+    return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(check, "a long, b long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -203,16 +255,17 @@ def near_duplicates(
         order = F.xxhash64(F.lit(k), "doc_id")
         heads = marked.groupBy("value").agg(F.min(F.struct(order.alias("o"), "doc_id", "component_id")).alias("head"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
         heads = heads.where("lo != hi").select("value", F.col("head.doc_id").alias("b"), F.col("head.component_id").alias("other"))
-        pairs = marked.join(heads, "value").where("component_id != other").select(F.col("doc_id").alias("a"), "b").distinct()
+        # of the members met, the one in most of a document's lists
+        votes = marked.join(heads, "value").where("component_id != other").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("votes"))
+        pairs = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         guess = estimated(pairs, reps, sketch_k).where((F.col("estimate") >= cut) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        best = guess.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        found = saved(confirmed(best, texts, shingle_words=shingle_words, percent=percent), "star-links")
+        found = saved(confirmed(guess.select("a", "b"), texts, shingle_words=shingle_words, percent=percent), "star-links")
         links = found if links is None else links.union(found)
         components = saved(connected_components(links), "components")
         labels = listed.join(components, listed.doc_id == components.node, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
         labels = saved(labels, "labels")
-    crossing = crossing_pairs(lists, reps, labels, percent=percent, sketch_k=sketch_k, cut=cut)
-    found = saved(confirmed(crossing, texts, shingle_words=shingle_words, percent=percent), "cross-links")
+    crossing = saved(crossing_pairs(lists, reps, labels, percent=percent, sketch_k=sketch_k, cut=cut), "crossing")
+    found = saved(confirmed_in_families(crossing, texts, shingle_words=shingle_words, percent=percent), "cross-links")
     # one link for each member of a component found so far, and the links between components
     stars = labels.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     components = connected_components(stars.union(found))
@@ -222,5 +275,14 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose document is kept; of equal rows one."""
+    marked = near_duplicates(docs, **options)
+    kept = marked.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    told = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").withColumn("_text", F.xxhash64("text"))
+    unnamed = docs.where("doc_id is null")
+    return told.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).union(unnamed)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2, percent=80)

@@ -39,6 +39,7 @@ WIDTH = 50
 GRAM = 20
 #: Text in a block, and in what a task gets to compare; hash ranges follow from the number of blocks.
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 LEAST_BUCKETS, MOST_BUCKETS = 64, 65_536
 _WORDS = 8  # words of eight bytes that a direct sort looks at
 
@@ -55,14 +56,9 @@ def two_stage_suffix_array(text: np.ndarray, depth_words: int = _WORDS) -> np.nd
         return np.zeros(0, dtype=np.int64)
     # type of i: text[i] < text[j] at the next place j with another byte; the end is smaller than all
     change = np.flatnonzero(text[1:] != text[:-1])
-    run = np.searchsorted(change, np.arange(n), side="left")
     rises = np.append(text[change + 1] > text[change], False)
-    small = rises[run]
-    word = np.zeros(n + 8 * depth_words, dtype=np.uint64)
-    padded = np.zeros(n + 8 * depth_words + 8, dtype=np.uint64)
-    padded[:n] = text
-    for k in range(8):
-        word |= padded[k : k + len(word)] << np.uint64(56 - 8 * k)
+    small = np.repeat(rises, np.diff(np.concatenate([[-1], change, [n - 1]])))
+    word = _words(text, n + 8 * depth_words)
     # direct sort: by the first word, then tied groups by the next one
     order = np.flatnonzero(small)
     order = order[np.argsort(word[order], kind="stable")]
@@ -118,14 +114,20 @@ def two_stage_suffix_array(text: np.ndarray, depth_words: int = _WORDS) -> np.nd
     return np.concatenate(out)
 
 
+def _words(text: np.ndarray, n: int) -> np.ndarray:
+    """The eight bytes from each of the first ``n`` places, as numbers in byte order; zeros follow the text."""
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[: len(text)] = text
+    word = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        word |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return word
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """For each suffix in order but the first: does it share ``width`` bytes with the one before it?"""
     words, rest = divmod(width, 8)
-    padded = np.zeros(len(text) + width + 8, dtype=np.uint64)
-    padded[: len(text)] = text
-    word = np.zeros(len(text) + width, dtype=np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(word)] << np.uint64(56 - 8 * k)
+    word = _words(text, len(text) + width)
     a, b = order[:-1], order[1:]
     same = np.ones(len(a), dtype=bool)
     for k in [8 * i for i in range(words)] + ([width - 8] if rest else []):
@@ -215,10 +217,10 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _segments(offsets: np.ndarray, data: np.ndarray, width: int, gram: int) -> Iterator[tuple]:
-    """(first row, offset of the piece, segments) of a block's texts, some megabytes at a time."""
+    """Segments of a block's texts (rows, first and last strings, minimisers), a piece at a time."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + textscan.CHUNK_BYTES, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE_BYTES, side="right")) - 1)
         a, b = int(offsets[lo]), int(offsets[hi])
         row, first, last, least = minimizers(data[a:b], offsets[lo : hi + 1] - a, width, gram)
         yield row + lo, first + a, last + a, least
@@ -242,7 +244,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
     ``spans`` holds (row in block, from byte, to byte) as 64-bit integers, in ascending order, merged.
     """
     blocks = saved(pack_blocks(docs, block_bytes), "blocks")
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * blocks.count())))
+    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * blocks.count())))
     step = np.uint64((1 << 64) // buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,75 +260,92 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
             heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             twice = np.maximum.reduceat(o, heads) != np.minimum.reduceat(o, heads)
             h = h[heads]
-            bucket = np.minimum(h // step, np.uint64(buckets - 1)).astype(np.int64)
+            bucket = bucket_of(h)
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             ends = [*cuts[1:].tolist(), len(h)]
+            low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PRINT_BYTES]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket[cuts].astype(np.int32)),
                     pa.array(np.full(len(cuts), item["block"])),
-                    pa.array([h[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary()),
+                    pa.array([low[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary()),
                     pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary()),
                 ],
-                names=["bucket", "block", "hashes", "twice"],
+                names=["bucket", "block", "prints", "twice"],
             )
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Send back to each block those of its minimisers that another document also has."""
-        senders, hashes, twice = [], [], []
+        senders, prints, twice, bucket = [], [], [], 0
         for item in _rows(batches):
+            bucket = item["bucket"]
             senders.append(item["block"])
-            hashes.append(np.frombuffer(item["hashes"], dtype=np.uint64))
-            twice.append(np.unpackbits(np.frombuffer(item["twice"], dtype=np.uint8), count=len(hashes[-1])).astype(bool))
-        every = np.concatenate(hashes)
+            prints.append(_prints(item["prints"]))
+            twice.append(np.unpackbits(np.frombuffer(item["twice"], dtype=np.uint8), count=len(prints[-1])).astype(bool))
+        every = np.concatenate(prints)
         ordered = np.sort(every)
         common = np.union1d(ordered[1:][ordered[1:] == ordered[:-1]], every[np.concatenate(twice)])
         out = []
-        for block, h in zip(senders, hashes, strict=True):
-            at = np.searchsorted(common, h)
-            at[at == len(common)] = 0
-            kept = h[common[at] == h] if len(common) else h[:0]
+        for block, own in zip(senders, prints, strict=True):
+            kept = own[_member(common, own)]
             if len(kept):
-                out.append((block, kept.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "hashes"])
-
-    sent = blocks.select("block", "offsets", "ids", "packed").mapInArrow(send, "bucket int, block long, hashes binary, twice binary")
-    answers = saved(sent.groupBy("bucket").applyInArrow(share, "block long, hashes binary"), "shared-minimisers")
+                out.append((block, kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PRINT_BYTES].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "prints"])
+
+    def bucket_of(hashes: np.ndarray) -> np.ndarray:
+        return np.minimum(hashes // step, np.uint64(buckets - 1)).astype(np.int64)
+
+    sent = blocks.mapInArrow(send, "bucket int, block long, prints binary, twice binary")
+    answers = saved(sent.groupBy("bucket").applyInArrow(share, "block long, bucket int, prints binary"), "shared-minimisers")
+    # copies of one text: all strings of all but the first are repeats, and the first stands for them
+    texts = blocks.mapInArrow(_digests, "block long, row int, doc_id long, digest binary")
+    firsts = saved(texts.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1"), "text-classes")
+    repeats = texts.join(firsts, "digest").where("doc_id > first_id").groupBy("block").agg(F.collect_list("row").alias("repeats"))
     # no more in a block's answer than the block has sent
-    answered = answers.groupBy("block").agg(F.collect_list("hashes").alias("answer"))
+    answered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "prints")).alias("answer"))
+    told = saved(answered.join(repeats, "block", "full").select("block", "answer", "repeats"), "answers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each different segment of a block that has a shared minimiser, with its smallest document."""
+        """Each different segment of a block that has a shared minimiser, with its first and last document."""
         for item in _rows(batches):
             ids, offsets, data = _unpacked(item)
-            common = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in item["answer"]]))
-            raw = data.tobytes()
-            smallest: dict[bytes, int] = {}
-            home: dict[bytes, int] = {}
+            own = _own_rows(item, len(ids))
+            common = np.sort(np.concatenate([_prints(x["prints"]) | np.uint64(x["bucket"]) << np.uint64(8 * _PRINT_BYTES) for x in item["answer"] or ()] or [np.zeros(0, dtype=np.uint64)]))
             for row, first, last, least in _segments(offsets, data, width, gram):
-                at = np.minimum(np.searchsorted(common, least), len(common) - 1)
-                keep = np.flatnonzero(common[at] == least)
-                ends = (last[keep] + width - 1).tolist()
-                for i, a, b, h in zip(ids[row[keep]].tolist(), first[keep].tolist(), ends, least[keep].tolist(), strict=True):
-                    segment = raw[a:b]
-                    if i < smallest.setdefault(segment, i):
-                        smallest[segment] = i
-                    home[segment] = h
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((np.fromiter(home.values(), dtype=np.uint64, count=len(home)) % np.uint64(buckets)).astype(np.int32)), pa.array(np.full(len(smallest), item["block"])), pa.array(list(smallest), pa.binary()), pa.array(list(smallest.values()), pa.int64())],
-                names=["bucket", "block", "segment", "doc_id"],
-            )
+                bucket = bucket_of(least)
+                keep = own[row] & _member(common, least & _PRINT_MASK | bucket.astype(np.uint64) << np.uint64(8 * _PRINT_BYTES))
+                row, first, end, bucket = row[keep], first[keep], last[keep] + width - 1, bucket[keep]
+                if not len(row):
+                    continue
+                base = int(first[0])
+                key = textscan.span_hashes(data[base : end.max()], first - base, end - base)
+                order = np.lexsort((key, bucket))
+                key, bucket, row, first, end = key[order], bucket[order], row[order], first[order], end[order]
+                heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                doc = ids[row]
+                low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
+                key, bucket, first, end = key[heads], bucket[heads], first[heads], end[heads]
+                raw = data.tobytes()
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+                out = []
+                for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+                    pieces = b"".join([raw[x:y] for x, y in zip(first[a:b].tolist(), end[a:b].tolist(), strict=True)])
+                    out.append((int(bucket[a]), item["block"], zlib.compress(pieces, 1), zlib.compress(_packed(end[a:b] - first[a:b], low[a:b], high[a:b], key[a:b].view(np.int64)), 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], names=["bucket", "block", "text", "about"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each segment sent: the smallest document of each of its strings, as runs of strings."""
-        table = pa.Table.from_batches(list(batches))
-        different = _column(table, "segment").dictionary_encode()
+        items = list(_rows(batches))
+        about = [_fields(zlib.decompress(x["about"]), 4) for x in items]
+        size, low, high, key = (np.concatenate([x[k] for x in about]) for k in range(4))
+        of_item = np.repeat(np.arange(len(items)), [len(x[0]) for x in about])
+        ends = np.cumsum(size)
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(b"".join([zlib.decompress(x["text"]) for x in items]))])
+        different = every.dictionary_encode()
         which, segments = different.indices.to_numpy(), different.dictionary
         owner = np.full(len(segments), np.iinfo(np.int64).max)
-        np.minimum.at(owner, which, table["doc_id"].to_numpy())
-        bounds = np.frombuffer(segments.buffers()[1], dtype=np.int32)[segments.offset : segments.offset + len(segments) + 1].astype(np.int64)
-        text = np.frombuffer(segments.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        np.minimum.at(owner, which, low)
+        bounds, text = textscan.string_buffers(segments.cast(pa.large_binary()).view(pa.large_string()))
         order = two_stage_suffix_array(text)
         group = np.cumsum(np.append(True, ~common_prefixes(text, order, width)))
         of = np.repeat(np.arange(len(segments)), np.diff(bounds))
@@ -341,47 +360,112 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
         begin = np.flatnonzero(starts)
         tails = known.copy()
         tails[:-1] &= starts[1:] | ~known[1:]
-        size = np.flatnonzero(tails) + 1 - begin
-        owned = of[begin]
-        edges = pa.array(np.searchsorted(owned, np.arange(len(segments) + 1)), pa.int32())
-        runs = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in ((begin - bounds[owned]).astype(np.int32), size.astype(np.int32), verdict[begin])]
-        index = pa.array(which)
-        yield pa.RecordBatch.from_arrays([_column(table, "block"), segments.take(index), *(x.take(index) for x in runs)], names=["block", "segment", "at", "size", "least"])
-
-    segments = blocks.join(answered, "block").mapInArrow(cut, "bucket int, block long, segment binary, doc_id long")
-    judged = segments.groupBy("bucket").applyInArrow(judge, "block long, segment binary, at array<int>, size array<int>, least array<long>")
-    judged = saved(judged, "verdicts")
+        length = np.flatnonzero(tails) + 1 - begin
+        owned, value = of[begin], verdict[begin]
+        edges = np.searchsorted(owned, np.arange(len(segments) + 1))
+        # runs of each segment sent, where they can matter to one of its documents
+        counts = np.diff(edges)[which]
+        run = np.arange(counts.sum()) + np.repeat(edges[:-1][which] - (np.cumsum(counts) - counts), counts)
+        sent_of = np.repeat(np.arange(len(which)), counts)
+        matters = value[run] < high[sent_of]
+        run, sent_of = run[matters], sent_of[matters]
+        item = of_item[sent_of]
+        cuts = np.searchsorted(item, np.arange(len(items) + 1)).tolist()
+        at = begin[run] - bounds[owned[run]]
+        out = [(items[k]["block"], zlib.compress(_packed(key[sent_of[a:b]], at[a:b], length[run[a:b]], value[run[a:b]]), 1)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "runs"])
+
+    joined = blocks.join(told, "block", "left")
+    judged = joined.mapInArrow(cut, "bucket int, block long, text binary, about binary").groupBy("bucket").applyInArrow(judge, "block long, runs binary")
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
-        verdicts: dict[bytes, list] = {}
-        for batch in right.to_batches():
-            columns = (batch[c].to_pylist() for c in ("segment", "at", "size", "least"))
-            for segment, at, size, least in zip(*columns, strict=True):
-                verdicts[segment] = list(zip(at, size, least, strict=True))
+        runs = [_fields(zlib.decompress(x.as_py()), 4) for x in right["runs"]]
+        key, at, length, least = (np.concatenate([x[k] for x in runs] or [np.zeros(0, dtype=np.int64)]) for k in range(4))
+        order = np.argsort(key.view(np.uint64), kind="stable")
+        key, at, length, least = key.view(np.uint64)[order], at[order], length[order], least[order]
         done = []
         for item in _rows(left.to_batches()):
             ids, offsets, data = _unpacked(item)
-            raw, numbers, out = data.tobytes(), ids.tolist(), []
-            for row, first, last, _ in _segments(offsets, data, width, gram) if verdicts else ():
-                for r, a, b in zip(row.tolist(), first.tolist(), (last + width - 1).tolist(), strict=True):
-                    told = verdicts.get(raw[a:b])
-                    if told is None:
-                        continue
-                    for at, size, least in told:
-                        if least < numbers[r]:
-                            begin, end = a + at, a + at + size + width - 1
-                            if out and out[-1][0] == r and begin <= out[-1][2]:
-                                out[-1][2] = max(end, out[-1][2])
-                            else:
-                                out.append([r, begin, end])
-            flat = np.array(out, dtype="<i8").tobytes()
-            done.append((item["ids"], item["offsets"], item["packed"], flat))
+            own = _own_rows(item, len(ids))
+            sizes = np.diff(offsets)
+            copies = np.flatnonzero(~own & (sizes >= width))
+            row_of, begins, ends = [copies], [offsets[copies]], [offsets[copies + 1]]
+            for row, first, last, _ in _segments(offsets, data, width, gram) if len(key) else ():
+                if not len(row):
+                    continue
+                base, end = int(first[0]), last + width - 1
+                mine = textscan.span_hashes(data[base : end.max()], first - base, end - base)
+                lo, hi = np.searchsorted(key, mine, side="left"), np.searchsorted(key, mine, side="right")
+                counts = (hi - lo) * own[row]
+                run = np.arange(counts.sum()) + np.repeat(lo - (np.cumsum(counts) - counts), counts)
+                segment = np.repeat(np.arange(len(row)), counts)
+                matters = least[run] < ids[row[segment]]
+                run, segment = run[matters], segment[matters]
+                start = first[segment] + at[run]
+                row_of.append(row[segment])
+                begins.append(start)
+                ends.append(start + length[run] + width - 1)
+            done.append((item["ids"], item["offsets"], item["packed"], _merged(np.concatenate(row_of), np.concatenate(begins), np.concatenate(ends)).astype("<i8").tobytes()))
         return pa.Table.from_arrays([pa.array([x[k] for x in done], pa.binary()) for k in range(4)], names=["ids", "offsets", "packed", "spans"])
 
-    together = blocks.groupBy("block").cogroup(judged.groupBy("block"))
+    # the same shuffle of blocks serves the segments and this step
+    together = joined.groupBy("block").cogroup(judged.groupBy("block"))
     return together.applyInArrow(spans, "ids binary, offsets binary, packed binary, spans binary")
 
 
+#: Bytes of a minimiser's hash that travel, besides its bucket; a chance match only sends a segment in vain.
+_PRINT_BYTES = 5
+_PRINT_MASK = np.uint64((1 << 8 * _PRINT_BYTES) - 1)
+
+
+def _prints(packed: bytes) -> np.ndarray:
+    low = np.frombuffer(packed, dtype=np.uint8).reshape(-1, _PRINT_BYTES)
+    wide = np.zeros((len(low), 8), dtype=np.uint8)
+    wide[:, :_PRINT_BYTES] = low
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
+def _member(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c, dtype="<i8").tobytes() for c in columns)
+
+
+def _fields(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<i8").reshape(n, -1)
+
+
+def _own_rows(item: dict, n: int) -> np.ndarray:
+    """Which rows of a block are the first document with their text."""
+    own = np.ones(n, dtype=bool)
+    own[item["repeats"] or []] = False
+    return own
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for item in _rows(batches):
+        ids, offsets, data = _unpacked(item)
+        raw, ends = data.tobytes(), offsets.tolist()
+        found = [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), item["block"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids), pa.array(found, pa.binary())], names=["block", "row", "doc_id", "digest"])
+
+
+def _merged(rows: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rows (row, begin, end) with what overlaps or touches within a row made one."""
+    if not len(rows):
+        return np.zeros((0, 3), dtype=np.int64)
+    order = np.lexsort((begins, rows))
+    rows, begins, ends = rows[order], begins[order], ends[order]
+    reach = np.maximum.accumulate(ends)  # rows follow one another, so earlier rows never reach a later one
+    heads = np.append(True, (rows[1:] != rows[:-1]) | (begins[1:] > reach[:-1]))
+    where = np.flatnonzero(heads)
+    return np.stack([rows[where], begins[where], np.maximum.reduceat(ends, where)], axis=1)
+
+
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 

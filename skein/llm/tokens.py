@@ -27,7 +27,7 @@ _MARK = textscan.byte_class((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7
 #: Pieces that keep their ids when they stand after any other piece.
 _JOINS = re.compile(r"[ \n]\S").match
 CACHE_PIECES = 400_000
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
