@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage ended by a checkpoint, in the folder the session names or one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-"))
+    return df.checkpoint()
+
+
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): least number of hops from ``seeds(node)`` over ``edges(source, target)``."""
     found = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     front = found
     for k in range(1, depth + 1):
         step = front.join(edges, front.node == edges.source).select(F.col("target").alias("node")).distinct()
-        front = step.join(found, "node", "left_anti").withColumn("depth", F.lit(k))
+        front = cut(step.join(found, "node", "left_anti").withColumn("depth", F.lit(k)))
         found = found.union(front)
     return found
 
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) with ranks that sum to one; nodes without targets give to all alike."""
-    links = edges.select("source", "target").distinct().cache()
-    nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct().cache()
+    links = edges.select("source", "target").distinct()
+    links = cut(links)
+    nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
+    nodes = cut(nodes)
     n = nodes.count()
     degree = links.groupBy("source").agg(F.count("*").alias("degree"))
     spread = links.join(degree, "source")
@@ -29,7 +41,7 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
         given = spread.join(ranks, spread.source == ranks.node).groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         lost = ranks.join(degree, ranks.node == degree.source, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         ranks = nodes.join(given, nodes.node == given.target, "left").crossJoin(lost)  # one row
-        ranks = ranks.select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
+        ranks = cut(ranks.select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank")))
     return ranks
 
 

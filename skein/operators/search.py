@@ -21,9 +21,10 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def topk_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): a stated query set against all rows.
 
-    ``queries(query_id, embedding)`` is the small side by contract and is sent to every task.
+    Spark broadcasts ``queries(query_id, embedding)`` only below its own size limit; beyond that the
+    stated query set meets all rows block by block.
     """
-    near = vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "query")), F.lit(True)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6))
+    near = vectors.crossJoin(queries.withColumnRenamed("embedding", "query")).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), 6))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # Spark keeps k rows of each query in every task before the shuffle
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
