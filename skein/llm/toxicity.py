@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import textscan
+from skein.llm.storage import saved
 
 CATEGORIES = ("quality", "toxic")
 SAMPLE_ROWS = 20_000
@@ -84,8 +86,20 @@ def _information(positive: np.ndarray, total: np.ndarray, n_positive: int, n: in
     return g
 
 
-def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, max_features: int = MAX_FEATURES, least: int = LEAST_DOCUMENTS, l2: float = L2, iterations: int = 400) -> Linear:
-    """Logistic regression on the most telling words, by accelerated gradient steps."""
+def telling(total: np.ndarray, positive: np.ndarray, n: int, n_positive: int, tried: int, *, max_features: int, least: int) -> np.ndarray:
+    """Numbers of the words that tell most about the label, more than chance would over all ``tried`` words."""
+    score = np.where(total >= least, _information(positive, total, n_positive, n), 0.0)
+    # chance alone would pass the bound for one label in a hundred, over all words that are tried
+    bound = 2 * np.log(max(1, tried) / SIGNIFICANCE)
+    chosen = np.sort(np.argsort(-score, kind="stable")[:max_features])
+    return chosen[score[chosen] > bound]
+
+
+def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, tried: int | None = None, max_features: int = MAX_FEATURES, least: int = LEAST_DOCUMENTS, l2: float = L2, iterations: int = 400) -> Linear:
+    """Logistic regression on the most telling words, by accelerated gradient steps.
+
+    ``tried`` counts the words there were to choose from, where ``rows`` hold only some of them.
+    """
     n, n_positive = len(label), int(label.sum())
     none = np.zeros(0)
     if n_positive in (0, n):
@@ -93,11 +107,7 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, max_features: int
     words, at = np.unique(rows.word, return_inverse=True)
     total = np.bincount(at, minlength=len(words)).astype(float)
     positive = np.bincount(at, weights=label[rows.row], minlength=len(words))
-    score = np.where(total >= least, _information(positive, total, n_positive, n), 0.0)
-    # chance alone would pass the bound for one label in a hundred, over all words that are tried
-    bound = 2 * np.log(max(1, (total >= least).sum()) / SIGNIFICANCE)
-    chosen = np.sort(np.argsort(-score, kind="stable")[:max_features])
-    chosen = chosen[score[chosen] > bound]
+    chosen = telling(total, positive, n, n_positive, int((total >= least).sum()) if tried is None else tried, max_features=max_features, least=least)
     number = np.full(len(words), -1)
     number[chosen] = np.arange(len(chosen))
     column = number[at]
@@ -123,19 +133,22 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, max_features: int
     return Linear(words[chosen], weight, extra, float(intercept))
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS, **options) -> list[Linear]:
-    """One model for each column of ``labels`` (NaN: unknown), fed with out-of-fold probabilities before it."""
-    models, earlier = [], np.zeros((rows.n, 0))
+def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS, *, tried: dict[tuple[int, int], int] | None = None, **options) -> list[Linear]:
+    """One model for each column of ``labels`` (NaN: unknown), fed with out-of-fold probabilities before it.
+
+    ``tried`` has the number of words to choose from, by category and fold left out (-1: none).
+    """
+    models, earlier, tried = [], np.zeros((rows.n, 0)), tried or {}
     for k in range(labels.shape[1]):
         known = ~np.isnan(labels[:, k])
         label = np.nan_to_num(labels[:, k])
-        models.append(fit(rows.take(known), label[known], earlier[known], **options))
+        models.append(fit(rows.take(known), label[known], earlier[known], tried=tried.get((k, -1)), **options))
         if k + 1 < labels.shape[1]:
             told = np.zeros(rows.n)
             for fold in range(n_folds):
                 train, held = known & (folds != fold), folds == fold
                 if held.any():
-                    model = fit(rows.take(train), label[train], earlier[train], **options) if train.any() else models[-1]
+                    model = fit(rows.take(train), label[train], earlier[train], tried=tried.get((k, fold)), **options) if train.any() else models[-1]
                     told[held] = probability(model, rows.take(held), earlier[held])
             earlier = np.column_stack([earlier, told])
     return models
@@ -161,35 +174,86 @@ def word_rows(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterato
         yield lo, hi, Rows(row[keep], word[keep], hi - lo)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, sample_rows: int = SAMPLE_ROWS, **options) -> list[Linear] | None:
-    """Fit the chain on a bounded sample of ``labels(doc_id, <categories>)``."""
+def _batches_of_words(batch: pa.RecordBatch, names: list[str], vocabulary: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    for lo, hi, rows in word_rows(batch["text"], vocabulary):
+        bounds = np.searchsorted(rows.row, np.arange(hi - lo + 1))
+        words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows.word.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch[c].slice(lo, hi - lo) for c in names] + [words], names=[*names, "words"])
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least: int = LEAST_DOCUMENTS, **options) -> list[Linear] | None:
+    """Fit the chain on a bounded sample of ``labels(doc_id, <categories>)``.
+
+    Spark counts in how many documents of each label and fold each word is; the driver sees these
+    counts for words of ``least`` documents or more, and of the documents only the telling words.
+    """
     order = F.xxhash64(F.lit(1), "doc_id")
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories]).where("doc_id is not null").orderBy(order, *categories).limit(sample_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # sample_rows at most
+    # a text counts once; of copies the smallest id speaks
+    first = F.min(F.struct("doc_id", *categories)).alias("row")
+    sample = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(first).select("text", "row.*")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = saved(sample.repartition(parts, "doc_id"), "labelled")  # a small table, but much to count in it
+    names = ["doc_id", *categories]
+    shape = f"doc_id long, {', '.join(f'{c} double' for c in categories)}, words array<long>"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, rows in word_rows(batch["text"]):
-                bounds = np.searchsorted(rows.row, np.arange(hi - lo + 1))
-                words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows.word.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch[c].slice(lo, hi - lo) for c in ("doc_id", *categories)] + [words], names=["doc_id", *categories, "words"])
-
-    shape = f"doc_id long, {', '.join(f'{c} double' for c in categories)}, words array<long>"
-    # a text counts once; of copies the smallest id speaks
-    table = sample.select("doc_id", "text", *categories).mapInArrow(sets, shape).toArrow()
-    if not table.num_rows:
+            yield from _batches_of_words(batch, names)
+
+    def fold_of(ids: np.ndarray) -> np.ndarray:
+        return (textscan.mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, cell, n): documents by word, and by category, fold and label as one number."""
+        for batch in sets(batches):
+            lists = batch["words"]
+            word, sizes = lists.values.to_numpy(), np.diff(lists.offsets.to_numpy())
+            fold = fold_of(batch["doc_id"].to_numpy())
+            for k, c in enumerate(categories):
+                label = batch[c].to_numpy(zero_copy_only=False)
+                cell = np.repeat((k * FOLDS + fold) * 2 + (label > 0), sizes)
+                known = np.repeat(~np.isnan(label), sizes)
+                pair = np.stack([word[known], cell[known]])
+                pair = pair[:, np.lexsort(pair[::-1])]
+                head = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))) if pair.shape[1] else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0, head]), pa.array(pair[1, head]), pa.array(np.diff(np.append(head, pair.shape[1])))], names=["word", "cell", "n"])
+
+    cells = len(categories) * FOLDS * 2
+    counted = sample.mapInArrow(count, "word long, cell long, n long").groupBy("word").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).cast("int").alias(f"c{k}") for k in range(cells)])
+    # what one category counts of a word, all of them bound: a document has a word once
+    often = [sum(F.col(f"c{j}") for j in range(k * FOLDS * 2, (k + 1) * FOLDS * 2)) >= least for k in range(len(categories))]
+    table = counted.where(reduce(lambda a, b: a | b, often)).toArrow()
+    people = sample.select(*names).toArrow()
+    if not people.num_rows:
         return None
-    table = table.sort_by("doc_id").combine_chunks()
-    words = table["words"].combine_chunks()
-    bounds, values = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
-    seen: dict[bytes, int] = {}
-    keep = np.zeros(table.num_rows, dtype=bool)
-    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        keep[k] = seen.setdefault(values[a:b].tobytes(), k) == k
-    rows = Rows(np.repeat(np.arange(table.num_rows), np.diff(bounds)), values[bounds[0] : bounds[-1]], table.num_rows).take(keep)
-    matrix = np.column_stack([table[c].to_numpy() for c in categories])[keep]
-    folds = (textscan.mix(table["doc_id"].to_numpy()[keep].view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return fit_chain(rows, matrix, folds, **options)
+    words = table["word"].to_numpy().view(np.uint64)
+    counts = np.stack([table[f"c{k}"].to_numpy() for k in range(cells)]).reshape(len(categories), FOLDS, 2, -1)
+    matrix = np.column_stack([people[c].to_numpy() for c in categories])
+    folds = fold_of(people["doc_id"].to_numpy())
+    tried, wanted = {}, [np.zeros(0, dtype=np.uint64)]
+    for k in range(len(categories)):
+        for left_out in range(-1, FOLDS if k + 1 < len(categories) else 0):
+            inside = [f for f in range(FOLDS) if f != left_out]
+            positive = counts[k, inside, 1].sum(axis=0).astype(float)
+            total = counts[k, inside, 0].sum(axis=0) + positive
+            label = matrix[~np.isnan(matrix[:, k]) & (folds != left_out), k]
+            tried[k, left_out] = int((total >= least).sum())
+            if 0 < label.sum() < len(label):
+                wanted.append(words[telling(total, positive, len(label), int(label.sum()), tried[k, left_out], max_features=max_features, least=least)])
+    vocabulary = np.unique(np.concatenate(wanted))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batches_of_words(batch, names, vocabulary)
+
+    table = sample.mapInArrow(told, shape).toArrow().sort_by("doc_id").combine_chunks()
+    lists = table["words"].combine_chunks()
+    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    rows = Rows(np.repeat(np.arange(table.num_rows), np.diff(bounds)), values[bounds[0] : bounds[-1]], table.num_rows)
+    matrix = np.column_stack([table[c].to_numpy() for c in categories])
+    return fit_chain(rows, matrix, fold_of(table["doc_id"].to_numpy()), tried=tried, max_features=max_features, least=least, **options)
 
 
 def score(docs: DataFrame, models: list[Linear] | None, categories: tuple[str, ...]) -> DataFrame:
