@@ -1,4 +1,4 @@
-"""Line de-duplication by a segment-partition edit join, in DataFrame functions only.
+"""Line de-duplication by a segment-partition edit join and, on request, a join by shares of words.
 
 Lines are numbered in the order of (doc_id, line). A line goes if an earlier line equals it, or if
 both have ``min_chars`` characters or more and one lies within ``max_edits`` edits of the other. All
@@ -13,6 +13,12 @@ lines are judged on the input. Blank lines always stay.
   most; the join so gives few rows even where very many lines share a segment.
 * What remains is stripped of its common prefix and suffix and verified by a banded bit-parallel
   distance: for each number of errors, one bit for each diagonal of the band, all moved at once.
+* With ``word_edits`` a line of ``MIN_WORDS`` words or more also goes if an earlier line is within a
+  tenth of the longer one's words (rounded) of replaced, added or dropped words. So many edits leave a
+  run of unedited words, as long as ``WORD_CLASSES`` says; of every such run both lines select the same word
+  gram, the one with the least hash of a window. Pairs that share one are verified by a bit-parallel
+  distance over words. Nothing is capped: no pair within the threshold is missed. Where one line has
+  fewer than ``MIN_WORDS`` words, both may be ``SHORT_EDITS`` edits of characters apart.
 
 Defined results: null texts count as empty and keep their one blank line; rows that share a ``doc_id``
 follow one another by a hash of their text, and fully equal rows count as one place; an empty table
@@ -21,8 +27,11 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +41,13 @@ MAX_EDITS = 1
 MIN_CHARS = 40
 #: Characters whose counts are compared before lines are.
 COUNTED = "etaoinsrhldu cmp"
+#: Lines of fewer words are near by characters only.
+MIN_WORDS = 8
+SHORT_EDITS = 4
+#: (least and most words of a line, words in a gram, grams in a window). A pair whose longer line has 40
+#: words or more has 36 in the other, so both lines are in a class together; a tenth of edits leaves a run
+#: of 4 words in the first class and 8 in the second, gram and window together are no longer than that.
+WORD_CLASSES = [(MIN_WORDS, 39, 3, 2), (36, 1 << 30, 5, 3)]
 _NO_ID = -(1 << 63)
 _LINES = 10**9
 
@@ -157,7 +173,79 @@ def near_lines(lines: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     return both.where(within_edits(F.col("a"), F.col("b"), max_edits)).select("place", "other")
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def word_grams(words: list[str]) -> set[int]:
+    """Hashes of the selected word grams of a line."""
+    out = set()
+    for least, most, size, window in WORD_CLASSES:
+        if least <= len(words) <= most:
+            hashed = [
+                int.from_bytes(hashlib.blake2b("\n".join([str(size), *words[k : k + size]]).encode(), digest_size=8).digest(), "little", signed=True)
+                for k in range(len(words) - size + 1)
+            ]
+            out.update(min(hashed[k : k + window]) for k in range(len(hashed) - window + 1))
+    return out
+
+
+def word_distance(a: list[str], b: list[str]) -> int:
+    """Replaced, added and dropped words between two lines: one bit for each word of ``a``."""
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for k, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    plus, minus, distance = every, 0, len(a)
+    for word in b:
+        equal = places.get(word, 0)
+        across = (((equal & plus) + plus) ^ plus) | equal | minus
+        up, down = minus | (every & ~(across | plus)), plus & across
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        across = equal | minus
+        plus, minus = down | (every & ~(across | up)), up & across
+    return distance
+
+
+def allowed_words(longer: int) -> int:
+    return (longer + 5) // 10
+
+
+def near_by_words(lines: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs (place, other) of different ``lines(line, place)`` within a tenth of their words."""
+    texts = lines.where(F.length("line") >= min_chars).select("place", "line")
+    kind = lines.schema["place"].dataType.simpleString()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, sizes = [], [], []
+            for k, line in enumerate(batch["line"].to_pylist()):
+                words = line.split()
+                found = word_grams(words)
+                at.extend([k] * len(found))
+                keys.extend(found)
+                sizes.extend([len(words)] * len(found))
+            yield pa.RecordBatch.from_arrays([batch["place"].take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["place", "key", "size"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                a, b = a.split(), b.split()
+                near.append(word_distance(a, b) <= allowed_words(max(len(a), len(b))))
+            yield batch.select(["place", "other"]).filter(pa.array(near, pa.bool_()))
+
+    dealt = saved(texts.mapInArrow(grams, f"place {kind}, key long, size int"), "word-grams")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    dealt = dealt.join(shared, "key", "left_semi")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    allowed = F.floor((F.greatest("x.size", "y.size") + 5) / 10)
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") < F.col("y.place")) & (F.abs(F.col("x.size") - F.col("y.size")) <= allowed))
+    pairs = joined.select(F.col("x.place").alias("place"), F.col("y.place").alias("other")).distinct()
+    both = pairs.join(texts.withColumnRenamed("line", "a"), "place").join(texts.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
+    return both.select("place", "other", "a", "b").mapInArrow(verified, f"place {kind}, other {kind}")
+
+
+def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut to the lines that stay, and n_lines, n_exact and n_near."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     # (doc_id, hash of the text, line number) as one number, so that places compare and aggregate as one
@@ -166,7 +254,12 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     each = homes.select("_home", F.posexplode(lines).alias("number", "line")).where(F.trim("line") != "")
     place = (F.col("_home") * F.lit(_LINES).cast("decimal(10,0)") + F.col("number").cast("decimal(10,0)")).cast("decimal(38,0)")
     first = saved(each.select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("place")), "first-lines")
-    pairs = saved(near_lines(first, max_edits=max_edits, min_chars=min_chars), "near-lines")
+    pairs = near_lines(first, max_edits=max_edits, min_chars=min_chars)
+    if word_edits:
+        # each edit gives one word more at most
+        short = first.where(F.size(F.split(F.trim("line"), r"\s+")) < MIN_WORDS + SHORT_EDITS)
+        pairs = pairs.union(near_by_words(first, min_chars=min_chars)).union(near_lines(short, max_edits=SHORT_EDITS, min_chars=min_chars))
+    pairs = saved(pairs, "near-lines")
     late = pairs.select(F.greatest("place", "other").alias("place")).distinct().withColumn("near", F.lit(1))
     number = F.pmod("place", F.lit(_LINES).cast("decimal(38,0)"))
     told = first.select("place").join(late, "place", "left").select(((F.col("place") - number) / F.lit(_LINES).cast("decimal(10,0)")).cast("decimal(29,0)").alias("_home"), number.cast("int").alias("number"), "near")

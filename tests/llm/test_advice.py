@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from skein.llm.embed_dedup import near_vectors
+from skein.llm.line_dedup import allowed_words, near_by_words, word_distance
 
 
 @pytest.mark.parametrize("planned", [2_000, 100_000, 1_000_000, 10_000_000])
@@ -22,3 +26,54 @@ def test_recall_of_vectors_keeps_with_the_planned_size(spark, planned):
     assert max(r.n_links for r in found) == 1  # no pair is counted in two tables
     assert sum(r.n_links for r in found) >= 0.98 * 1200
     assert all(r.component_id in (r.vec_id, r.vec_id - 600) for r in found)
+
+
+def slow_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def edited(rng, words, edits, fresh):
+    out = list(words)
+    for _ in range(edits):
+        k, what = rng.randrange(len(out)), rng.randrange(3)
+        out[k : k + 1] = [[fresh()], [], [out[k], fresh()]][what]
+    return out
+
+
+def test_near_lines_by_words(spark):
+    rng = random.Random(5)
+    fresh = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lines = []
+    for size in [8, 9, 14, 15, 16, 24, 25, 33, 34, 35, 36, 38, 39, 40, 41, 44, 60, 120]:
+        base = [fresh() for _ in range(size)]
+        lines += [base] + [edited(rng, base, n, fresh) for n in range(1, allowed_words(size) + 3)]
+        even = list(base)  # edits spread so that the runs between them are as short as can be
+        for k in range(allowed_words(size)):
+            even[(k + 1) * size // (allowed_words(size) + 1)] = fresh()
+        lines.append(even)
+    want = set()
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            x, y = lines[a], lines[b]
+            apart = slow_distance(x, y)
+            assert word_distance(x, y) == apart
+            if min(len(x), len(y)) >= 8 and apart <= allowed_words(max(len(x), len(y))):
+                want.add((a, b))
+    table = spark.createDataFrame([(" ".join(x), k) for k, x in enumerate(lines)], "line string, place long")
+    found = [tuple(r) for r in near_by_words(table).select("place", "other").collect()]
+    assert len(want) > 40 and sorted(found) == sorted(want)
+
+
+def test_pipeline_drops_lines_with_replaced_words(spark, sf_dir):
+    line = "the old round hill stands above a town where every morning some people walk to their work by the river"
+    once, twice = line.replace("round", "pleasant"), line.replace("round", "pleasant").replace("river", "harbour")
+    few = "internationalisation misunderstandings counterrevolutionaries"
+    four = few.replace("inter", "enter").replace("under", "ander").replace("aries", "ariez").replace("counter", "coumter")
+    docs = spark.createDataFrame([(1, line, 0), (2, once + "\nsomething else", 0), (3, twice, 0), (4, few, 0), (5, four, 0)], "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
+    assert kept == {1: line, 2: "something else", 3: "", 4: few, 5: ""}
