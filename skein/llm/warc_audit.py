@@ -2,22 +2,31 @@
 
 Archives: pages are written as WARC/1.1 records, in ranges of ``page_id``, by Spark's text writer with
 the record end as separator, so each part file is a valid, uncompressed WARC file on any file system
-that Spark reaches. Files are read back with the record boundary as separator, so large files are split.
-
-Audit: the leaves of a replica's tree are hashes of its records; a node is the hash of its children in
-the order of their offsets, ``fanout`` at most; the root of a file covers its whole offset range. Every
-level is one aggregation over groups of at most ``fanout`` rows. Two replicas are compared from the
-roots down: only children of nodes that differ are looked at, so an intact archive costs one
-comparison of roots. What is left at the leaves are the damaged, missing and added records.
+that Spark reaches. A file is read back whole by one task, which finds the record boundaries in its bytes.
+
+Audit: records are told from the bytes of a replica's files, with the byte offset and length where they
+stand; what their headers say takes no part. A leaf hashes offset, length and digest of one record. Nodes
+are ordered offset ranges: a leaf lies in the range of ``LEAF_BYTES`` where it starts, a node hashes the
+range it covers and its children in the order of their offsets, ``fanout`` at most above the first level;
+the root covers the whole file. A damaged byte so changes one leaf, and a shifted or swapped record its
+place. Two replicas are compared from the roots down: only children of nodes that differ are looked at, so
+an intact archive costs one comparison of roots. Leaves that differ are then matched: with the same offset
+they are damaged, a digest at another offset is moved, others are missing or added; a record that stands
+twice is one more at its second offset, and added.
 
 Defined results: null urls and bodies are written as empty; records whose text holds the record
 boundary are written in base64; pages that share a ``page_id`` are separate records, ordered by url and
-body; a record that cannot be read any more counts as missing; empty tables give empty archives.
+body; a record whose header is damaged is still a record, told by its place; empty tables give empty archives.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.storage import new_path, saved
@@ -26,6 +35,8 @@ RECORD_END = "\r\n\r\n"
 VERSION = "WARC/1.1\r\n"
 FANOUT = 16
 RECORDS_PER_FILE = 4096
+#: Bytes of a range of leaves.
+LEAF_BYTES = 1 << 15
 
 
 def to_records(pages: DataFrame, *, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
@@ -73,78 +84,165 @@ def write_archive(records: DataFrame, path: str) -> None:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, file, seq, record) of the records that can still be told from their headers."""
-    # the boundary, not the blank line alone, which bodies hold too
-    lines = spark.read.option("lineSep", RECORD_END + VERSION).schema("value string, file string").text(path)
-    first = F.regexp_replace("value", "^WARC/1\\.1\r\n", "")
-    # the last record of a file keeps the separator that ends it
-    text = F.concat(F.lit(VERSION), F.regexp_replace(first, "\r\n\r\n\\z", ""))
-    told = F.regexp_extract("record", "WARC-Record-ID: <urn:skein:([0-9]+-[0-9]+):([0-9]+):(-?[0-9]+|null)>", 2)
-    page = F.regexp_extract("record", "WARC-Record-ID: <urn:skein:([0-9]+-[0-9]+):([0-9]+):(-?[0-9]+|null)>", 3)
-    return lines.select("file", text.alias("record")).select("file", told.try_cast("long").alias("seq"), page.try_cast("long").alias("page_id"), "record").where("seq is not null")
+    """(file, offset, length, digest) of the records as they stand in the files' bytes.
+
+    A file holds ``RECORDS_PER_FILE`` records at most, so one fits a task.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boundary = (RECORD_END + VERSION).encode()
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"], strict=True):
+                name = re.search(r"/file=([^/]+)/[^/]*$", where.as_py()).group(1)
+                data = memoryview(content.as_buffer())
+                whole = content.as_py()
+                starts, at = [0] if whole else [], whole.find(boundary)
+                while at >= 0:
+                    starts.append(at + len(RECORD_END))
+                    at = whole.find(boundary, at + len(RECORD_END))
+                ends = [*starts[1:], len(whole)]
+                digests = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array([j - i for i, j in zip(starts, ends, strict=True)], pa.int64()), pa.array(digests, pa.string())],
+                    names=["file", "offset", "length", "digest"],
+                )
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(told, "file string, offset long, length long, digest string")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 0: (file, node, digest) with one node for each record."""
-    return records.groupBy("file", F.col("seq").alias("node")).agg(F.min(F.sha2("record", 256)).alias("digest"))
+    """Level 0: (file, node, start, end, digest) with one node for each record, at its offset."""
+    end = F.col("offset") + F.col("length")
+    digest = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
+    return records.select("file", F.col("offset").alias("node"), F.col("offset").alias("start"), end.alias("end"), digest.alias("digest"))
 
 
 def tree(records: DataFrame, *, fanout: int = FANOUT, levels: int) -> list[DataFrame]:
-    """All levels from the leaves to the roots; node ``n`` covers the children from ``n * fanout``."""
+    """All levels from the leaves to the roots.
+
+    Node ``n`` of level 1 covers the records that start from ``n * LEAF_BYTES``, of a higher level the
+    children from ``n * fanout``, of the last one the whole file.
+    """
     level = saved(leaves(records), "level-0")
     out = [level]
     for k in range(1, levels):
-        # at most ``fanout`` children in a group
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        joined = F.concat_ws("|", F.transform(children, lambda c: F.concat_ws("=", c["node"].cast("string"), c["digest"])))
-        level = saved(level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(joined, 256).alias("digest")), f"level-{k}")
+        children = F.array_sort(F.collect_list(F.struct("start", "end", "digest")))
+        joined = F.concat_ws("|", F.transform(children, lambda c: F.concat_ws("=", c["start"].cast("string"), c["end"].cast("string"), c["digest"])))
+        covered = F.concat_ws("-", F.min("start").cast("string"), F.max("end").cast("string"))
+        hashed = F.sha2(F.concat_ws("#", covered, joined), 256)
+        level = saved(level.groupBy("file", parent(k, levels, fanout).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), hashed.alias("digest")), f"level-{k}")
         out.append(level)
     return out
 
 
-def depth(records_per_file: int = RECORDS_PER_FILE, fanout: int = FANOUT) -> int:
-    levels, span = 1, 1
-    while span < records_per_file:
+def parent(level: int, levels: int, fanout: int = FANOUT) -> Column:
+    """Node of ``level`` above a ``node`` of the level below."""
+    if level == levels - 1:
+        return F.lit(0).cast("long")
+    return F.floor(F.col("node") / (LEAF_BYTES if level == 1 else fanout))
+
+
+def depth(longest_file: int, fanout: int = FANOUT) -> int:
+    """Levels of a tree over files of so many bytes."""
+    levels, span = 2, LEAF_BYTES
+    while span < longest_file:
         span *= fanout
         levels += 1
     return levels
 
 
 def audit(primary: list[DataFrame], replica: list[DataFrame], *, fanout: int = FANOUT) -> DataFrame:
-    """(file, seq, status) of records that differ: damaged, missing or added in the replica."""
-    suspects = None
-    for a, b in zip(reversed(primary), reversed(replica), strict=True):
-        left, right = a, b
+    """(file, offset, digest) of leaves that differ, from the roots down, and ``side``: a or b."""
+    suspects, levels = None, len(primary)
+    for k in range(levels - 1, -1, -1):
+        left, right = primary[k], replica[k]
         if suspects is not None:
-            parents = suspects.select(F.col("file").alias("f"), F.col("node").alias("n"))
-            under = lambda x: x.join(parents, (x.file == F.col("f")) & (F.floor(x.node / fanout) == F.col("n")), "left_semi")
-            left, right = under(a), under(b)
+            parents = suspects.select(F.col("file").alias("f"), F.col("node").alias("n")).distinct()
+
+            def under(x: DataFrame, k: int = k, parents: DataFrame = parents) -> DataFrame:
+                x = x.withColumn("up", parent(k + 1, levels, fanout))
+                return x.join(parents, (x.file == F.col("f")) & (x.up == F.col("n")), "left_semi")
+
+            left, right = under(left), under(right)
         both = left.select("file", "node", F.col("digest").alias("da")).join(right.select("file", "node", F.col("digest").alias("db")), ["file", "node"], "full")
         suspects = saved(both.where("not (da <=> db)"), "suspects")
-    status = F.when(F.col("db").isNull(), "missing").when(F.col("da").isNull(), "added").otherwise("damaged")
-    return suspects.select("file", F.col("node").alias("seq"), status.alias("status"))
+    return suspects.select("file", F.col("node").alias("offset"), F.col("da").isNotNull().alias("in_primary"), F.col("db").isNotNull().alias("in_replica"))
+
+
+def compare(primary: DataFrame, replica: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, offset, length, digest, status) of records that differ; ``added`` ones have the replica's place.
+
+    Copies of a digest in a file are matched in the order of their offsets, so a second copy is left over.
+    """
+    order = Window.partitionBy("file", "digest").orderBy("offset")
+    a = primary.join(found.where("in_primary").select("file", "offset"), ["file", "offset"])
+    b = replica.join(found.where("in_replica").select("file", "offset"), ["file", "offset"])
+    a, b = a.withColumn("nth", F.row_number().over(order)), b.withColumn("nth", F.row_number().over(order))
+    kept = b.select("file", "digest", "nth")
+    a = saved(a.join(kept.withColumn("moved", F.lit(True)), ["file", "digest", "nth"], "left"), "lost")
+    more = b.join(a.select("file", "digest", "nth"), ["file", "digest", "nth"], "left_anti")
+    more = saved(more.select("file", "offset", "length", "digest"), "more")
+    lost = a.where("moved is null").select("file", "offset", "length", "digest")
+    # what is neither whole elsewhere nor at its offset: the nth lost record of a gap is the nth new one
+    # between the same neighbours, which did not change or only moved
+    still = replica.join(more, ["file", "offset"], "left_anti")
+    same = Window.partitionBy("file", "digest").orderBy("offset")
+    rank = lambda x: x.withColumn("nth", F.row_number().over(same))
+    stayed = rank(primary.join(lost, ["file", "offset"], "left_anti")).select("file", "digest", "nth", F.col("offset").alias("at_a"))
+    stayed = stayed.join(rank(still).select("file", "digest", "nth", F.col("offset").alias("at_b")), ["file", "digest", "nth"])
+    before = lambda x, at: _gaps(x, stayed.select("file", F.col(at).alias("offset"), F.col("at_a").alias("gap")))
+    lost, more = before(lost, "at_a"), before(more, "at_b")
+    paired = lost.join(more.select("file", "gap", "nth", F.lit(True).alias("paired")), ["file", "gap", "nth"], "left")
+    left_over = more.join(lost.select("file", "gap", "nth"), ["file", "gap", "nth"], "left_anti")
+    told = ["file", "offset", "length", "digest"]
+    return (
+        paired.select(*told, F.when(F.col("paired"), "damaged").otherwise("missing").alias("status"))
+        .union(a.where("moved").select(*told, F.lit("moved").alias("status")))
+        .union(left_over.select(*told, F.lit("added").alias("status")))
+    )
+
+
+def _gaps(rows: DataFrame, stayed: DataFrame) -> DataFrame:
+    """``rows`` with ``gap``, the primary's offset of the last record before them that stayed, and ``nth`` in it."""
+    marked = rows.withColumn("gap", F.lit(None).cast("long")).unionByName(stayed.select("file", "offset", F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("digest"), "gap"))
+    # a file holds RECORDS_PER_FILE records and what was added
+    up_to = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    known = marked.withColumn("gap", F.coalesce(F.last("gap", ignorenulls=True).over(up_to), F.lit(-1))).where("length is not null")
+    return known.withColumn("nth", F.row_number().over(Window.partitionBy("file", "gap").orderBy("offset")))
 
 
 def damage(records: DataFrame, every: int = 97) -> DataFrame:
-    """A replica with known faults, for rehearsing an audit: records with a flipped character, and lost ones.
+    """A replica with known faults, for rehearsing an audit: flipped characters, lost records, records
+    written twice, swapped with the next one, and lengthened so that later ones are shifted.
 
     Which ones follows from a hash of each record's place.
     """
     dice = F.pmod(F.xxhash64("file", "seq"), F.lit(every))
     flipped = F.concat(F.expr("left(record, length(record) - 1)"), F.when(F.right("record", F.lit(1)) == "#", "@").otherwise("#"))
-    return records.where(dice != 1).withColumn("record", F.when(dice == 0, flipped).otherwise(F.col("record")))
+    out = records.where(dice != 1).withColumn("record", F.when(dice == 0, flipped).when(dice == 4, F.concat("record", F.lit("#"))).otherwise(F.col("record")))
+    # places in tenths: a swapped record goes behind the next one, a second copy right behind the first
+    at = F.col("seq") * 10
+    places = F.when(dice == 2, F.array(at, at + 1)).when(dice == 3, F.array(at + 12)).otherwise(F.array(at))
+    return out.withColumn("seq", F.explode(places))
 
 
 def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages twice, one replica with rehearsed faults, and locate these from both roots."""
+    """Archive all pages twice, one replica with rehearsed faults, and locate these from both roots.
+
+    Places, lengths and digests are those read back from the archive's bytes. Added records have no page.
+    """
     records = to_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     manifest = saved(records, "records")
     paths = [new_path(spark, f"replica-{k}") for k in "ab"]
     write_archive(manifest, paths[0])
     write_archive(damage(manifest), paths[1])
-    levels = depth()
-    trees = [tree(read_archive(spark, p), levels=levels) for p in paths]
-    found = audit(*trees)
+    read = [saved(read_archive(spark, p), "read") for p in paths]
+    longest = max(r.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0 for r in read)
+    trees = [tree(r, levels=depth(longest)) for r in read]
+    found = compare(*read, audit(*trees))
     roots = trees[0][-1].select("file", F.col("digest").alias("file_root"))
-    out = manifest.join(found, ["file", "seq"], "left").join(roots, "file", "left")
-    return out.select("page_id", "file", "seq", "offset", "length", F.sha2("record", 256).alias("sha256"), "file_root", F.coalesce("status", F.lit("intact")).alias("status"))
+    told = read[0].join(found.where("status != 'added'").select("file", "offset", "status"), ["file", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    known = manifest.select("file", "offset", "page_id", "seq")
+    told = told.join(known, ["file", "offset"], "left").unionByName(found.where("status = 'added'"), allowMissingColumns=True)
+    return told.join(roots, "file", "left").select("page_id", "file", "seq", "offset", "length", F.col("digest").alias("sha256"), "file_root", "status")

@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from skein.llm.embed_dedup import near_vectors
+from skein.llm import warc_audit
 from skein.llm.line_dedup import allowed_words, near_by_words, word_distance
 
 
@@ -77,3 +78,43 @@ def test_pipeline_drops_lines_with_replaced_words(spark, sf_dir):
     docs = spark.createDataFrame([(1, line, 0), (2, once + "\nsomething else", 0), (3, twice, 0), (4, few, 0), (5, four, 0)], "doc_id long, text string, n_chars long")
     kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
     assert kept == {1: line, 2: "something else", 3: "", 4: few, 5: ""}
+
+
+def statuses(spark, tmp_path, change):
+    """Statuses by offset of two replicas of one file, the second with its records changed."""
+    bodies = [f"body {k} " + "x" * (k % 7) for k in range(40)]
+    whole = [(warc_audit.VERSION + "WARC-Type: resource\r\n\r\n" + b + warc_audit.RECORD_END).encode() for b in bodies]
+    read = []
+    for name, records in (("a", whole), ("b", change(list(whole)))):
+        folder = tmp_path / name / "file=000000-000000"
+        folder.mkdir(parents=True)
+        (folder / "part").write_bytes(b"".join(records))
+        read.append(warc_audit.read_archive(spark, str(tmp_path / name)).cache())
+    offsets = {sum(map(len, whole[:k])): k for k in range(40)}
+    assert {r.offset: r.length for r in read[0].collect()} == {o: len(whole[k]) for o, k in offsets.items()}
+    trees = [warc_audit.tree(r, levels=warc_audit.depth(10_000)) for r in read]
+    found = warc_audit.compare(*read, warc_audit.audit(*trees)).collect()
+    return {(offsets[r.offset] if r.status != "added" else "new", r.status) for r in found}
+
+
+def test_fixity_of_swaps_copies_and_shifts(spark, tmp_path):
+    swap = lambda r: r[:5] + [r[6], r[5]] + r[7:]
+    twice = lambda r: r + [r[3]]
+    second = lambda r: r[:39] + [r[39], r[39].replace(b"body", b"bodz")]
+    flip = lambda r: r[:9] + [r[9].replace(b"body", b"bodz")] + r[10:]
+    longer = lambda r: r[:37] + [r[37].replace(b"body", b"a body")] + r[38:]
+    lost = lambda r: r[:36] + r[37:]
+    assert statuses(spark, tmp_path / "0", lambda r: r) == set()
+    assert statuses(spark, tmp_path / "1", swap) == {(5, "moved"), (6, "moved")}
+    assert statuses(spark, tmp_path / "2", twice) == {("new", "added")}
+    assert statuses(spark, tmp_path / "3", second) == {("new", "added")}
+    assert statuses(spark, tmp_path / "4", flip) == {(9, "damaged")}
+    assert statuses(spark, tmp_path / "5", longer) == {(37, "damaged"), (38, "moved"), (39, "moved")}
+    assert statuses(spark, tmp_path / "6", lost) == {(36, "missing"), (37, "moved"), (38, "moved"), (39, "moved")}
+
+
+def test_op8_statuses(spark, sf_dir):
+    rows = warc_audit.op8_fixity_audit(spark, sf_dir).collect()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    assert sum(r.status != "added" for r in rows) == pages
+    assert all(r.page_id is not None for r in rows if r.status != "added")
