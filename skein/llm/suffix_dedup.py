@@ -243,6 +243,8 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
 
     ``spans`` holds (row in block, from byte, to byte) as 64-bit integers, in ascending order, merged.
     """
+    if width < gram:
+        raise ValueError(f"a width of {width} bytes is smaller than the gram of {gram}")
     blocks = saved(pack_blocks(docs, block_bytes), "blocks")
     buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * blocks.count())))
     step = np.uint64((1 << 64) // buckets)
@@ -346,7 +348,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
         owner = np.full(len(segments), np.iinfo(np.int64).max)
         np.minimum.at(owner, which, low)
         bounds, text = textscan.string_buffers(segments.cast(pa.large_binary()).view(pa.large_string()))
-        order = two_stage_suffix_array(text)
+        order = two_stage_suffix_array(text, max(_WORDS, -(-width // 8)))
         group = np.cumsum(np.append(True, ~common_prefixes(text, order, width)))
         of = np.repeat(np.arange(len(segments)), np.diff(bounds))
         whole = order + width <= bounds[1:][of[order]]  # the string lies within its segment

@@ -11,6 +11,7 @@ import corpus_pipeline
 from skein.llm.embed_dedup import near_vectors
 from skein.llm import warc_audit
 from skein.llm.line_dedup import allowed_words, near_by_words, word_distance
+from skein.llm.suffix_dedup import remove_repeats
 
 
 @pytest.mark.parametrize("planned", [2_000, 100_000, 1_000_000, 10_000_000])
@@ -118,3 +119,25 @@ def test_op8_statuses(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert sum(r.status != "added" for r in rows) == pages
     assert all(r.page_id is not None for r in rows if r.status != "added")
+
+
+def test_repeats_wider_than_the_default_depth(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    head, width = text(90), 150  # many strings share more than 64 bytes
+    tails = [text(90) for _ in range(40)]
+    docs = [(k, text(20) + "".join(head + rng.choice(tails) for _ in range(6)) + text(20)) for k in range(60)]
+    first, want = {}, {}
+    for k, t in docs:
+        for a in range(len(t) - width + 1):
+            first.setdefault(t[a : a + width], k)
+    for k, t in docs:
+        gone = set()
+        for a in range(len(t) - width + 1):
+            if first[t[a : a + width]] < k:
+                gone.update(range(a, a + width))
+        want[k] = len(gone)
+    found = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), width=width).collect()
+    assert {r.doc_id: r.n_removed for r in found} == want and sum(want.values()) > 0
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), width=3)
