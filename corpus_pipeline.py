@@ -55,7 +55,9 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The stages learn, tokenise and pack, which SQL does not express; tests hold them against brute force.
+#: The stages learn, tokenise and pack, which SQL does not express. Tests hold the operators of the near
+#: duplicates and packing stages against brute force and plant near lines; no test runs the whole pipeline,
+#: and toxicity and decontamination have no brute-force version.
 ORACLE_SQL = None
 
 
