@@ -1,24 +1,24 @@
-"""Line de-duplication by a segment-partition edit join and, on request, a join by shares of words.
+"""Line de-duplication by a segment-partition edit join, in DataFrame and SQL functions only.
 
 Lines are numbered in the order of (doc_id, line). A line goes if an earlier line equals it, or if
-both have ``min_chars`` characters or more and one lies within ``max_edits`` edits of the other. All
-lines are judged on the input. Blank lines always stay.
+both have ``min_chars`` characters or more and the earlier lies within ``max_edits`` edits. All
+lines are judged on the input. Blank lines always stay. With ``word_edits`` a line of ``MIN_WORDS``
+words or more also goes if an earlier one differs from it by so many replaced, added or dropped words.
 
-* Equal lines become one row with their first place; whatever is no first place goes.
+* Equal lines are one digest with their first place; whatever is no first place goes.
 * Each different line is split into ``max_edits + 1`` segments. Within so many edits of another line it
   keeps one of that line's segments unedited, near the place where it stood: for each length a partner
   may have and each segment, only the few start places are probed that leave enough edits for both
   sides (multi-match-aware windows). Keys are hashes of length, segment number and segment.
-* The join's condition also compares counts of sixteen characters, which one edit changes by two at
-  most; the join so gives few rows even where very many lines share a segment.
-* What remains is stripped of its common prefix and suffix and verified by a banded bit-parallel
-  distance: for each number of errors, one bit for each diagonal of the band, all moved at once.
-* With ``word_edits`` a line of ``MIN_WORDS`` words or more also goes if an earlier line is within a
-  tenth of the longer one's words (rounded) of replaced, added or dropped words. So many edits leave a
-  run of unedited words, as long as ``WORD_CLASSES`` says; of every such run both lines select the same word
-  gram, the one with the least hash of a window. Pairs that share one are verified by a bit-parallel
-  distance over words. Nothing is capped: no pair within the threshold is missed. Where one line has
-  fewer than ``MIN_WORDS`` words, both may be ``SHORT_EDITS`` edits of characters apart.
+* Lines that share a key are paired where the key has ``HOT_LINES`` lines at most. With one edit, a
+  hotter key is split: what the shared segment leaves of the line is cut in two again, one part of which
+  must also be shared, and so on until a key is shared by few lines or ``LEAF`` units are left. There
+  a line goes to the key of each string that it becomes with one unit left out; lines of equal length
+  that meet with the same place left out are all within one edit of one another, so each is paired with
+  the first alone. No step makes all pairs of a hot key, and none drops a pair that decides a line.
+* Only the texts of paired lines are fetched. They are stripped of their common prefix and suffix and
+  verified by a banded bit-parallel distance: for each number of errors, one bit for each diagonal of
+  the band, all moved at once.
 
 Defined results: null texts count as empty and keep their one blank line; rows that share a ``doc_id``
 follow one another by a hash of their text, and fully equal rows count as one place; an empty table
@@ -27,11 +27,10 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,23 +38,39 @@ from skein.llm.storage import saved
 
 MAX_EDITS = 1
 MIN_CHARS = 40
-#: Characters whose counts are compared before lines are.
-COUNTED = "etaoinsrhldu cmp"
 #: Lines of fewer words are near by characters only.
 MIN_WORDS = 8
-SHORT_EDITS = 4
-#: (least and most words of a line, words in a gram, grams in a window). A pair whose longer line has 40
-#: words or more has 36 in the other, so both lines are in a class together; a tenth of edits leaves a run
-#: of 4 words in the first class and 8 in the second, gram and window together are no longer than that.
-WORD_CLASSES = [(MIN_WORDS, 39, 3, 2), (36, 1 << 30, 5, 3)]
+#: A key of more lines is split further before lines are paired.
+HOT_LINES = 128
+#: A key is split no further where the partner's line has no more units left.
+LEAF = 8
 _NO_ID = -(1 << 63)
 _LINES = 10**9
 
 
+@dataclass(frozen=True)
+class Units:
+    """What an edit changes: how lines are cut, measured and sliced (from 1)."""
+
+    cut: Callable[[Column], Column]
+    size: Callable[[Column], Column]
+    part: Callable[[Column, Column, Column], Column]
+    join: Callable[[Column, Column], Column]
+
+
+CHARACTERS = Units(lambda line: line, F.length, lambda seq, start, n: F.substring(seq, start, n), F.concat)
+WORDS = Units(lambda line: F.split(F.trim(line), r"\s+"), F.size, lambda seq, start, n: F.slice(seq, start, n), F.concat)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def segment_bounds(length: Column, segments: int) -> list[tuple[Column, Column]]:
     """(start from 1, length) of each segment of a line; later segments take the remainder."""
     small = F.floor(length / segments).cast("int")
-    longer = length - small * segments  # so many segments at the end have one character more
+    longer = length - small * segments  # so many segments at the end have one unit more
     bounds, start = [], F.lit(1)
     for k in range(segments):
         size = small + F.when(F.lit(segments - k) <= longer, 1).otherwise(0)
@@ -64,58 +79,39 @@ def segment_bounds(length: Column, segments: int) -> list[tuple[Column, Column]]
     return bounds
 
 
-def _key(length: Column, segment: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(segment), text)
-
-
-def index_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    bounds = segment_bounds(length, max_edits + 1)
-    return [_key(length, k, F.substring(line, a, n)) for k, (a, n) in enumerate(bounds)]
+def segment_keys(seq: Column, size: Column, max_edits: int, units: Units = CHARACTERS) -> list[tuple[bool, int, Column]]:
+    """(held, gap, key): a line finds those that hold the key and are shorter by ``gap`` units.
 
-
-def probe_keys(line: Column, length: Column, max_edits: int) -> list[Column]:
-    """Keys of the shorter or equal lines that this line may be near to."""
+    Keys that a line holds are its own segments, which it also asks for with a gap of none.
+    """
     keys = []
     for gap in range(max_edits + 1):
-        partner = length - gap
-        for k, (start, size) in enumerate(segment_bounds(partner, max_edits + 1)):
+        partner = size - gap
+        for k, (start, length) in enumerate(segment_bounds(partner, max_edits + 1)):
             lowest = max(-k, gap - (max_edits - k))
             highest = min(k, gap + (max_edits - k))
             for shift in range(lowest, highest + 1):
-                keys.append(_key(partner, k, F.substring(line, start + shift, size)))
+                keys.append((gap == 0 and shift == 0, gap, F.xxhash64(partner.cast("int"), F.lit(k), units.part(seq, start + shift, length))))
     return keys
 
 
-def _counts(line: Column) -> list[Column]:
-    """Counts of the compared characters, eight to a long, 255 at most each."""
-    packed = []
-    for part in (COUNTED[:8], COUNTED[8:]):
-        counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long") for c in part]
-        packed.append(reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 8 * k) if k < 7 else F.shiftleft(F.least(c, F.lit(127)), 56) for k, c in enumerate(counts)]))
-    return packed
-
-
-def _count_distance(left: list[Column], right: list[Column]) -> Column:
-    parts = []
-    for a, b in zip(left, right, strict=True):
-        for k in range(8):
-            x, y = (F.shiftright(c, 8 * k).bitwiseAND(F.lit(255)) for c in (a, b))
-            parts.append(F.abs(x - y))
-    return reduce(lambda x, y: x + y, parts)
+def _common(a: Column, b: Column, from_end: bool, units: Units) -> Column:
+    """Length of the common prefix or suffix, found by halving steps."""
 
+    def same(n: Column) -> Column:
+        if from_end:
+            return units.part(a, units.size(a) - n + 1, n) == units.part(b, units.size(b) - n + 1, n)
+        return units.part(a, F.lit(1), n) == units.part(b, F.lit(1), n)
 
-def _common(a: Column, b: Column, from_end: bool) -> Column:
-    """Length of the common prefix or suffix, found by halving steps."""
-    part = (lambda text, n: F.right(text, n)) if from_end else (lambda text, n: F.left(text, n))
     steps = F.transform(F.sequence(F.lit(24), F.lit(0)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
-    most = F.least(F.length(a), F.length(b))
-    return F.aggregate(steps, F.lit(0), lambda n, step: F.when((n + step <= most) & (part(a, n + step) == part(b, n + step)), n + step).otherwise(n))
+    most = F.least(units.size(a), units.size(b))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(n + step > most, n).when(same(n + step), n + step).otherwise(n))
 
 
-def within_edits(a: Column, b: Column, max_edits: int) -> Column:
+def within_edits(a: Column, b: Column, max_edits: int, units: Units = CHARACTERS) -> Column:
     """Banded bit-parallel test of an edit distance of ``max_edits`` at most.
 
-    Bit ``d + max_edits`` of row e is set when, after j characters of ``b``, the first j + d characters
+    Bit ``d + max_edits`` of row e is set when, after j units of ``b``, the first j + d units
     of ``a`` are matched with e errors at most.
     """
     width = 2 * max_edits + 1
@@ -123,13 +119,13 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     first = [1 << max_edits]
     for _ in range(max_edits):
         first.append((first[-1] | first[-1] << 1) & band)
+    at = lambda seq, k: units.part(seq, k, F.lit(1))
 
     def step(rows: Column, j: Column) -> Column:
-        char = F.substring(b, j, F.lit(1))
         match = reduce(
             lambda x, y: x.bitwiseOR(y),
-            # places before the first character have nothing to match
-            [F.when((j + d >= 1) & (F.substring(a, F.greatest(j + d, F.lit(1)), F.lit(1)) == char), F.lit(1 << (d + max_edits))).otherwise(F.lit(0)) for d in range(-max_edits, max_edits + 1)],
+            # places before the first unit have nothing to match
+            [F.when((j + d >= 1) & (j + d <= units.size(a)) & (at(a, F.greatest(j + d, F.lit(1))) == at(b, j)), F.lit(1 << (d + max_edits))).otherwise(F.lit(0)) for d in range(-max_edits, max_edits + 1)],
         )
         now = [F.element_at(rows, 1).bitwiseAND(match)]
         for e in range(1, max_edits + 1):
@@ -140,112 +136,112 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
         return F.array(*now)
 
     start = F.array(*[F.lit(x) for x in first])
-    places = F.when(F.length(b) > 0, F.sequence(F.lit(1), F.length(b))).otherwise(F.array().cast("array<int>"))
-    rows = F.aggregate(places, start, step)
-    last = F.length(a) - F.length(b) + max_edits
-    reached = F.element_at(rows, max_edits + 1)
+    places = F.when(units.size(b) > 0, F.sequence(F.lit(1), units.size(b))).otherwise(F.array().cast("array<int>"))
+    last = units.size(a) - units.size(b) + max_edits
+    reached = F.element_at(F.aggregate(places, start, step), max_edits + 1)
     return (last >= 0) & (last < width) & (F.pmod(F.floor(reached / F.pow(F.lit(2.0), F.greatest(last, F.lit(0)))), F.lit(2)) == 1)
 
 
-def near_lines(lines: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (place, other) of different ``lines(line, place)`` within ``max_edits`` edits."""
-    line, length = F.col("line"), F.length("line")
-    some = lines.where(length >= min_chars)
-    marked = some.select("line", "place", length.alias("size"), *[c.alias(f"c{k}") for k, c in enumerate(_counts(line))])
-    carried = ["place", "size", "c0", "c1"]
-    held = marked.select(*carried, F.explode(F.array(*index_keys(line, F.col("size"), max_edits))).alias("key"))
-    # a line shorter than min_chars is no partner
-    asked = marked.select(*carried, F.explode(F.array_distinct(F.array(*probe_keys(line, F.col("size"), max_edits)))).alias("key"))
-    x, y = held.alias("x"), asked.alias("y")
-    gap = F.col("y.size") - F.col("x.size")
-    counts = _count_distance([F.col("x.c0"), F.col("x.c1")], [F.col("y.c0"), F.col("y.c1")])
-    joined = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & gap.between(0, max_edits) & ((gap > 0) | (F.col("x.place") < F.col("y.place"))) & (counts <= 2 * max_edits),
-    )
-    pairs = joined.select(F.col("x.place").alias("place"), F.col("y.place").alias("other")).distinct()
-    texts = some.select("place", "line")
-    both = pairs.join(texts.withColumnRenamed("line", "a"), "place").join(texts.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
-    both = both.withColumn("head", _common(F.col("a"), F.col("b"), False))
-    both = both.select("place", "other", *[F.substring(c, F.col("head") + 1, F.length(c)).alias(c) for c in ("a", "b")])
-    both = both.withColumn("tail", _common(F.col("a"), F.col("b"), True))
-    both = both.select("place", "other", *[F.left(F.col(c), F.length(c) - F.col("tail")).alias(c) for c in ("a", "b")])
-    return both.where(within_edits(F.col("a"), F.col("b"), max_edits)).select("place", "other")
-
-
-def word_grams(words: list[str]) -> set[int]:
-    """Hashes of the selected word grams of a line."""
-    out = set()
-    for least, most, size, window in WORD_CLASSES:
-        if least <= len(words) <= most:
-            hashed = [
-                int.from_bytes(hashlib.blake2b("\n".join([str(size), *words[k : k + size]]).encode(), digest_size=8).digest(), "little", signed=True)
-                for k in range(len(words) - size + 1)
-            ]
-            out.update(min(hashed[k : k + window]) for k in range(len(hashed) - window + 1))
-    return out
-
-
-def word_distance(a: list[str], b: list[str]) -> int:
-    """Replaced, added and dropped words between two lines: one bit for each word of ``a``."""
-    if not a:
-        return len(b)
-    places: dict[str, int] = {}
-    for k, word in enumerate(a):
-        places[word] = places.get(word, 0) | 1 << k
-    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, distance = every, 0, len(a)
-    for word in b:
-        equal = places.get(word, 0)
-        across = (((equal & plus) + plus) ^ plus) | equal | minus
-        up, down = minus | (every & ~(across | plus)), plus & across
-        distance += bool(up & last) - bool(down & last)
-        up, down = (up << 1 | 1) & every, (down << 1) & every
-        across = equal | minus
-        plus, minus = down | (every & ~(across | up)), up & across
-    return distance
-
-
-def allowed_words(longer: int) -> int:
-    return (longer + 5) // 10
-
-
-def near_by_words(lines: DataFrame, *, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (place, other) of different ``lines(line, place)`` within a tenth of their words."""
-    texts = lines.where(F.length("line") >= min_chars).select("place", "line")
-    kind = lines.schema["place"].dataType.simpleString()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, keys, sizes = [], [], []
-            for k, line in enumerate(batch["line"].to_pylist()):
-                words = line.split()
-                found = word_grams(words)
-                at.extend([k] * len(found))
-                keys.extend(found)
-                sizes.extend([len(words)] * len(found))
-            yield pa.RecordBatch.from_arrays([batch["place"].take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["place", "key", "size"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                a, b = a.split(), b.split()
-                near.append(word_distance(a, b) <= allowed_words(max(len(a), len(b))))
-            yield batch.select(["place", "other"]).filter(pa.array(near, pa.bool_()))
-
-    dealt = saved(texts.mapInArrow(grams, f"place {kind}, key long, size int"), "word-grams")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    dealt = dealt.join(shared, "key", "left_semi")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    allowed = F.floor((F.greatest("x.size", "y.size") + 5) / 10)
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") < F.col("y.place")) & (F.abs(F.col("x.size") - F.col("y.size")) <= allowed))
-    pairs = joined.select(F.col("x.place").alias("place"), F.col("y.place").alias("other")).distinct()
+def near(a: Column, b: Column, max_edits: int, units: Units = CHARACTERS) -> Column:
+    """Are two lines within ``max_edits`` edits? Common ends are taken off before the distance is."""
+
+    def inside(r: Column) -> Column:
+        if max_edits == 1:  # what differs is one unit on either side
+            return F.when((units.size(r["a"]) <= 1) & (units.size(r["b"]) <= 1), within_edits(r["a"], r["b"], max_edits, units)).otherwise(F.lit(False))
+        return within_edits(r["a"], r["b"], max_edits, units)
+
+    def without_tail(q: Column) -> Column:
+        cut = lambda seq, tail: units.part(seq, F.lit(1), units.size(seq) - tail)
+        return _let(_common(q["a"], q["b"], True, units), lambda tail: _let(F.struct(cut(q["a"], tail).alias("a"), cut(q["b"], tail).alias("b")), inside))
+
+    def without_head(p: Column) -> Column:
+        cut = lambda seq, head: units.part(seq, head + 1, F.greatest(units.size(seq) - head, F.lit(0)))
+        return _let(_common(p["a"], p["b"], False, units), lambda head: _let(F.struct(cut(p["a"], head).alias("a"), cut(p["b"], head).alias("b")), without_tail))
+
+    return _let(F.struct(units.cut(a).alias("a"), units.cut(b).alias("b")), without_head)
+
+
+def _paired(entries: DataFrame) -> DataFrame:
+    """(place, other) of ``entries(key, place, held, gap)`` where one holds the key and the other asks for it."""
+    x, y = entries.where("held").alias("x"), entries.alias("y")
+    met = x.join(y, F.col("x.key") == F.col("y.key")).where("y.gap > 0 or x.place < y.place or (x.place > y.place and not y.held)")
+    return met.select(F.col("x.place").alias("place"), F.col("y.place").alias("other"))
+
+
+def _by_heat(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries whose key others share: of keys with few lines, and of hot ones."""
+    counts = entries.groupBy("key").agg(F.count("*").alias("lines"), F.max("held").alias("any_held")).where("lines > 1 and any_held").select("key", "lines")
+    shared = saved(entries.join(counts, "key"), "shared-segments")
+    return shared.where(F.col("lines") <= HOT_LINES).drop("lines"), shared.where(F.col("lines") > HOT_LINES).drop("lines")
+
+
+def _split_hot(hot: DataFrame, texts: DataFrame, units: Units) -> DataFrame:
+    """Pairs (place, other) of hot keys' ``entries``, for one edit; see the module's text."""
+    size, left = units.size(F.col("seq")), F.col("size") - F.col("gap") - F.col("lo") - F.col("hi")
+    rest = hot.join(texts.select("place", units.cut(F.col("line")).alias("seq")), "place").withColumn("size", size)
+    # the segment that is shared: the first or the last half of the partner's line
+    half = F.floor((F.col("size") - F.col("gap")) / 2).cast("int")
+    rest = rest.withColumn("lo", F.when(F.col("side") == 0, half).otherwise(0)).withColumn("hi", F.when(F.col("side") == 1, F.col("size") - F.col("gap") - half).otherwise(0)).drop("side")
+    pairs = None
+    while not rest.isEmpty():
+        rest = rest.withColumn("left", left)
+        leaves = _leaf_pairs(rest.where(F.col("left") <= LEAF), units)
+        pairs = leaves if pairs is None else pairs.union(leaves)
+        deeper = rest.where(F.col("left") > LEAF)
+        for _ in range(2):  # two cuts at a time
+            head = F.floor(F.col("left") / 2).cast("int")
+            tail = F.col("left") - head
+            first = F.struct(F.xxhash64("key", F.lit(0), units.part(F.col("seq"), F.col("lo") + 1, head)).alias("key"), (F.col("lo") + head).alias("lo"), F.col("hi").alias("hi"))
+            second = F.struct(F.xxhash64("key", F.lit(1), units.part(F.col("seq"), F.col("size") - F.col("hi") - tail + 1, tail)).alias("key"), F.col("lo").alias("lo"), (F.col("hi") + tail).alias("hi"))
+            deeper = deeper.select("place", "held", "gap", "seq", "size", F.explode(F.array(first, second)).alias("to")).select("place", "held", "gap", "seq", "size", "to.*").withColumn("left", left)
+        few, rest = _by_heat(deeper.drop("left"))
+        pairs = pairs.union(_paired(few))
+    return hot.select("place", F.col("place").alias("other")).limit(0) if pairs is None else pairs
+
+
+def _leaf_pairs(leaves: DataFrame, units: Units) -> DataFrame:
+    """Pairs among lines that share all but ``left`` units: by the strings left when one unit is left out."""
+    rest = units.part(F.col("seq"), F.col("lo") + 1, F.col("left") + F.col("gap"))
+    lines = leaves.select("key", "place", "held", "gap", rest.alias("rest"), (F.col("left") + F.col("gap")).alias("n"))
+
+    def without(k: Column) -> Column:
+        return units.join(units.part(F.col("rest"), F.lit(1), k - 1), units.part(F.col("rest"), k + 1, F.col("n") - k))
+
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    shorter = lines.withColumn("k", F.explode(places))
+    # equal lengths: the place left out is part of the key
+    replaced = shorter.where("gap = 0").select(F.xxhash64("key", "k", without(F.col("k"))).alias("key"), "place")
+    first = replaced.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("lines")).where("lines > 1").select("key", "first")
+    pairs = replaced.join(first, "key").where("place != first").select(F.col("first").alias("place"), F.col("place").alias("other"))
+    # one longer: a whole rest is one line, so each longer line meets one
+    whole = lines.where("gap = 0").select(F.xxhash64("key", "rest").alias("key"), "place")
+    dropped = shorter.where("gap = 1").select(F.xxhash64("key", without(F.col("k"))).alias("key"), F.col("place").alias("other"))
+    return pairs.union(whole.join(dropped, "key").select("place", "other"))
+
+
+def near_lines(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *, max_edits: int, units: Units = CHARACTERS) -> DataFrame:
+    """Pairs (place, other) of different lines within ``max_edits`` edits.
+
+    ``keyed(place, keys...)`` has the lines' segment keys in the order of ``segment_keys``, null for lines
+    that are too short; ``texts_of`` adds ``line`` to a table of places.
+    """
+    kinds = segment_keys(F.lit(""), F.lit(0), max_edits) if units is CHARACTERS else segment_keys(F.array(F.lit("")), F.lit(0), max_edits, units)
+    names = [c for c in keyed.columns if c != "place"]
+    rows = [F.struct(F.col(c).alias("key"), F.lit(held).alias("held"), F.lit(gap).alias("gap"), F.lit(k % 2).alias("side")) for k, (c, (held, gap, _)) in enumerate(zip(names, kinds, strict=True))]
+    entries = keyed.where(F.col(names[0]).isNotNull()).select("place", F.explode(F.array(*rows)).alias("e")).select("place", "e.*").where("key is not null")
+    few, hot = _by_heat(entries)
+    pairs = _paired(few)
+    if max_edits == 1 and not hot.isEmpty():
+        pairs = pairs.union(_split_hot(hot, texts_of(hot.select("place").distinct()), units))
+    elif max_edits > 1:  # the join deals hot keys to several tasks
+        pairs = pairs.union(_paired(hot))
+    pairs = saved(pairs.distinct(), "line-pairs")
+    texts = saved(texts_of(pairs.select("place").union(pairs.select("other")).distinct()), "paired-lines")
     both = pairs.join(texts.withColumnRenamed("line", "a"), "place").join(texts.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
-    return both.select("place", "other", "a", "b").mapInArrow(verified, f"place {kind}, other {kind}")
+    return both.where(near(F.col("a"), F.col("b"), max_edits, units)).select("place", "other")
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: int = 0) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut to the lines that stay, and n_lines, n_exact and n_near."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     # (doc_id, hash of the text, line number) as one number, so that places compare and aggregate as one
@@ -253,16 +249,34 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     homes = docs.select("*", home.alias("_home"))
     each = homes.select("_home", F.posexplode(lines).alias("number", "line")).where(F.trim("line") != "")
     place = (F.col("_home") * F.lit(_LINES).cast("decimal(10,0)") + F.col("number").cast("decimal(10,0)")).cast("decimal(38,0)")
-    first = saved(each.select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("place")), "first-lines")
-    pairs = near_lines(first, max_edits=max_edits, min_chars=min_chars)
-    if word_edits:
-        # each edit gives one word more at most
-        short = first.where(F.size(F.split(F.trim("line"), r"\s+")) < MIN_WORDS + SHORT_EDITS)
-        pairs = pairs.union(near_by_words(first, min_chars=min_chars)).union(near_lines(short, max_edits=SHORT_EDITS, min_chars=min_chars))
-    pairs = saved(pairs, "near-lines")
-    late = pairs.select(F.greatest("place", "other").alias("place")).distinct().withColumn("near", F.lit(1))
+    searches = [(CHARACTERS, max_edits, min_chars, "c")] + ([(WORDS, word_edits, MIN_WORDS, "w")] if word_edits else [])
+    keys, names = [], {}
+    for units, edits, least, letter in searches:
+        seq = units.cut(F.col("line"))
+        size = units.size(seq)
+        own = [F.when(size - gap >= least, key).alias(f"{letter}{k}") for k, (_, gap, key) in enumerate(segment_keys(seq, size, edits, units))]
+        keys, names[letter] = keys + own, [f"{letter}{k}" for k in range(len(own))]
+    digest = F.substring(F.unhex(F.sha2("line", 256)), 1, 16)
+    # equal lines have equal keys, so any of them will do
+    occurrences = each.select(digest.alias("digest"), place.alias("place"), *keys)
+    every = [n for own in names.values() for n in own]
+    first = saved(occurrences.groupBy("digest").agg(F.min("place").alias("place"), *[F.min(n).alias(n) for n in every]).drop("digest"), "first-lines")
+
     number = F.pmod("place", F.lit(_LINES).cast("decimal(38,0)"))
-    told = first.select("place").join(late, "place", "left").select(((F.col("place") - number) / F.lit(_LINES).cast("decimal(10,0)")).cast("decimal(29,0)").alias("_home"), number.cast("int").alias("number"), "near")
+    home_of = ((F.col("place") - number) / F.lit(_LINES).cast("decimal(10,0)")).cast("decimal(29,0)")
+
+    def texts_of(places: DataFrame) -> DataFrame:
+        # no more numbers than the document has lines
+        wanted = places.groupBy(home_of.alias("_home")).agg(F.collect_list(F.struct(number.cast("int").alias("number"), "place")).alias("wanted"))
+        found = homes.select("_home", "text").join(wanted, "_home").select(lines.alias("lines"), F.explode("wanted").alias("at"))
+        return found.select("at.place", F.element_at("lines", F.col("at.number") + 1).alias("line")).dropDuplicates(["place"])
+
+    pairs = None
+    for units, edits, _, letter in searches:
+        more = near_lines(first.select("place", *names[letter]), texts_of, max_edits=edits, units=units)
+        pairs = more if pairs is None else pairs.union(more)
+    late = saved(pairs.select(F.greatest("place", "other").alias("place")).distinct(), "late-lines").withColumn("near", F.lit(1))
+    told = first.select("place").join(late, "place", "left").select(home_of.alias("_home"), number.cast("int").alias("number"), "near")
     told = told.groupBy("_home").agg(F.collect_list(F.when(F.col("near").isNull(), F.col("number"))).alias("_kept"), F.count("near").alias("n_near"))
     out = homes.join(told, "_home", "left").withColumn("_lines", lines)
     blank = F.filter(F.transform("_lines", lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())

@@ -9,8 +9,8 @@ import pytest
 
 import corpus_pipeline
 from skein.llm.embed_dedup import near_vectors
-from skein.llm import warc_audit
-from skein.llm.line_dedup import allowed_words, near_by_words, word_distance
+from skein.llm import line_dedup, warc_audit
+from skein.llm.line_dedup import dedup_lines
 from skein.llm.suffix_dedup import remove_repeats
 
 
@@ -39,46 +39,54 @@ def slow_distance(a, b):
     return row[-1]
 
 
-def edited(rng, words, edits, fresh):
-    out = list(words)
-    for _ in range(edits):
-        k, what = rng.randrange(len(out)), rng.randrange(3)
-        out[k : k + 1] = [[fresh()], [], [out[k], fresh()]][what]
-    return out
+def near_words(x, y):
+    """Is one word replaced, added or dropped between two lists of different words?"""
+    return abs(len(x) - len(y)) <= 1 and slow_distance(x, y) == 1
 
 
-def test_near_lines_by_words(spark):
+@pytest.mark.parametrize("hot", [128, 3])
+@pytest.mark.parametrize("letters", ["abcdefgh", "aé"])
+def test_one_edit_of_characters_and_words(spark, monkeypatch, hot, letters):
+    """Every line that an earlier one is within one edit of goes, whether keys are hot or not."""
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot)
     rng = random.Random(5)
-    fresh = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    word = lambda: "".join(rng.choice(letters) for _ in range(6))
     lines = []
-    for size in [8, 9, 14, 15, 16, 24, 25, 33, 34, 35, 36, 38, 39, 40, 41, 44, 60, 120]:
-        base = [fresh() for _ in range(size)]
-        lines += [base] + [edited(rng, base, n, fresh) for n in range(1, allowed_words(size) + 3)]
-        even = list(base)  # edits spread so that the runs between them are as short as can be
-        for k in range(allowed_words(size)):
-            even[(k + 1) * size // (allowed_words(size) + 1)] = fresh()
-        lines.append(even)
-    want = set()
-    for a in range(len(lines)):
-        for b in range(a + 1, len(lines)):
-            x, y = lines[a], lines[b]
-            apart = slow_distance(x, y)
-            assert word_distance(x, y) == apart
-            if min(len(x), len(y)) >= 8 and apart <= allowed_words(max(len(x), len(y))):
-                want.add((a, b))
-    table = spark.createDataFrame([(" ".join(x), k) for k, x in enumerate(lines)], "line string, place long")
-    found = [tuple(r) for r in near_by_words(table).select("place", "other").collect()]
-    assert len(want) > 40 and sorted(found) == sorted(want)
+    for size in [8, 33]:
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            lines.append(" ".join(base))
+            for _ in range(9):
+                k, what = rng.randrange(size), rng.randrange(3)
+                words = list(base)
+                words[k : k + 1] = [[word()], [], [words[k], word()]][what]
+                lines.append(" ".join(words))
+                text = lines[-1]
+                at, what = rng.randrange(len(text)), rng.randrange(3)
+                lines.append(text[:at] + ["", rng.choice(letters), text[at] + "x"][what] + text[at + 1 :])
+    lines += [f"a line that many documents share but for its number {k:03d} of all" for k in range(0, 400, 19)]
+    lines = list(dict.fromkeys(lines))
+    rng.shuffle(lines)
+    for word_edits in (0, 1):
+        want = set()
+        for j, b in enumerate(lines):
+            for a in lines[:j]:
+                chars = min(len(a), len(b)) >= 40 and abs(len(a) - len(b)) <= 1 and slow_distance(a, b) <= 1
+                x, y = a.split(), b.split()
+                if chars or word_edits and min(len(x), len(y)) >= 8 and near_words(x, y):
+                    want.add(j)
+                    break
+        table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        found = {r.doc_id for r in dedup_lines(table, word_edits=word_edits).collect() if r.n_near}
+        assert len(want) > 40 and found == want
 
 
 def test_pipeline_drops_lines_with_replaced_words(spark, sf_dir):
     line = "the old round hill stands above a town where every morning some people walk to their work by the river"
     once, twice = line.replace("round", "pleasant"), line.replace("round", "pleasant").replace("river", "harbour")
-    few = "internationalisation misunderstandings counterrevolutionaries"
-    four = few.replace("inter", "enter").replace("under", "ander").replace("aries", "ariez").replace("counter", "coumter")
-    docs = spark.createDataFrame([(1, line, 0), (2, once + "\nsomething else", 0), (3, twice, 0), (4, few, 0), (5, four, 0)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, line, 0), (2, once + "\nsomething else", 0), (3, twice, 0)], "doc_id long, text string, n_chars long")
     kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, sf_dir).collect()}
-    assert kept == {1: line, 2: "something else", 3: "", 4: few, 5: ""}
+    assert kept == {1: line, 2: "something else", 3: ""}
 
 
 def statuses(spark, tmp_path, change):
