@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line repeats or nearly repeats, up to a tenth of the words; ``n_chars`` counts what is left."""
-    kept = dedup_lines(docs, word_edits=True)
+    """All documents, without the lines that an earlier line repeats, up to one edit of a character or a word; ``n_chars`` counts what is left."""
+    kept = dedup_lines(docs, word_edits=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
