@@ -6,24 +6,27 @@ out-of-fold predictions, so a model never sees an earlier model's opinion of row
 
 Models are fitted on a sample of at most ``sample_rows`` labelled documents (those with the smallest
 hashes of their ids; equal texts count once) and hold at most ``max_features`` words each,
-all of which tell more about the label than chance would over all words tried. Every
-document is scored, over its whole text.
+all of which tell more about the label than chance would over all words tried. Spark counts and
+chooses the words; each model of a category, whole or with a fold left out, is fitted in a task of its
+own, so the driver sees parameters and out-of-fold probabilities only. Every document is scored, over
+its whole text.
 
 Defined results: null and empty texts are scored by the intercepts; rows whose label is null are left
-out of that category's training; a category with only one class gets a constant; without any labels
-all probabilities are zero; rows that share a ``doc_id`` are scored separately; further columns are
-ignored.
+out of that category's training; a category with only one class gets a constant, and a fold without
+any row outside it a probability of one half; without any labels all probabilities are zero; rows that
+share a ``doc_id`` are scored separately; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import textscan
@@ -76,48 +79,37 @@ def probability(model: Linear, rows: Rows, earlier: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_margin(model, rows, earlier), -30, 30)))
 
 
-def _information(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int) -> np.ndarray:
+def _information(positive: Column, total: Column, n_positive: int, n: int) -> Column:
     """G statistic of each word's presence against the label."""
-    g = np.zeros(len(total))
+    parts = []
     for hit, size in ((positive, total), (n_positive - positive, n - total)):
         for count, share in ((hit, n_positive / n), (size - hit, 1 - n_positive / n)):
-            expected = size * share
-            g += 2 * count * np.log(np.maximum(count, 1e-12) / np.maximum(expected, 1e-12))
-    return g
+            parts.append(2 * count * F.ln(F.greatest(count, F.lit(1e-12)) / F.greatest(size * share, F.lit(1e-12))))
+    return reduce(lambda x, y: x + y, parts)
 
 
-def telling(total: np.ndarray, positive: np.ndarray, n: int, n_positive: int, tried: int, *, max_features: int, least: int) -> np.ndarray:
-    """Numbers of the words that tell most about the label, more than chance would over all ``tried`` words."""
-    score = np.where(total >= least, _information(positive, total, n_positive, n), 0.0)
+def _telling(counts: DataFrame, positive: Column, total: Column, n: int, n_positive: int, tried: int, max_features: int, least: int) -> DataFrame:
+    """Words that tell most about the label, more than chance would over all ``tried`` words."""
     # chance alone would pass the bound for one label in a hundred, over all words that are tried
-    bound = 2 * np.log(max(1, tried) / SIGNIFICANCE)
-    chosen = np.sort(np.argsort(-score, kind="stable")[:max_features])
-    return chosen[score[chosen] > bound]
+    bound = 2 * math.log(max(1, tried) / SIGNIFICANCE)
+    scored = counts.where(total >= least).select("word", _information(positive.cast("double"), total.cast("double"), n_positive, n).alias("score"))
+    return scored.where(F.col("score") > bound).orderBy(F.desc("score"), "word").limit(max_features).select("word")
 
 
-def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, tried: int | None = None, max_features: int = MAX_FEATURES, least: int = LEAST_DOCUMENTS, l2: float = L2, iterations: int = 400) -> Linear:
-    """Logistic regression on the most telling words, by accelerated gradient steps.
-
-    ``tried`` counts the words there were to choose from, where ``rows`` hold only some of them.
-    """
+def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, l2: float = L2, iterations: int = 400) -> Linear:
+    """Logistic regression on the words of ``rows``, by accelerated gradient steps."""
     n, n_positive = len(label), int(label.sum())
     none = np.zeros(0)
     if n_positive in (0, n):
-        return Linear(np.zeros(0, dtype=np.uint64), none, np.zeros(earlier.shape[1]), -30.0 if n_positive == 0 else 30.0)
-    words, at = np.unique(rows.word, return_inverse=True)
-    total = np.bincount(at, minlength=len(words)).astype(float)
-    positive = np.bincount(at, weights=label[rows.row], minlength=len(words))
-    chosen = telling(total, positive, n, n_positive, int((total >= least).sum()) if tried is None else tried, max_features=max_features, least=least)
-    number = np.full(len(words), -1)
-    number[chosen] = np.arange(len(chosen))
-    column = number[at]
-    row, column = rows.row[column >= 0], column[column >= 0]
-    width = len(chosen)
+        constant = 0.0 if n == 0 else -30.0 if n_positive == 0 else 30.0
+        return Linear(np.zeros(0, dtype=np.int64), none, np.zeros(earlier.shape[1]), constant)
+    words, column = np.unique(rows.word, return_inverse=True)
+    row, width = rows.row, len(words)
     weight, momentum, extra, extra_momentum = np.zeros(width), np.zeros(width), np.zeros(earlier.shape[1]), np.zeros(earlier.shape[1])
     intercept = intercept_momentum = float(np.log(n_positive / (n - n_positive)))
     # step by column: half the mass of a column bounds its curvature
     most = np.bincount(row, minlength=n).max(initial=1) + earlier.shape[1] + 1
-    curvature = total[chosen] / 4 + l2
+    curvature = np.bincount(column, minlength=width) / 4 + l2
     step = 4.0 / most
     previous = 1.0
     for _ in range(iterations):
@@ -130,28 +122,40 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, tried: int | None
         pull = (previous - 1) / now
         momentum, extra_momentum, intercept_momentum = new + pull * (new - weight), new_extra + pull * (new_extra - extra), new_intercept + pull * (new_intercept - intercept)
         weight, extra, intercept, previous = new, new_extra, new_intercept, now
-    return Linear(words[chosen], weight, extra, float(intercept))
+    return Linear(words, weight, extra, float(intercept))
+
+
+FITTED = "left_out int, words array<long>, weights array<double>, earlier array<double>, intercept double, held array<long>, told array<double>"
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray, n_folds: int = FOLDS, *, tried: dict[tuple[int, int], int] | None = None, **options) -> list[Linear]:
-    """One model for each column of ``labels`` (NaN: unknown), fed with out-of-fold probabilities before it.
+def _fit_models(rows: DataFrame, category: str, earlier: list[tuple[np.ndarray, np.ndarray]], chosen: dict[int, np.ndarray], options: dict) -> list:
+    """One model for each fold left out (-1: none), each in a task: its parameters, and probabilities of the fold's rows.
 
-    ``tried`` has the number of words to choose from, by category and fold left out (-1: none).
+    ``rows`` has (row, fold, <category>, words); ``earlier`` sorted rows and probabilities of each category before.
     """
-    models, earlier, tried = [], np.zeros((rows.n, 0)), tried or {}
-    for k in range(labels.shape[1]):
-        known = ~np.isnan(labels[:, k])
-        label = np.nan_to_num(labels[:, k])
-        models.append(fit(rows.take(known), label[known], earlier[known], tried=tried.get((k, -1)), **options))
-        if k + 1 < labels.shape[1]:
-            told = np.zeros(rows.n)
-            for fold in range(n_folds):
-                train, held = known & (folds != fold), folds == fold
-                if held.any():
-                    model = fit(rows.take(train), label[train], earlier[train], tried=tried.get((k, fold)), **options) if train.any() else models[-1]
-                    told[held] = probability(model, rows.take(held), earlier[held])
-            earlier = np.column_stack([earlier, told])
-    return models
+
+    def fitted(table: pa.Table) -> pa.Table:
+        left_out = table["left_out"][0].as_py()
+        ids, fold = table["row"].to_numpy(), table["fold"].to_numpy()
+        label = table[category].to_numpy()
+        lists = table["words"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        word, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes)
+        own = chosen.get(left_out, np.zeros(0, dtype=np.int64))
+        known = own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word if len(own) else np.zeros(len(word), dtype=bool)
+        every = Rows(row[known], word[known], len(ids))
+        before = np.column_stack([p[np.searchsorted(i, ids)] for i, p in earlier]) if earlier else np.zeros((len(ids), 0))
+        train, held = ~np.isnan(label) & (fold != left_out), fold == left_out
+        model = fit(every.take(train), label[train], before[train], **options)
+        told = probability(model, every.take(held), before[held])
+        one = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.Table.from_arrays(
+            [pa.array([left_out], pa.int32()), one(model.words, pa.int64()), one(model.weights, pa.float64()), one(model.earlier, pa.float64()), pa.array([model.intercept]), one(ids[held], pa.int64()), one(told, pa.float64())],
+            names=[c.split()[0] for c in FITTED.split(", ")],
+        )
+
+    dealt = rows.select("row", "fold", category, "words", F.explode(F.array(*[F.lit(k) for k in chosen])).alias("left_out"))
+    return dealt.groupBy("left_out").applyInArrow(fitted, FITTED).collect()  # parameters, and sample_rows probabilities in all
 
 
 def word_rows(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, int, Rows]]:
@@ -184,8 +188,8 @@ def _batches_of_words(batch: pa.RecordBatch, names: list[str], vocabulary: np.nd
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES, least: int = LEAST_DOCUMENTS, **options) -> list[Linear] | None:
     """Fit the chain on a bounded sample of ``labels(doc_id, <categories>)``.
 
-    Spark counts in how many documents of each label and fold each word is; the driver sees these
-    counts for words of ``least`` documents or more, and of the documents only the telling words.
+    Spark counts in how many documents of each label and fold each word is and chooses the telling ones;
+    what the documents have of these goes to the tasks that fit.
     """
     order = F.xxhash64(F.lit(1), "doc_id")
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories]).where("doc_id is not null").orderBy(order, *categories).limit(sample_rows)
@@ -194,66 +198,73 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, sa
     first = F.min(F.struct("doc_id", *categories)).alias("row")
     sample = sample.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(first).select("text", "row.*")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = saved(sample.repartition(parts, "doc_id"), "labelled")  # a small table, but much to count in it
-    names = ["doc_id", *categories]
-    shape = f"doc_id long, {', '.join(f'{c} double' for c in categories)}, words array<long>"
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _batches_of_words(batch, names)
-
-    def fold_of(ids: np.ndarray) -> np.ndarray:
-        return (textscan.mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    fold = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = sample.repartition(parts, "doc_id").withColumn("fold", fold).withColumn("row", F.monotonically_increasing_id())
+    sample = saved(sample, "labelled")  # a small table, but much to count in it
+    names = ["row", "fold", *categories]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, cell, n): documents by word, and by category, fold and label as one number."""
-        for batch in sets(batches):
-            lists = batch["words"]
-            word, sizes = lists.values.to_numpy(), np.diff(lists.offsets.to_numpy())
-            fold = fold_of(batch["doc_id"].to_numpy())
-            for k, c in enumerate(categories):
-                label = batch[c].to_numpy(zero_copy_only=False)
-                cell = np.repeat((k * FOLDS + fold) * 2 + (label > 0), sizes)
-                known = np.repeat(~np.isnan(label), sizes)
-                pair = np.stack([word[known], cell[known]])
-                pair = pair[:, np.lexsort(pair[::-1])]
-                head = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))) if pair.shape[1] else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0, head]), pa.array(pair[1, head]), pa.array(np.diff(np.append(head, pair.shape[1])))], names=["word", "cell", "n"])
+        for whole in batches:
+            for batch in _batches_of_words(whole, names):
+                lists = batch["words"]
+                word, sizes = lists.values.to_numpy(), np.diff(lists.offsets.to_numpy())
+                fold = batch["fold"].to_numpy().astype(np.int64)
+                for k, c in enumerate(categories):
+                    label = batch[c].to_numpy(zero_copy_only=False)
+                    cell = np.repeat((k * FOLDS + fold) * 2 + (label > 0), sizes)
+                    known = np.repeat(~np.isnan(label), sizes)
+                    pair = np.stack([word[known], cell[known]])
+                    pair = pair[:, np.lexsort(pair[::-1])]
+                    head = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0))) if pair.shape[1] else np.zeros(0, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0, head]), pa.array(pair[1, head]), pa.array(np.diff(np.append(head, pair.shape[1])))], names=["word", "cell", "n"])
 
     cells = len(categories) * FOLDS * 2
     counted = sample.mapInArrow(count, "word long, cell long, n long").groupBy("word").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).cast("int").alias(f"c{k}") for k in range(cells)])
     # what one category counts of a word, all of them bound: a document has a word once
     often = [sum(F.col(f"c{j}") for j in range(k * FOLDS * 2, (k + 1) * FOLDS * 2)) >= least for k in range(len(categories))]
-    table = counted.where(reduce(lambda a, b: a | b, often)).toArrow()
-    people = sample.select(*names).toArrow()
-    if not people.num_rows:
+    counts = saved(counted.where(reduce(lambda a, b: a | b, often)), "word-counts")
+    known = lambda c: [F.count(c).alias(f"n_{c}"), F.coalesce(F.sum(F.when(F.col(c) > 0, 1).otherwise(0)), F.lit(0)).alias(f"p_{c}")]
+    people = {r["fold"]: r for r in sample.groupBy("fold").agg(*[x for c in categories for x in known(c)]).collect()}  # FOLDS rows
+    if not people:
         return None
-    words = table["word"].to_numpy().view(np.uint64)
-    counts = np.stack([table[f"c{k}"].to_numpy() for k in range(cells)]).reshape(len(categories), FOLDS, 2, -1)
-    matrix = np.column_stack([people[c].to_numpy() for c in categories])
-    folds = fold_of(people["doc_id"].to_numpy())
-    tried, wanted = {}, [np.zeros(0, dtype=np.uint64)]
-    for k in range(len(categories)):
-        for left_out in range(-1, FOLDS if k + 1 < len(categories) else 0):
-            inside = [f for f in range(FOLDS) if f != left_out]
-            positive = counts[k, inside, 1].sum(axis=0).astype(float)
-            total = counts[k, inside, 0].sum(axis=0) + positive
-            label = matrix[~np.isnan(matrix[:, k]) & (folds != left_out), k]
-            tried[k, left_out] = int((total >= least).sum())
-            if 0 < label.sum() < len(label):
-                wanted.append(words[telling(total, positive, len(label), int(label.sum()), tried[k, left_out], max_features=max_features, least=least)])
-    vocabulary = np.unique(np.concatenate(wanted))
+    models_of = [(k, left_out) for k in range(len(categories)) for left_out in range(-1, FOLDS if k + 1 < len(categories) else 0)]
+
+    def seen(k: int, left_out: int) -> tuple[Column, Column]:
+        inside = [f for f in range(FOLDS) if f != left_out]
+        positive = reduce(lambda x, y: x + y, [F.col(f"c{(k * FOLDS + f) * 2 + 1}") for f in inside])
+        return positive, positive + reduce(lambda x, y: x + y, [F.col(f"c{(k * FOLDS + f) * 2}") for f in inside])
+
+    tried = counts.agg(*[F.count(F.when(seen(*m)[1] >= least, 1)).alias(f"t{i}") for i, m in enumerate(models_of)]).first()
+    telling: dict[tuple[int, int], np.ndarray] = {}
+    for i, (k, left_out) in enumerate(models_of):
+        inside = [r for f, r in people.items() if f != left_out]
+        n, n_positive = (sum(r[f"{x}_{categories[k]}"] for r in inside) for x in "np")
+        telling[k, left_out] = np.zeros(0, dtype=np.int64)
+        if 0 < n_positive < n:
+            positive, total = seen(k, left_out)
+            found = _telling(counts, positive, total, n, n_positive, tried[f"t{i}"], max_features, least).collect()  # max_features at most
+            telling[k, left_out] = np.sort(np.array([r["word"] for r in found], dtype=np.int64))
+    vocabulary = np.unique(np.concatenate(list(telling.values())).view(np.uint64))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _batches_of_words(batch, names, vocabulary)
 
-    table = sample.mapInArrow(told, shape).toArrow().sort_by("doc_id").combine_chunks()
-    lists = table["words"].combine_chunks()
-    bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-    rows = Rows(np.repeat(np.arange(table.num_rows), np.diff(bounds)), values[bounds[0] : bounds[-1]], table.num_rows)
-    matrix = np.column_stack([table[c].to_numpy() for c in categories])
-    return fit_chain(rows, matrix, fold_of(table["doc_id"].to_numpy()), tried=tried, max_features=max_features, least=least, **options)
+    shape = f"row long, fold int, {', '.join(f'{c} double' for c in categories)}, words array<long>"
+    rows = saved(sample.mapInArrow(told, shape), "labelled-words")
+    chain, earlier = [], []
+    for k, category in enumerate(categories):
+        models = _fit_models(rows, category, earlier, {m: telling[k, m] for j, m in models_of if j == k}, options)
+        whole = next(m for m in models if m["left_out"] == -1)
+        words = np.array(whole["words"], dtype=np.int64).view(np.uint64)
+        by_hash = np.argsort(words)
+        chain.append(Linear(words[by_hash], np.array(whole["weights"])[by_hash], np.array(whole["earlier"]), whole["intercept"]))
+        if k + 1 < len(categories):
+            ids = np.concatenate([np.array(m["held"], dtype=np.int64) for m in models])
+            share = np.concatenate([np.array(m["told"], dtype=float) for m in models])
+            earlier.append((np.sort(ids), share[np.argsort(ids)]))
+    return chain
 
 
 def score(docs: DataFrame, models: list[Linear] | None, categories: tuple[str, ...]) -> DataFrame:
