@@ -1,8 +1,9 @@
 """WARC archives with a Merkle fixity audit.
 
-Archives: pages are written as WARC/1.1 records, in ranges of ``page_id``, by Spark's text writer with
-the record end as separator, so each part file is a valid, uncompressed WARC file on any file system
-that Spark reaches. A file is read back whole by one task, which finds the record boundaries in its bytes.
+Archives: each task writes the pages that it reads as WARC/1.1 records, a new file whenever ``file_bytes``
+are full, by Spark's text writer with the record end as separator and gzip around each file. No page
+is shuffled. A file is read back whole by one task, which finds the record boundaries in its bytes;
+offsets count the bytes inside the gzip. What a damaged gzip still gives up to the damage is read.
 
 Audit: records are told from the bytes of a replica's files, with the byte offset and length where they
 stand; what their headers say takes no part. A leaf hashes offset, length and digest of one record. Nodes
@@ -15,100 +16,131 @@ they are damaged, a digest at another offset is moved, others are missing or add
 twice is one more at its second offset, and added.
 
 Defined results: null urls and bodies are written as empty; records whose text holds the record
-boundary are written in base64; pages that share a ``page_id`` are separate records, ordered by url and
-body; a record whose header is damaged is still a record, told by its place; empty tables give empty archives.
+boundary are written in base64; pages that share a ``page_id`` are separate records; a page longer than
+``file_bytes`` has a file of its own; a record whose header is damaged is still a record, told by its
+place, without ``page_id``; empty tables give empty archives; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.storage import new_path, saved
+from skein.llm.storage import new_path, removed, saved
 
 RECORD_END = "\r\n\r\n"
 VERSION = "WARC/1.1\r\n"
 FANOUT = 16
-RECORDS_PER_FILE = 4096
+#: Bytes of a file before compression; a task holds one file.
+FILE_BYTES = 32 << 20
 #: Bytes of a range of leaves.
 LEAF_BYTES = 1 << 15
+_BOUNDARY = (RECORD_END + VERSION).encode()
+_PAGE = re.compile(rb"WARC-Record-ID: <urn:skein:page:(-?\d+):")
 
 
-def to_records(pages: DataFrame, *, records_per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(page_id, file, seq, offset, length, record): WARC records and their places.
+def to_records(pages: DataFrame, *, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(file, seq, record): the pages' WARC records and their places, a file's records in one task."""
 
-    Pages are dealt by ranges of ``page_id``; a file holds the next ``records_per_file`` of a range.
-    """
-    spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = F.coalesce("html", F.lit(""))
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
-    encoded = body.contains(RECORD_END + VERSION) | body.endswith("\r\n\r\nWARC/1.1")
-    body = F.when(encoded, F.base64(F.encode(body, "UTF-8"))).otherwise(body)
-    ordered = (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), body.alias("body"), encoded.alias("encoded"))
-        .repartitionByRange(parts, "page_id")
-        .withColumn("part", F.spark_partition_id())
-    )
-    ordered = saved(ordered, "pages")
-    # a part is one range: its rows are as many as range partitioning gives
-    order = Window.partitionBy("part").orderBy(F.col("page_id").asc_nulls_first(), "url", "body")
-    placed = ordered.withColumn("nth", F.row_number().over(order) - 1)
-    placed = placed.withColumn("file", F.format_string("%06d-%06d", "part", F.floor(F.col("nth") / records_per_file))).withColumn("seq", (F.col("nth") % records_per_file).cast("long"))
-    head = F.concat(
-        F.lit(VERSION + "WARC-Type: resource\r\nWARC-Record-ID: <urn:skein:"),
-        F.concat_ws(":", "file", F.col("seq").cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))),
-        F.lit(">\r\nWARC-Target-URI: "),
-        F.col("url"),
-        F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: text/html; charset=utf-8\r\n"),
-        F.when(F.col("encoded"), F.lit("Content-Transfer-Encoding: base64\r\n")).otherwise(""),
-        F.lit("Content-Length: "),
-        F.octet_length("body").cast("string"),
-        F.lit("\r\n\r\n"),
-    )
-    records = placed.select("page_id", "file", "seq", F.concat(head, "body").alias("record"))
-    records = records.withColumn("length", (F.octet_length("record") + len(RECORD_END)).cast("long"))
-    before = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    def record(page_id: int | None, url: str | None, body: str | None, nth: int) -> bytes:
+        url, body, kind = re.sub(r"[\r\n]", " ", url or ""), (body or "").encode(), ""
+        if _BOUNDARY in body or body.endswith(_BOUNDARY[:-2]):
+            body, kind = base64.b64encode(body), "Content-Transfer-Encoding: base64\r\n"
+        head = f"{VERSION}WARC-Type: resource\r\nWARC-Record-ID: <urn:skein:page:{'null' if page_id is None else page_id}:{nth}>\r\nWARC-Target-URI: {url}\r\n"
+        return f"{head}WARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: text/html; charset=utf-8\r\n{kind}Content-Length: {len(body)}\r\n\r\n".encode() + body
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held, seq, nth = 0, 0, 0, 0
+        for batch in batches:
+            files, places, records = [], [], []
+            for task, page_id, url, body in zip(*(batch[c].to_pylist() for c in ("task", "page_id", "url", "html")), strict=True):
+                one = record(page_id, url, body, nth)
+                if held and held + len(one) > file_bytes:
+                    file, held, seq = file + 1, 0, 0
+                files.append(f"{task:06d}-{file:06d}")
+                places.append(seq)
+                records.append(one)
+                held, seq, nth = held + len(one) + len(RECORD_END), seq + 1, nth + 1
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(places, pa.int64()), pa.array(records, pa.binary())], names=["file", "seq", "record"])
+
+    told_of = pages.select(F.spark_partition_id().alias("task"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return told_of.mapInArrow(told, "file string, seq long, record binary")
 
 
 def write_archive(records: DataFrame, path: str) -> None:
-    """One folder for each file, each with one part: the file's records in the order of their offsets."""
-    dealt = records.repartition("file").sortWithinPartitions("file", "seq")
-    dealt.select("file", F.col("record").alias("value")).write.partitionBy("file").option("lineSep", RECORD_END).text(path)
+    """One folder for each file, each with one part: the file's ``records(file, seq, record)`` in order.
+
+    The records of a file stand in one partition.
+    """
+    dealt = records.select("file", "seq", F.col("record").cast("string").alias("value")).sortWithinPartitions("file", "seq")
+    dealt.select("file", "value").write.partitionBy("file").option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+
+
+def _inside(content: bytes) -> bytes:
+    """A file's bytes without the gzip around them, up to where that is damaged."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    reader, parts = zlib.decompressobj(31), []
+    try:
+        for k in range(0, len(content), 1 << 16):
+            parts.append(reader.decompress(content[k : k + (1 << 16)]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[tuple[int, int]]]]:
+    """(file, bytes, where each record begins and ends) of files read whole."""
+    for batch in batches:
+        for where, content in zip(batch["path"], batch["content"], strict=True):
+            name = re.search(r"/file=([^/]+)/[^/]*$", where.as_py()).group(1)
+            whole = _inside(content.as_py())
+            starts, at = [0] if whole else [], whole.find(_BOUNDARY)
+            while at >= 0:
+                starts.append(at + len(RECORD_END))
+                at = whole.find(_BOUNDARY, at + len(RECORD_END))
+            yield name, whole, list(zip(starts, [*starts[1:], len(whole)], strict=True)) if starts else []
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, digest) of the records as they stand in the files' bytes.
+    """(file, offset, length, digest, seq, page_id) of the records as they stand in the files' bytes.
 
-    A file holds ``RECORDS_PER_FILE`` records at most, so one fits a task.
+    ``page_id`` is what the record's header says, for reports only.
     """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boundary = (RECORD_END + VERSION).encode()
-        for batch in batches:
-            for where, content in zip(batch["path"], batch["content"], strict=True):
-                name = re.search(r"/file=([^/]+)/[^/]*$", where.as_py()).group(1)
-                data = memoryview(content.as_buffer())
-                whole = content.as_py()
-                starts, at = [0] if whole else [], whole.find(boundary)
-                while at >= 0:
-                    starts.append(at + len(RECORD_END))
-                    at = whole.find(boundary, at + len(RECORD_END))
-                ends = [*starts[1:], len(whole)]
-                digests = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(starts), pa.string()), pa.array(starts, pa.int64()), pa.array([j - i for i, j in zip(starts, ends, strict=True)], pa.int64()), pa.array(digests, pa.string())],
-                    names=["file", "offset", "length", "digest"],
-                )
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(told, "file string, offset long, length long, digest string")
+        for name, whole, places in _records(batches):
+            data = memoryview(whole)
+            digests = [hashlib.sha256(data[i:j]).hexdigest() for i, j in places]
+            pages = [m and int(m.group(1)) for m in (_PAGE.search(data[i : min(j, i + 256)]) for i, j in places)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(places), pa.string()), pa.array([i for i, _ in places], pa.int64()), pa.array([j - i for i, j in places], pa.int64()), pa.array(digests, pa.string()), pa.array(range(len(places)), pa.int64()), pa.array(pages, pa.int64())],
+                names=["file", "offset", "length", "digest", "seq", "page_id"],
+            )
+
+    return _files(spark, path).mapInArrow(told, "file string, offset long, length long, digest string, seq long, page_id long")
+
+
+def archived_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, record) of an archive, a file's records in one task."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, whole, places in _records(batches):
+            records = [whole[i:j].removesuffix(RECORD_END.encode()) for i, j in places]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(range(len(places)), pa.int64()), pa.array(records, pa.binary())], names=["file", "seq", "record"])
+
+    return _files(spark, path).mapInArrow(told, "file string, seq long, record binary")
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -219,30 +251,30 @@ def damage(records: DataFrame, every: int = 97) -> DataFrame:
     Which ones follows from a hash of each record's place.
     """
     dice = F.pmod(F.xxhash64("file", "seq"), F.lit(every))
-    flipped = F.concat(F.expr("left(record, length(record) - 1)"), F.when(F.right("record", F.lit(1)) == "#", "@").otherwise("#"))
-    out = records.where(dice != 1).withColumn("record", F.when(dice == 0, flipped).when(dice == 4, F.concat("record", F.lit("#"))).otherwise(F.col("record")))
+    text = F.col("record").cast("string")
+    flipped = F.concat(F.left(text, F.length(text) - 1), F.when(F.right(text, F.lit(1)) == "#", "@").otherwise("#"))
+    changed = F.when(dice == 0, flipped).when(dice == 4, F.concat(text, F.lit("#"))).otherwise(text)
     # places in tenths: a swapped record goes behind the next one, a second copy right behind the first
     at = F.col("seq") * 10
     places = F.when(dice == 2, F.array(at, at + 1)).when(dice == 3, F.array(at + 12)).otherwise(F.array(at))
-    return out.withColumn("seq", F.explode(places))
+    return records.where(dice != 1).select("file", F.explode(places).alias("seq"), changed.alias("record"))
 
 
 def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages twice, one replica with rehearsed faults, and locate these from both roots.
 
-    Places, lengths and digests are those read back from the archive's bytes. Added records have no page.
+    Places, lengths and digests are those read back from the archive's bytes; ``page_id`` is null for added records.
     """
-    records = to_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    manifest = saved(records, "records")
     paths = [new_path(spark, f"replica-{k}") for k in "ab"]
-    write_archive(manifest, paths[0])
-    write_archive(damage(manifest), paths[1])
+    write_archive(to_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), paths[0])
+    write_archive(damage(archived_records(spark, paths[0])), paths[1])
     read = [saved(read_archive(spark, p), "read") for p in paths]
+    for path in paths:  # the audit works on what was read
+        removed(spark, path)
     longest = max(r.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0 for r in read)
     trees = [tree(r, levels=depth(longest)) for r in read]
     found = compare(*read, audit(*trees))
     roots = trees[0][-1].select("file", F.col("digest").alias("file_root"))
     told = read[0].join(found.where("status != 'added'").select("file", "offset", "status"), ["file", "offset"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
-    known = manifest.select("file", "offset", "page_id", "seq")
-    told = told.join(known, ["file", "offset"], "left").unionByName(found.where("status = 'added'"), allowMissingColumns=True)
+    told = told.unionByName(found.where("status = 'added'"), allowMissingColumns=True)
     return told.join(roots, "file", "left").select("page_id", "file", "seq", "offset", "length", F.col("digest").alias("sha256"), "file_root", "status")
