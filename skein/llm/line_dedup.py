@@ -44,6 +44,8 @@ MIN_WORDS = 8
 HOT_LINES = 128
 #: A key is split no further where the partner's line has no more units left.
 LEAF = 8
+#: So many documents' numbers are broadcast at most, 24 bytes each.
+TOLD_HOMES = 500_000
 _NO_ID = -(1 << 63)
 _LINES = 10**9
 
@@ -268,7 +270,11 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     def texts_of(places: DataFrame) -> DataFrame:
         # no more numbers than the document has lines
         wanted = places.groupBy(home_of.alias("_home")).agg(F.collect_list(F.struct(number.cast("int").alias("number"), "place")).alias("wanted"))
-        found = homes.select("_home", "text").join(wanted, "_home").select(lines.alias("lines"), F.explode("wanted").alias("at"))
+        documents = homes.select("_home", "text")
+        # only what is wanted is shuffled, where the homes of it are few enough to be told to all tasks
+        if wanted.count() <= TOLD_HOMES:
+            documents = documents.join(F.broadcast(wanted.select("_home")), "_home", "left_semi")
+        found = documents.join(wanted, "_home").select(lines.alias("lines"), F.explode("wanted").alias("at"))
         return found.select("at.place", F.element_at("lines", F.col("at.number") + 1).alias("line")).dropDuplicates(["place"])
 
     pairs = None
