@@ -3,21 +3,24 @@
 A document's set holds the 64-bit hashes of its word shingles; its sketch the k smallest of them.
 Documents with equal sets form one class, and only one of each class takes part in the search.
 
-* Inverted lists of retained values: of a document's ``index_k`` smallest values only the rarest are
-  listed, so many that two documents as similar as asked share a listed value unless their sketches
+* Inverted lists of retained values: of a class's ``index_k`` smallest values only the rarest are
+  listed, so many that two classes as similar as asked share a listed value unless their sketches
   overlap far less than they must (five standard deviations; for sets no larger than the sketch the
-  bound is exact). Value frequencies count all documents. The few values that are in very many lists
+  bound is exact). Value frequencies count all classes. The few values that are in very many lists
   are told by a broadcast table whose size is bounded by the ratio that makes a value frequent.
-* Pairs are not enumerated within a list. In a few rounds each list names one member, and every document
-  is compared with the member that most of its lists name and joins its component if they match. What is left are pairs between
-  different components; they are compared block by block inside tasks.
-* Estimation: the bottom-k of the union, made from both sketches, estimates the Jaccard similarity;
-  pairs well below the threshold go no further.
+* Pairs are not enumerated within a list. In a few rounds each list names one member, and every class
+  is compared with the member that most of its lists name. What is linked shares a label from then on.
+* Members of a list with different labels are compared block by block inside tasks, first by their
+  sketches; what has a possible partner there fetches its text. Only links that connect something new
+  leave a block, so neither pairs nor links are emitted for each pair of a group.
+* Estimation: the values that both sketches would retain, and how many of them both have, estimate the
+  Jaccard similarity; pairs four deviations below the threshold go no further.
 * The rest are confirmed on the full sets, made anew from both texts.
 
 Defined results: documents without words and null texts have an empty set and link with nothing;
-a text shorter than a shingle counts as one shingle; rows that share a ``doc_id`` share one component
-as they are one node; an empty table gives an empty result; further columns are ignored.
+a text shorter than a shingle counts as one shingle; rows that share a ``doc_id`` and have words share
+one component, with all links that any of their texts has; rows without ``doc_id`` are separate documents and have no
+component of their own; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +35,18 @@ from pyspark.sql import functions as F
 
 from skein.llm import textscan
 from skein.llm.components import connected_components
-from skein.llm.storage import saved
+from skein.llm.storage import Scope
 
-SKETCH_K = 64
+SKETCH_K = 128
 INDEX_K = 32
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: A value in more than this share of all list entries is frequent; there are at most FREQUENT_PARTS such values.
 FREQUENT_PARTS = 20_000
 BLOCK_ROWS = 1024
-FAMILY_ROWS = 512
-SKETCHED = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+#: Columns of a block's table of values that are multiplied at once.
+VALUE_COLUMNS = 4096
+SKETCHED = "doc_id long, text_key long, n_shingles long, digest binary, low array<long>, sketch array<int>"
+LISTED = "value long, i int, j int, own int, node long, label long, n_shingles long, sketch array<int>, listed array<long>"
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -58,23 +63,33 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> Iterator[n
             yield textscan.shingle_hashes(hashes[a:b], b - a) >> np.uint64(1) if b > a else hashes[:0]
 
 
-def sketch_documents(docs: DataFrame, *, shingle_words: int, sketch_k: int = SKETCH_K) -> DataFrame:
+def sketch_documents(docs: DataFrame, *, shingle_words: int, sketch_k: int = SKETCH_K, index_k: int = INDEX_K) -> DataFrame:
+    """``low`` has the ``index_k`` smallest hashes, ``sketch`` the upper halves of the ``sketch_k`` smallest."""
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, offsets, data in textscan.chunks(batch["text"]):
-                sizes, digests, sketches = [], [], []
+                sizes, digests, lows, sketches = [], [], [], []
                 for hashes in shingle_sets(offsets, data, shingle_words):
                     sizes.append(len(hashes))
                     digests.append(blake2b(hashes.tobytes(), digest_size=16).digest())
-                    sketches.append(hashes[:sketch_k].view(np.int64))
-                bounds = np.append(0, np.cumsum([len(x) for x in sketches]))
-                values = np.concatenate(sketches) if sketches else np.zeros(0, dtype=np.int64)
+                    lows.append(hashes[:index_k].view(np.int64))
+                    sketches.append((hashes[:sketch_k] >> np.uint64(32)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))],
-                    names=["doc_id", "n_shingles", "digest", "sketch"],
+                    [*(batch[c].slice(lo, hi - lo) for c in ("doc_id", "text_key")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(lows, np.int64), _lists(sketches, np.int32)],
+                    names=[c.split()[0] for c in SKETCHED.split(", ")],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SKETCHED)
+    return _keyed(docs).mapInArrow(sketch, SKETCHED)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+
+
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    bounds = np.append(0, np.cumsum([len(x) for x in arrays]))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, kind), *arrays])))
 
 
 def least_overlap(n: int, index_k: int, tenths: int) -> int:
@@ -86,142 +101,159 @@ def least_overlap(n: int, index_k: int, tenths: int) -> int:
     return max(1, int(mean - 5 * deviation))
 
 
-def listed_values(reps: DataFrame, *, index_k: int, percent: int) -> DataFrame:
-    """Inverted lists (value, doc_id, df) of each document's rarest retained values; lists of one are left out."""
-    entries = reps.select("doc_id", F.explode(F.slice("sketch", 1, index_k)).alias("value"))
-    counts = saved(entries.groupBy("value").agg(F.count("*").alias("df")), "value-counts")
+def listed_values(reps: DataFrame, scope: Scope, *, index_k: int, percent: int) -> DataFrame:
+    """Inverted lists (value, node, df) of each class's rarest retained values; lists of one are left out."""
+    entries = reps.select("node", F.explode("low").alias("value"))
+    counts = scope.saved(entries.groupBy("value").agg(F.count("*").alias("df")), "value-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
     limit = max(100, total // FREQUENT_PARTS)
     frequent = counts.where(F.col("df") > limit)  # at most FREQUENT_PARTS rows
     entries = entries.join(F.broadcast(frequent.withColumnRenamed("df", "often")), "value", "left")
-    told = entries.where("often is not null").select("doc_id", "value", F.col("often").alias("df"))
-    rare = entries.where("often is null").join(counts.where(F.col("df") <= limit), "value").select("doc_id", "value", "df")
+    told = entries.where("often is not null").select("node", "value", F.col("often").alias("df"))
+    rare = entries.where("often is null").join(counts.where(F.col("df") <= limit), "value").select("node", "value", "df")
     overlap = F.expr(
         "CASE " + " ".join(f"WHEN n = {n} THEN {least_overlap(n, index_k, percent)}" for n in range(index_k)) + f" ELSE {least_overlap(index_k, index_k, percent)} END"
     )
-    ordered = told.union(rare).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))  # index_k entries at most
+    ordered = told.union(rare).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))  # index_k entries at most
     ordered = ordered.withColumn("n", F.size("all")).withColumn("kept", F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - overlap + 1)))
-    return ordered.select("doc_id", F.explode("kept").alias("e")).select(F.col("e.value").alias("value"), "doc_id", F.col("e.df").alias("df")).where("df > 1")
+    return ordered.select("node", F.explode("kept").alias("e")).select(F.col("e.value").alias("value"), "node", F.col("e.df").alias("df")).where("df > 1")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, sketch_k: int) -> DataFrame:
     """Add to ``pairs(a, b)`` the similarity estimated from the bottom-k of the union."""
-    left = reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch_k))
     shared = F.size(F.array_intersect(F.col("u"), F.array_intersect("sa", "sb")))
     return both.select("a", "b", "na", "nb", (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough; each pair brings both texts to one task."""
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
             left, right = ([h for _, _, o, d in textscan.chunks(batch[c]) for h in shingle_sets(o, d, shingle_words)] for c in ("ta", "tb"))
-            keep = np.zeros(rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                keep[i] = _similar(x, y, percent)
-            mask = pa.array(keep)
+            mask = pa.array([_similar(x, y, percent) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def crossing_pairs(lists: DataFrame, reps: DataFrame, labels: DataFrame, *, percent: int, sketch_k: int, cut: float) -> DataFrame:
-    """Pairs (a, b) that share a list, lie in different components and pass the estimate.
-
-    Lists are cut into blocks, and each pair of blocks is compared in one task; only what passes leaves
-    it, and only from the list with the smallest value that both documents are in.
-    """
-    mixed = lists.join(labels, "doc_id")
-    several = mixed.groupBy("value").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi").select("value")
-    mixed = mixed.join(several, "value")
-    blocks = F.ceil(F.col("df") / BLOCK_ROWS).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component_id")
-    values = lists.groupBy("doc_id").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
-    mixed = mixed.join(reps.select("doc_id", "n_shingles", "sketch").join(values, "doc_id"), "doc_id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
-        own, ids, component, n = (table[c].to_numpy() for c in ("own", "doc_id", "component_id", "n_shingles"))
-        sketches, flat, heads = _ragged(table["sketch"])
-        listed, flat_listed, heads_listed = _ragged(table["listed"])
-        size = np.array([len(x) for x in sketches])
-        labels, at, counts = np.unique(component, return_inverse=True, return_counts=True)
-        largest = at == counts.argmax()
-        found_a, found_b = [], []
-        # every pair between components has a member outside the largest one
-        for x in np.flatnonzero(~largest):
-            near = (component != component[x]) & (largest | (ids > ids[x])) & (100 * n >= percent * n[x]) & (100 * n[x] >= percent * n)
-            if i != j:
-                near &= own != own[x]
-            if not near.any():
-                continue
-            near &= np.add.reduceat(_inside(sketches[x], flat), heads) >= cut * np.maximum(size, size[x])
-            if near.any():
-                near &= ~np.logical_or.reduceat(_inside(listed[x], flat_listed) & (flat_listed < value), heads_listed)
-            for y in np.flatnonzero(near):
-                union = np.union1d(sketches[x], sketches[y])[:sketch_k]
-                shared = np.intersect1d(sketches[x], sketches[y], assume_unique=True)
-                if np.searchsorted(shared, union[-1], side="right") >= cut * len(union):
-                    found_a.append(min(ids[x], ids[y]))
-                    found_b.append(max(ids[x], ids[y]))
-        yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
-
-    return mixed.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _ragged(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(each list, all their values, where each list begins); no list is empty."""
+    """(each list, all their values, the list that each value is in)."""
     column = column.combine_chunks()
     bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], values[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0]
-
-
-def _inside(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def confirmed_in_families(pairs: DataFrame, texts: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
-    """Like ``confirmed``, for many pairs among few documents: a text goes to each block once, not to each pair.
-
-    A family is a component of the pairs; large families are cut into blocks of FAMILY_ROWS documents.
+    lists = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return lists, values[bounds[0] : bounds[-1]], np.repeat(np.arange(len(lists)), np.diff(bounds))
+
+
+def _shared(values: np.ndarray, row: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """How many values each of the ``left`` rows has in common with each of ``n`` rows."""
+    out = np.zeros((len(left), n), dtype=np.float32)
+    _, column = np.unique(values, return_inverse=True)
+    often = np.bincount(column) > 1
+    number = np.cumsum(often) - 1
+    row, column = row[often[column]], number[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(often.sum()), VALUE_COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + VALUE_COLUMNS])
+        has = np.zeros((n, min(VALUE_COLUMNS, int(often.sum()) - lo)), dtype=np.float32)
+        has[row[a:b], column[a:b] - lo] = 1
+        out += has[left] @ has.T
+    return out
+
+
+def _possible(table: pa.Table, left: np.ndarray, *, percent: int, sketch_k: int, cut: float) -> np.ndarray:
+    """Estimates of pairs (left, any) of a block that this block must look at, and zero for all others."""
+    value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
+    own, node, label, n = (table[c].to_numpy() for c in ("own", "node", "label", "n_shingles"))
+    sketches, flat, of = _ragged(table["sketch"])
+    listed, of_listed = _ragged(table["listed"])[1:]
+    share = _shared(flat, of, left, len(node))
+    # a sketch retains what is no larger than its last value; a small set is retained whole
+    last = np.array([np.iinfo(np.int32).max if m <= sketch_k else x[-1] for x, m in zip(sketches, n.tolist(), strict=True)])
+    union = -share
+    for k, x in enumerate(left):
+        union[k] += np.searchsorted(sketches[x], np.minimum(last[x], last), side="right")
+    for y in range(len(node)):
+        union[:, y] += np.searchsorted(sketches[y], np.minimum(last[y], last[left]), side="right")
+    estimate = share / np.maximum(union, 1)
+    near = (estimate >= cut) & (label[left][:, None] != label[None, :]) & (100 * n[left][:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[left][:, None])
+    if i != j:
+        near &= own[left][:, None] != own[None, :]
+    if near.any():  # a pair belongs to the least value that both list
+        less = listed < value
+        near &= _shared(listed[less], of_listed[less], left, len(node)) == 0
+    return np.where(near, estimate, 0)
+
+
+def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, scope: Scope, *, shingle_words: int, percent: int, sketch_k: int, cut: float) -> DataFrame:
+    """Links (a, b) between classes that share a list and have different labels, as many as connect something new.
+
+    Lists are cut into blocks, and each pair of blocks is compared in one task.
     """
-    families = saved(connected_components(pairs), "families")
-    sizes = families.groupBy("component_id").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("blocks"))
-    members = saved(families.join(sizes, "component_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "members")
-    block = lambda name: members.select(F.col("node").alias(name), F.col("component_id").alias("family"), F.col("own").alias(f"block_{name}"))
-    dealt = pairs.join(block("a"), "a").join(members.select(F.col("node").alias("b"), F.col("own").alias("block_b")), "b")
-    dealt = dealt.select("family", F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
-    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(F.col("component_id").alias("family"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("node").alias("doc_id"))
-    spread = spread.join(texts, "doc_id").select("family", "i", "j", "doc_id", "text")
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left["a"].to_numpy(), left["b"].to_numpy()
-        keep = np.zeros(len(a), dtype=bool)
-        if len(a):
-            found = (h for _, _, o, d in textscan.chunks(right["text"]) for h in shingle_sets(o, d, shingle_words))
-            sets = dict(zip(right["doc_id"].to_pylist(), found, strict=True))
-            for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                keep[k] = _similar(sets[x], sets[y], percent)
-        return pa.table({"a": a[keep], "b": b[keep]})
-
-    keys = ["family", "i", "j"]
-    return dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(check, "a long, b long")
-
-
-def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
+    mixed = lists.join(labels, "node")
+    several = mixed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
+    mixed = mixed.join(several, "value")
+    mixed = mixed.withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    values = lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
+    mixed = mixed.join(reps.select("node", "n_shingles", "sketch").join(values, "node"), "node").select(*[c.split()[0] for c in LISTED.split(", ")])
+    options = {"percent": percent, "sketch_k": sketch_k, "cut": cut}
+
+    def choose(table: pa.Table) -> pa.Table:
+        """Members that have a possible partner with another label."""
+        table = table.combine_chunks()
+        label = table["label"].to_numpy()
+        _, at, counts = np.unique(label, return_inverse=True, return_counts=True)
+        left = np.flatnonzero(at != counts.argmax())  # every such pair has a member outside the commonest label
+        chosen = np.zeros(len(label), dtype=bool)
+        if len(left):
+            x, y = np.nonzero(_possible(table, left, **options))
+            chosen[left[x]] = True
+            chosen[y] = True
+        # Spark marks the elements of a collected list as never null
+        kinds = pa.schema([pa.field("sketch", pa.list_(pa.int32())), pa.field("listed", pa.list_(pa.int64()))])
+        fields = [kinds.field(f.name) if f.name in kinds.names else pa.field(f.name, f.type) for f in table.schema]
+        return table.filter(pa.array(chosen)).cast(pa.schema(fields))
+
+    blocks = ["value", "i", "j"]
+    chosen = scope.saved(mixed.groupBy(*blocks).applyInArrow(choose, LISTED), "possible")
+
+    def confirm(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        possible = np.triu(_possible(table, np.arange(len(node)), **options), 1)
+        x, y = np.nonzero(possible)
+        likely = np.argsort(-possible[x, y], kind="stable")
+        sets = [h for _, _, o, d in textscan.chunks(table["text"]) for h in shingle_sets(o, d, shingle_words)]
+        parent = {k: k for k in label.tolist()}
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        links = []
+        for a, b in zip(x[likely].tolist(), y[likely].tolist(), strict=True):
+            u, v = root(int(label[a])), root(int(label[b]))
+            if u != v and _similar(sets[a], sets[b], percent):
+                parent[u] = v
+                links.append((node[a], node[b]))
+        return pa.table({c: pa.array([z[k] for z in links], pa.int64()) for k, c in enumerate("ab")})
+
+    return chosen.join(texts, "node").groupBy(*blocks).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(
@@ -237,42 +269,56 @@ def near_duplicates(
 
     Two documents are linked if 100 * intersection >= percent * union; components are of the whole graph.
     """
-    sketched = saved(sketch_documents(docs, shingle_words=shingle_words, sketch_k=sketch_k), "sketches")
-    classes = saved(sketched.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketched.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
-    reps = saved(reps, "representatives")
-    lists = saved(listed_values(reps, index_k=index_k, percent=percent), "lists")
-    listed = saved(lists.select("doc_id").distinct(), "listed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id").dropDuplicates(["doc_id"])
-    texts = saved(texts, "listed-texts")
+    scope = Scope(docs.sparkSession)
+    sketched = scope.saved(sketch_documents(docs, shingle_words=shingle_words, sketch_k=sketch_k, index_k=index_k), "sketches")
+    # one row stands for its class
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(first, F.count("*").alias("held"))
+    classes = scope.saved(classes.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.monotonically_increasing_id().alias("node")), "classes")
+    same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
+    reps = sketched.join(classes, (sketched["digest"] == classes["digest"]) & same_row(sketched, classes)).select("node", "n_shingles", "low", "sketch")
+    reps = scope.saved(reps.dropDuplicates(["node"]), "representatives")
+    lists = scope.saved(listed_values(reps, scope, index_k=index_k, percent=percent), "lists")
+    listed = classes.join(lists.select("node").distinct(), "node").select("node", "doc_id", "text_key")
+    keyed = _keyed(docs)
+    texts = scope.saved(keyed.join(listed, same_row(keyed, listed)).select("node", "text").dropDuplicates(["node"]), "listed-texts")
 
     deviation = (percent * (100 - percent)) ** 0.5 / 100 / sketch_k**0.5
     cut = percent / 100 - 4 * deviation
-    labels = listed.withColumn("component_id", F.col("doc_id"))
+    labels = scope.saved(listed.select("node", F.col("node").alias("label")), "labels")
     links = None
     for k in range(star_rounds):
-        marked = lists.join(labels, "doc_id")
-        order = F.xxhash64(F.lit(k), "doc_id")
-        heads = marked.groupBy("value").agg(F.min(F.struct(order.alias("o"), "doc_id", "component_id")).alias("head"), F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-        heads = heads.where("lo != hi").select("value", F.col("head.doc_id").alias("b"), F.col("head.component_id").alias("other"))
-        # of the members met, the one in most of a document's lists
-        votes = marked.join(heads, "value").where("component_id != other").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("votes"))
+        order = lambda c, k=k: F.xxhash64(F.lit(k), c)
+        marked = lists.join(labels, "node")
+        heads = marked.groupBy("value").agg(F.min(F.struct(order("label").alias("o"), "label", order("node").alias("p"), "node")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        heads = heads.where("lo != hi").select("value", F.col("head.node").alias("b"), F.col("head.label").alias("other"))
+        # of the members met, the one in most of a class's lists
+        votes = marked.join(heads, "value").where("label != other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
         pairs = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         guess = estimated(pairs, reps, sketch_k).where((F.col("estimate") >= cut) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        found = saved(confirmed(guess.select("a", "b"), texts, shingle_words=shingle_words, percent=percent), "star-links")
+        found = scope.saved(confirmed(guess.select("a", "b"), texts, shingle_words=shingle_words, percent=percent), "star-links")
         links = found if links is None else links.union(found)
-        components = saved(connected_components(links), "components")
-        labels = listed.join(components, listed.doc_id == components.node, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-        labels = saved(labels, "labels")
-    crossing = saved(crossing_pairs(lists, reps, labels, percent=percent, sketch_k=sketch_k, cut=cut), "crossing")
-    found = saved(confirmed_in_families(crossing, texts, shingle_words=shingle_words, percent=percent), "cross-links")
-    # one link for each member of a component found so far, and the links between components
-    stars = labels.where("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    components = connected_components(stars.union(found))
-    members = classes.join(components, classes.rep == components.node, "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.join(members, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+        # a label goes over to the label it was linked to that comes first; as heads come first, no label goes in a circle
+        own, other = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+        moves = found.join(own, "a").join(other, "b").groupBy("label_a").agg(F.min(F.struct(order("label_b").alias("o"), "label_b")).alias("to"))
+        moves = scope.saved(moves.select(F.col("label_a").alias("label"), F.col("to.label_b").alias("to")), "moves")
+        for _ in range(2):
+            labels = labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = scope.saved(labels, "labels")
+    crossing = crossing_links(lists, reps, texts, labels, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
+    links = crossing if links is None else links.union(crossing)
+    # rows of one document link their classes, each to the first
+    named = sketched.where("n_shingles > 0 and doc_id is not null").join(classes.select("digest", "node"), "digest")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
+    links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
+    joined = scope.saved(connected_components(links), "components")
+    scope.drop("value-counts", "representatives", "lists", "listed-texts", "labels", "moves", "possible", "star-links", "links")
+    members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
+    least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    whole = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return whole.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
