@@ -12,7 +12,7 @@ first, and only those that can be equal:
    one row with the smallest document id; a segment goes where its minimiser's hash says.
 4. Suffix array: a task sorts the suffixes of its segments in two stages. Only suffixes smaller than
    their successor are sorted directly, by words of eight bytes; all others are induced by scanning the
-   buckets of first bytes in ascending order. Adjacent common prefixes of at least ``width`` bytes join
+   buckets of first bytes in ascending order. A task sorts ``SORT_BYTES`` at a time. Adjacent common prefixes of at least ``width`` bytes join
    equal strings, and the smallest document id among them decides.
 5. The verdicts go back to the segments' documents, which cut their text.
 
@@ -40,7 +40,9 @@ GRAM = 20
 #: Text in a block, and in what a task gets to compare; hash ranges follow from the number of blocks.
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 19
-LEAST_BUCKETS, MOST_BUCKETS = 64, 65_536
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 24
+#: Text that is sorted at once; a bucket's minimisers are dealt to as many sorts as that takes.
+SORT_BYTES = 1 << 20
 _WORDS = 8  # words of eight bytes that a direct sort looks at
 
 
@@ -172,6 +174,38 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return np.searchsorted(offsets, first, side="right") - 1, first, last, least[first]
 
 
+def _judged(sent: pa.Array, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs (segment, from string, strings, smallest document) of ``sent`` segments, where they can matter to one of its documents."""
+    different = sent.dictionary_encode()
+    which, segments = different.indices.to_numpy(), different.dictionary
+    owner = np.full(len(segments), np.iinfo(np.int64).max)
+    np.minimum.at(owner, which, low)
+    bounds, text = textscan.string_buffers(segments.cast(pa.large_binary()).view(pa.large_string()))
+    order = two_stage_suffix_array(text, max(_WORDS, -(-width // 8)))
+    group = np.cumsum(np.append(True, ~common_prefixes(text, order, width)))
+    of = np.repeat(np.arange(len(segments)), np.diff(bounds))
+    whole = order + width <= bounds[1:][of[order]]  # the string lies within its segment
+    order, group = order[whole], group[whole]
+    heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.minimum.reduceat(owner[of[order]], heads)
+    verdict, known = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=bool)
+    verdict[order], known[order] = np.repeat(least, np.diff(np.append(heads, len(order)))), True
+    starts = known.copy()
+    starts[1:] &= (verdict[1:] != verdict[:-1]) | ~known[:-1] | (of[1:] != of[:-1])
+    begin = np.flatnonzero(starts)
+    tails = known.copy()
+    tails[:-1] &= starts[1:] | ~known[1:]
+    length = np.flatnonzero(tails) + 1 - begin
+    owned, value = of[begin], verdict[begin]
+    edges = np.searchsorted(owned, np.arange(len(segments) + 1))
+    counts = np.diff(edges)[which]
+    run = np.arange(counts.sum()) + np.repeat(edges[:-1][which] - (np.cumsum(counts) - counts), counts)
+    segment = np.repeat(np.arange(len(which)), counts)
+    matters = value[run] < high[segment]
+    run, segment = run[matters], segment[matters]
+    return segment, begin[run] - bounds[owned[run]], length[run], value[run]
+
+
 BLOCKS = "block long, ids binary, offsets binary, packed binary"
 
 
@@ -317,64 +351,51 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, blo
                 bucket = bucket_of(least)
                 keep = own[row] & _member(common, least & _PRINT_MASK | bucket.astype(np.uint64) << np.uint64(8 * _PRINT_BYTES))
                 row, first, end, bucket = row[keep], first[keep], last[keep] + width - 1, bucket[keep]
+                part = (least[keep] & np.uint64(0xFF)).astype(np.int64)
                 if not len(row):
                     continue
                 base = int(first[0])
                 key = textscan.span_hashes(data[base : end.max()], first - base, end - base)
                 order = np.lexsort((key, bucket))
-                key, bucket, row, first, end = key[order], bucket[order], row[order], first[order], end[order]
+                key, bucket, row, first, end, part = key[order], bucket[order], row[order], first[order], end[order], part[order]
                 heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 doc = ids[row]
                 low, high = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-                key, bucket, first, end = key[heads], bucket[heads], first[heads], end[heads]
+                key, bucket, first, end, part = key[heads], bucket[heads], first[heads], end[heads], part[heads]
                 raw = data.tobytes()
                 cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
                 out = []
                 for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
                     pieces = b"".join([raw[x:y] for x, y in zip(first[a:b].tolist(), end[a:b].tolist(), strict=True)])
-                    out.append((int(bucket[a]), item["block"], zlib.compress(pieces, 1), zlib.compress(_packed(end[a:b] - first[a:b], low[a:b], high[a:b], key[a:b].view(np.int64)), 1)))
+                    out.append((int(bucket[a]), item["block"], zlib.compress(pieces, 1), zlib.compress(_packed(end[a:b] - first[a:b], low[a:b], high[a:b], key[a:b].view(np.int64), part[a:b]), 1)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())], names=["bucket", "block", "text", "about"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each segment sent: the smallest document of each of its strings, as runs of strings."""
         items = list(_rows(batches))
-        about = [_fields(zlib.decompress(x["about"]), 4) for x in items]
-        size, low, high, key = (np.concatenate([x[k] for x in about]) for k in range(4))
+        about = [_fields(zlib.decompress(x["about"]), 5) for x in items]
+        size, low, high, key, part = (np.concatenate([x[k] for x in about]) for k in range(5))
         of_item = np.repeat(np.arange(len(items)), [len(x[0]) for x in about])
         ends = np.cumsum(size)
         every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(b"".join([zlib.decompress(x["text"]) for x in items]))])
-        different = every.dictionary_encode()
-        which, segments = different.indices.to_numpy(), different.dictionary
-        owner = np.full(len(segments), np.iinfo(np.int64).max)
-        np.minimum.at(owner, which, low)
-        bounds, text = textscan.string_buffers(segments.cast(pa.large_binary()).view(pa.large_string()))
-        order = two_stage_suffix_array(text, max(_WORDS, -(-width // 8)))
-        group = np.cumsum(np.append(True, ~common_prefixes(text, order, width)))
-        of = np.repeat(np.arange(len(segments)), np.diff(bounds))
-        whole = order + width <= bounds[1:][of[order]]  # the string lies within its segment
-        order, group = order[whole], group[whole]
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        least = np.minimum.reduceat(owner[of[order]], heads)
-        verdict, known = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=bool)
-        verdict[order], known[order] = np.repeat(least, np.diff(np.append(heads, len(order)))), True
-        starts = known.copy()
-        starts[1:] &= (verdict[1:] != verdict[:-1]) | ~known[:-1] | (of[1:] != of[:-1])
-        begin = np.flatnonzero(starts)
-        tails = known.copy()
-        tails[:-1] &= starts[1:] | ~known[1:]
-        length = np.flatnonzero(tails) + 1 - begin
-        owned, value = of[begin], verdict[begin]
-        edges = np.searchsorted(owned, np.arange(len(segments) + 1))
-        # runs of each segment sent, where they can matter to one of its documents
-        counts = np.diff(edges)[which]
-        run = np.arange(counts.sum()) + np.repeat(edges[:-1][which] - (np.cumsum(counts) - counts), counts)
-        sent_of = np.repeat(np.arange(len(which)), counts)
-        matters = value[run] < high[sent_of]
-        run, sent_of = run[matters], sent_of[matters]
-        item = of_item[sent_of]
-        cuts = np.searchsorted(item, np.arange(len(items) + 1)).tolist()
-        at = begin[run] - bounds[owned[run]]
-        out = [(items[k]["block"], zlib.compress(_packed(key[sent_of[a:b]], at[a:b], length[run[a:b]], value[run[a:b]]), 1)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        # equal strings have the same minimiser and so the same part
+        by_part = np.argsort(part, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(part[by_part]) > 0))
+        cuts = [0]
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(by_part)], strict=True):
+            if a > cuts[-1] and int(size[by_part[cuts[-1] : b]].sum()) > SORT_BYTES:
+                cuts.append(a)
+        found = []
+        for a, b in zip(cuts, [*cuts[1:], len(by_part)], strict=True):
+            own = by_part[a:b]
+            segment, at, length, value = _judged(every.take(pa.array(own)), low[own], high[own], width)
+            found.append((own[segment], at, length, value))
+        segment, at, length, value = (np.concatenate([x[k] for x in found]) for k in range(4))
+        item = of_item[segment]
+        order = np.argsort(item, kind="stable")
+        segment, at, length, value = segment[order], at[order], length[order], value[order]
+        bounds = np.searchsorted(item[order], np.arange(len(items) + 1)).tolist()
+        out = [(items[k]["block"], zlib.compress(_packed(key[segment[a:b]], at[a:b], length[a:b], value[a:b]), 1)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "runs"])
 
     joined = blocks.join(told, "block", "left")
