@@ -2,7 +2,9 @@
 
 A piece of text that begins with a single space or line feed before a visible character always begins
 a pre-token of the byte-level BPE pattern, whatever stands before it. Texts are therefore cut at those
-places, each different piece is encoded once, and the ids of a text are the ids of its pieces.
+places, each different piece is encoded once, and the ids of a text are the ids of its pieces. A text
+that holds the string of one of the vocabulary's special tokens goes to the library whole, which gives
+that token's id for it.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = sorted({t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -86,37 +88,60 @@ class PieceEncoder:
             sizes = pc.binary_length(pa.array(joined, pa.large_string())).to_numpy()
             self._add(joined, ids, np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes), side="left") + 1)
 
+    def _rows_with_special(self, offsets: np.ndarray, data: np.ndarray) -> list[int]:
+        raw, rows = data.tobytes(), set()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, side="right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    rows.add(row)
+                at = raw.find(token, at + 1)
+        return sorted(rows)
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of rows: (first row, row after the last, ids, where each row's ids begin and end)."""
         for lo, hi, offsets, data in textscan.chunks(column, CHUNK_BYTES):
-            if not len(data):
-                yield lo, hi, np.zeros(0, dtype=np.int32), np.zeros(hi - lo + 1, dtype=np.int64)
-                continue
-            begins = np.zeros(len(data), dtype=bool)
-            begins[:-1] = _CUT[data[:-1]] & _SAFE[data[1:]]
-            begins[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
-            begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-            # a cut byte that ends its text has no visible character after it
-            last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-            lone = last[~np.isin(last, offsets[:-1])]
-            begins[lone] = False
-            starts = np.flatnonzero(begins)
-            bounds = np.append(starts, len(data)).astype(np.int64)
-            pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
-            pieces = pieces.dictionary_encode()
-            different = pieces.dictionary.to_pylist()
-            if len(self.slots) + len(different) > self.cache_pieces:
-                self._clear()
-            new = [p for p in different if p not in self.slots]
-            if new:
-                self._learn(new)
-            slot = np.fromiter(map(self.slots.__getitem__, different), dtype=np.int64, count=len(different))
-            slot = slot[pieces.indices.to_numpy()]
-            lengths = self.lengths[slot]
-            ends = np.cumsum(lengths)
-            where = np.arange(ends[-1]) + np.repeat(self.starts[slot] - (ends - lengths), lengths)
-            rows = np.searchsorted(starts, offsets)
-            yield lo, hi, self.pool[where], np.append(0, ends)[rows]
+            done = 0
+            for row in [*self._rows_with_special(offsets, data), hi - lo]:
+                if row > done:
+                    ids, ends = self._encode_run(offsets[done : row + 1] - offsets[done], data[offsets[done] : offsets[row]])
+                    yield lo + done, lo + row, ids, ends
+                if row < hi - lo:
+                    text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
+                    ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+                    yield lo + row, lo + row + 1, ids, np.array([0, len(ids)])
+                done = row + 1
+
+    def _encode_run(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's ids begin and end) of texts without special tokens."""
+        if not len(data):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(offsets), dtype=np.int64)
+        begins = np.zeros(len(data), dtype=bool)
+        begins[:-1] = _CUT[data[:-1]] & _SAFE[data[1:]]
+        begins[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        # a cut byte that ends its text has no visible character after it
+        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        lone = last[~np.isin(last, offsets[:-1])]
+        begins[lone] = False
+        starts = np.flatnonzero(begins)
+        bounds = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))
+        pieces = pieces.dictionary_encode()
+        different = pieces.dictionary.to_pylist()
+        if len(self.slots) + len(different) > self.cache_pieces:
+            self._clear()
+        new = [p for p in different if p not in self.slots]
+        if new:
+            self._learn(new)
+        slot = np.fromiter(map(self.slots.__getitem__, different), dtype=np.int64, count=len(different))
+        slot = slot[pieces.indices.to_numpy()]
+        lengths = self.lengths[slot]
+        ends = np.cumsum(lengths)
+        where = np.arange(ends[-1]) + np.repeat(self.starts[slot] - (ends - lengths), lengths)
+        rows = np.searchsorted(starts, offsets)
+        return self.pool[where], np.append(0, ends)[rows]
 
 
 @lru_cache(maxsize=2)
