@@ -20,7 +20,7 @@ LANGUAGE_EXTENSIONS = {
     "yaml": ["yaml", "yml"],
 }
 #: Base names that make a file important, in lower case.
-IMPORTANT_NAMES = ["readme.md", "package.json", "tsconfig.json", "index.ts", "index.js", "main.ts", "main.js", "app.ts", "app.js", "server.ts", "server.js"]
+IMPORTANT_NAMES = ["package.json", "tsconfig.json", "index.ts", "index.js", "main.ts", "main.js"]
 
 _WHITE = r"[\s ﻿\p{Zs}]"
 
@@ -82,8 +82,9 @@ def is_excluded(path: Column, excludes: list[str]) -> Column:
 
 def importance(path: Column) -> Column:
     """Points for the language, the place and the name of a file."""
-    ext, slashes = extension(path), F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    kind = F.when(ext.isin("ts", "tsx"), 10).when(ext.isin("js", "jsx"), 8).when(ext == "json", 5).otherwise(0)
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    ends = lambda *ext: reduce(lambda a, b: a | b, [path.endswith(e) for e in ext])
+    kind = F.when(ends(".ts", ".tsx"), 10).when(ends(".js", ".jsx"), 8).when(ends(".json"), 5).otherwise(0)
     return kind + F.when(slashes == 0, 5).otherwise(0) + F.when(F.lower(basename(path)).isin(IMPORTANT_NAMES), 15).otherwise(0) + F.greatest(F.lit(0), 10 - slashes)
 
 

@@ -412,6 +412,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _table(spark, sf_dir, "part").select(
         F.concat("p_name", "p_partkey").alias("name"), F.col("p_type").alias("category"), (key % 6 + 1).alias("ea"), (key % 5 + 1).alias("es"), (key % 5).alias("v"), (key % 7).alias("dep"), size.alias("opts"),
         (key % 6 + 1).alias("it"), (key % 7 + 1).alias("par"), (key % 8).alias("sections"), (size * 100).alias("density"), (key % 4).alias("checks"),
+        key.alias("ord"), (key % 10 / 10).alias("threshold"), F.when(key % 3 == 0, (size * 64).cast("double")).alias("max_memory"),
     )
     return loadouts.metrics(counts)
 

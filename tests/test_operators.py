@@ -79,9 +79,15 @@ def test_pagerank_sums_to_one(spark):
 
 
 def test_budget(spark):
-    rows = [("r", "exec", 1.0, 300), ("r", "big", 0.9, 5000), ("r", "small", 0.8, 200), ("r", "last", 0.7, 100)]
-    kept = research.within_budget(spark.createDataFrame(rows, "report string, title string, priority double, tokens long"), "report", 1000, 1500).collect()
-    assert [(r.title, r.tokens, r.cut) for r in kept] == [("exec", 300, False), ("big", 700, True)]
+    shape = "report string, ord long, title string, category string, priority double, tokens long"
+    rows = [("r", 1, "exec", "executive", 1.0, 300), ("r", 2, "big", "a", 0.9, 5000), ("r", 3, "small", "a", 0.8, 200), ("r", 4, "last", "a", 0.7, 100)]
+    kept = research.within_budget(spark.createDataFrame(rows, shape), "report", 1000, 1500).collect()
+    assert [(r.title, r.tokens, r.cut) for r in kept] == [("exec", 300, False), ("big (Truncated)", 700, True)]
+    # the executive section stays and comes first, whatever its size and priority; a second one goes
+    rows = [("r", 1, "fits", "a", 0.9, 100), ("r", 2, "exec", "executive", 0.1, 3000), ("r", 3, "more", "executive", 0.05, 10)]
+    kept = research.within_budget(spark.createDataFrame(rows, shape), "report", 1000, 1500).collect()
+    assert [(r.title, r.tokens, r.cut) for r in kept] == [("exec", 3000, False)]
+    assert research.within_budget(spark.createDataFrame([], shape), "report", 1000, 1500).collect() == []
 
 
 def test_convergence(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from skein.plans.queries import QUERIES, SQL
+from skein.plans.every_query import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
