@@ -54,7 +54,8 @@ def whole_word(text: Column, token: str) -> Column:
 def relevance(text: Column, path: Column, query: str) -> Column:
     """0.1 for each token found, 0.3 more where it is a whole word, 0.1 for TypeScript files; 1 at most."""
     low = F.lower(text)
-    parts = [F.when(low.contains(t), 0.1).otherwise(0.0) + F.when(whole_word(low, t), 0.3).otherwise(0.0) for t in query_tokens(query)]
+    # a whole word is only looked for where its letters stand
+    parts = [F.when(~low.contains(t), 0.0).when(whole_word(low, t), 0.1 + 0.3).otherwise(0.1) for t in query_tokens(query)]
     parts.append(F.when(path.endswith(".ts") | path.endswith(".tsx"), 0.1).otherwise(0.0))
     return F.least(reduce(lambda a, b: a + b, parts), F.lit(1.0))
 

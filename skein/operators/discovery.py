@@ -29,9 +29,15 @@ def type_histogram(files: DataFrame) -> DataFrame:
     return files.groupBy(extension(F.col("path")).alias("ext")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+#: Folders that hold no source of a project.
+BUILT_FOLDERS = ["node_modules", "dist", "build"]
+
+
 def project_stats(files: DataFrame) -> DataFrame:
+    """Counts of files by language; hidden files and folders, and built ones, do not count."""
     ext = extension(F.col("path"))
-    return files.agg(
+    hidden = F.col("path").rlike(r"(^|/)\.") | F.col("path").rlike(rf"(^|/)({'|'.join(BUILT_FOLDERS)})/")
+    return files.where(~hidden).agg(
         F.count("*").alias("total_files"),
         F.count_if(ext.isin("ts", "tsx")).alias("typescript_files"),
         F.count_if(ext.isin("js", "jsx")).alias("javascript_files"),

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.shared import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage ended by a checkpoint, in the folder the session names or one of our own."""
+    """``df`` with its lineage ended by a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -27,8 +27,11 @@ def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank) with ranks that sum to one; nodes without targets give to all alike."""
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """(node, rank) with ranks that sum to one; nodes without targets give to all alike.
+
+    Rounds end when all ranks together change by ``tolerance`` at most, or after ``iterations``.
+    """
     links = edges.select("source", "target").distinct()
     links = cut(links)
     nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
@@ -40,8 +43,13 @@ def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> D
     for _ in range(iterations):
         given = spread.join(ranks, spread.source == ranks.node).groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
         lost = ranks.join(degree, ranks.node == degree.source, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(given, nodes.node == given.target, "left").crossJoin(lost)  # one row
-        ranks = cut(ranks.select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank")))
+        given = nodes.join(given, nodes.node == given.target, "left").crossJoin(F.broadcast(lost))  # one row
+        new = given.select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
+        new = cut(new.join(ranks.withColumnRenamed("rank", "was"), "node"))
+        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        ranks = new.drop("was")
+        if change <= tolerance:
+            break
     return ranks
 
 
@@ -49,3 +57,56 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     """Two-node cycles, each once."""
     a, b = edges.alias("a"), edges.alias("b")
     return a.join(b, (F.col("a.source") == F.col("b.target")) & (F.col("a.target") == F.col("b.source"))).where("a.source < a.target").select(F.col("a.source").alias("one"), F.col("a.target").alias("other")).distinct()
+
+
+def expanded_order(agents: DataFrame) -> list[str]:
+    """Names of enabled ``agents(ord, name, enabled, dependencies)``, each after what it depends on, else in their order.
+
+    A configuration has few agents, so the walk is made where the result is read. Dependencies that are disabled or
+    unknown come too. A circle is an error.
+    """
+    rows = sorted(agents.select("ord", "name", "enabled", "dependencies").collect(), key=lambda r: r["ord"])
+    needs = {r["name"]: r["dependencies"] or [] for r in reversed(rows)}
+    done, open_, order = set(), set(), []
+
+    def visit(name: str) -> None:
+        if name in open_:
+            raise ValueError(f"circular dependency at {name}")
+        if name in done:
+            return
+        open_.add(name)
+        for other in needs.get(name, []):
+            visit(other)
+        open_.discard(name)
+        done.add(name)
+        order.append(name)
+
+    for r in rows:
+        if r["enabled"]:
+            visit(r["name"])
+    return order
+
+
+def resolved_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".py", "/index.ts", "/index.js", "/__init__.py")) -> DataFrame:
+    """Edges (source, target) of ``imports(path, module)`` to the files of the repository that they name.
+
+    A module that begins with a dot is looked for beside the file, any other from the root; the first extension
+    that a file has counts.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    joined = F.when(F.col("module").startswith("."), F.concat(folder, "module")).otherwise(F.regexp_replace("module", r"\.", "/"))
+    parts = F.split(F.regexp_replace(joined, r"^(\./)+", ""), "/")
+    # ``..`` takes back the part before it
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when((x == ".") | (x == ""), done).when((x == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(x))))
+    base = F.array_join(walked, "/")
+    tries = imports.select(F.col("path").alias("source"), "module", F.posexplode(F.array(base, *[F.concat(base, F.lit(e)) for e in extensions])).alias("nth", "target"))
+    found = tries.join(files.select(F.col("path").alias("target")).distinct(), "target")
+    return found.groupBy("source", "module").agg(F.min_by("target", "nth").alias("target")).select("source", "target").distinct()
+
+
+def repomap(files: DataFrame) -> DataFrame:
+    """Of ``files(path, size)``: a rank by size and kind, and the centrality made from it."""
+    dotted = F.regexp_extract("path", r"\.([^./]*)$", 1)
+    weight = F.when(dotted.isin("py", "ts", "js", "java"), 1.5).when(dotted.isin("md", "txt", "json"), 0.5).otherwise(1.0)
+    rank = (F.least(F.col("size") / 1000, F.lit(100.0)) / 100 + weight) / 2.5
+    return files.select("path", rank.alias("rank"), (rank * 0.8).alias("centrality"))

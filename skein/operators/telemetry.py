@@ -1,9 +1,17 @@
-"""Metric, alert, log and session operators over event tables."""
+"""Metric, alert, log and session operators over event tables.
+
+Series are told by key columns; null keys form a series of their own. Samples without a time take no part
+in windows; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def counter_increase(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,10 +67,134 @@ def absent(expected: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame
     return expected.join(series.select(*keys).distinct(), keys, "left_anti")
 
 
-def sampled(traces: DataFrame, key: str, percent: int) -> DataFrame:
-    """The same share of traces wherever it runs, by a hash of the trace."""
-    return traces.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+def sampled(traces: DataFrame, key: str, percent: int, seed: int = 22) -> DataFrame:
+    """The same share of traces wherever it runs: whole traces, by the first bytes of a hash of seed and trace."""
+    first = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return traces.where(first % 100 < percent)
 
 
 def latest(rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("l")).select(key, *[F.col(f"l.{c}").alias(c) for c in (order, *columns)])
+
+
+def _seconds(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp")) / 1_000_000
+
+
+def sliding_rate(samples: DataFrame, keys: list[str], seconds: int, step: int) -> DataFrame:
+    """Growth per second over the last ``seconds``, at every ``step``: (<keys>, at, rate), ``at`` being the window's end."""
+    grown = counter_increase(samples, keys)
+    window = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds", f"{step} seconds")
+    summed = grown.groupBy(*keys, window.alias("w")).agg(F.sum("increase").alias("increase"))
+    return summed.select(*keys, F.unix_seconds("w.end").alias("at"), (F.col("increase") / seconds).alias("rate"))
+
+
+def mean_over(points: DataFrame, keys: list[str], value: str, seconds: int, step: int) -> DataFrame:
+    """Mean of ``points(<keys>, at, value)`` in (at - seconds, at], at every ``step``; over rates, a subquery."""
+    last = F.ceil(F.col("at") / step) * step
+    spread = points.select(*keys, value, F.explode(F.sequence(last, last + F.lit(seconds - 1), F.lit(step).cast("long"))).alias("until"), "at").where(F.col("at") > F.col("until") - seconds)
+    return spread.groupBy(*keys, F.col("until").alias("at")).agg(F.avg(value).alias(value))
+
+
+def instant(samples: DataFrame, keys: list[str], order: str, step: int, stale: int = 300) -> DataFrame:
+    """(<keys>, at, value): the last sample at or before each ``step``, no older than ``stale`` seconds."""
+    at = _seconds(F.col("ts"))
+    last = (F.ceil(at / step) * step).cast("long")
+    spread = samples.where("ts is not null").select(*keys, "value", order, at.alias("_at"), F.explode(F.sequence(last, last + F.lit(stale), F.lit(step).cast("long"))).alias("at"))
+    fresh = spread.where(F.col("at") - F.col("_at") <= stale)
+    return fresh.groupBy(*keys, "at").agg(F.max_by("value", F.struct("_at", order)).alias("value"))
+
+
+def matching(series: DataFrame, **labels: tuple[str, str]) -> DataFrame:
+    """Series whose labels match: ``("=", x)``, ``("!=", x)``, ``("=~", pattern)`` or ``("!~", pattern)``, patterns for
+    the whole label; a missing label is empty."""
+    out = series
+    for name, (sign, value) in labels.items():
+        label = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        test = label.rlike(f"^(?:{value})$") if sign.endswith("~") else label == value
+        out = out.where(~test if sign.startswith("!") else test)
+    return out
+
+
+def ratio(above: DataFrame, below: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``above / below`` of samples with identical labels; labels that one side alone has drop out, nothing by nothing is null."""
+    same = None
+    for k in keys:
+        part = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = part if same is None else same & part
+    joined = above.alias("a").join(below.alias("b"), same)
+    share = F.try_divide(F.col(f"a.{value}"), F.col(f"b.{value}"))
+    return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.when((F.col(f"b.{value}") == 0) & (F.col(f"a.{value}") > 0), F.lit(float("inf"))).otherwise(share).alias("ratio"))
+
+
+def log_lines(rows: DataFrame, column: str, contains: str, *, without: str | None = None) -> DataFrame:
+    """Rows whose ``column`` has ``contains`` and does not match the pattern ``without``."""
+    out = rows.where(F.col(column).contains(contains))
+    return out.where(~F.col(column).rlike(without)) if without else out
+
+
+def newest(rows: DataFrame, order: list[str], k: int) -> DataFrame:
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(k)
+
+
+def notifications(alerts: DataFrame, group: list[str], *, wait: int = 10, interval: int = 10) -> DataFrame:
+    """(<group>, nth, at, alerts): the first notice of a group ``wait`` seconds after its first alert, then every ``interval``
+    seconds one with what came since; none where nothing came."""
+    at = _seconds(F.col("ts"))
+    begun = alerts.groupBy(*group).agg(F.min(at).alias("_begun"))
+    same = None
+    for c in group:
+        part = F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+        same = part if same is None else same & part
+    joined = alerts.withColumn("_at", at).alias("x").join(begun.alias("y"), same)
+    nth = F.greatest(F.lit(0), F.ceil((F.col("_at") - F.col("_begun") - wait) / interval)).cast("long")
+    told = joined.groupBy(*[F.col(f"x.{c}").alias(c) for c in group], nth.alias("nth"), F.col("_begun").alias("_begun")).agg(F.count("*").alias("alerts"))
+    return told.select(*group, "nth", (F.col("_begun") + wait + F.col("nth") * interval).alias("at"), "alerts")
+
+
+def limited(requests: DataFrame, client: str, order: str, *, rate: float, burst: float) -> DataFrame:
+    """``requests`` with ``allowed``: each client's leaky bucket of ``burst`` requests drains at ``rate`` a second.
+
+    A client's requests are looked at one after another, as each decision rests on the one before; a task holds one
+    bucket, whatever a client's number of requests. Requests without a time are refused.
+    """
+    keyed = requests.withColumn("_second", _seconds(F.col("ts")))
+    ordered = keyed.repartition(client).sortWithinPartitions(client, "_second", order)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, seen, held, first = None, None, 0.0, True
+        for batch in batches:
+            allowed = []
+            for name, now in zip(batch[client].to_pylist(), batch["_second"].to_pylist(), strict=True):
+                if first or name != who:
+                    who, seen, held, first = name, None, 0.0, False
+                if now is None:
+                    allowed.append(False)
+                    continue
+                left = 0.0 if seen is None else max(0.0, held - (now - seen) * rate)
+                allowed.append(left <= burst)
+                if left <= burst:
+                    held, seen = left + 1, now
+            columns = [batch[c] for c in batch.schema.names if c != "_second"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(allowed, pa.bool_())], names=[*[c for c in batch.schema.names if c != "_second"], "allowed"])
+
+    shape = StructType([*requests.schema.fields, StructField("allowed", BooleanType())])
+    return ordered.mapInArrow(decide, shape)
+
+
+def load_statistics(samples: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
+    """Number, mean, least, largest and the nearest-rank quantile of each series.
+
+    Equal values are counted before they are ordered, so a task orders different values only.
+    """
+    counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_up_to", F.sum("c").over(order)).withColumn("_n", F.sum("c").over(Window.partitionBy(*keys)))
+    hit = F.min(F.when(F.col("_up_to") > F.least(F.floor(F.col("_n") * share), F.col("_n") - 1), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"), hit.alias("quantile"))
+
+
+def trace_figures(traces: DataFrame, key: str) -> DataFrame:
+    """Of ``traces(<key>, session, seconds, success)``: calls, mean time, share of errors, active sessions."""
+    failed = F.count_if(~F.coalesce(F.col("success"), F.lit(False)))
+    return traces.groupBy(key).agg(F.count("*").alias("calls"), F.avg("seconds").alias("mean_seconds"), (failed / F.count("*")).alias("error_rate"), F.count_distinct("session").alias("sessions"))

@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers them."""
 
-from skein.plans import analytics  # noqa: F401
+from skein.plans import analytics, retrieval  # noqa: F401
 from skein.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

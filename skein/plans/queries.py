@@ -101,21 +101,18 @@ def hybrid_search(spark, sf_dir):
 _RANKED_SQL = "SELECT event_type AS list, user_id AS id, CAST(count(*) AS DOUBLE) AS score FROM events GROUP BY 1, 2"
 
 
-def _ranked_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    scored = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("list"), F.col("user_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id")))
+def _scored_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("list"), F.col("user_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
 
 
 @query(f"SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, count(*) AS lists FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, id) AS rank FROM ({_RANKED_SQL})) GROUP BY id")
 def rank_fusion(spark, sf_dir):
-    return search.reciprocal_rank_fusion(_ranked_users(spark, sf_dir))
+    return search.reciprocal_rank_fusion(search.ranked_lists(_scored_users(spark, sf_dir)))
 
 
 @query(f"SELECT id, round(sum(CASE list WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'click' THEN 0.9::DOUBLE WHEN 'view' THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END * score), 6) AS fused FROM ({_RANKED_SQL}) GROUP BY id")
 def weighted_fusion(spark, sf_dir):
-    return search.weighted_fusion(_ranked_users(spark, sf_dir), {"purchase": 1.0, "click": 0.9, "view": 0.3})
+    return search.weighted_fusion(_scored_users(spark, sf_dir), {"purchase": 1.0, "click": 0.9, "view": 0.3})
 
 
 @query(
@@ -250,21 +247,26 @@ def call_graph(spark, sf_dir):
 
 
 @query(
-    f"""{PART_CODE_SQL}, {_CALLS_SQL}, links AS (SELECT DISTINCT caller AS source, callee AS target FROM edges WHERE callee IS NOT NULL),
-d0 AS (SELECT DISTINCT caller AS node, 0 AS depth FROM edges WHERE caller LIKE 'get%'),
+    f"""{PART_CODE_SQL}, {_CALLS_SQL}, links AS (SELECT DISTINCT path || '#' || caller AS source, path || '#' || callee AS target FROM edges WHERE callee IS NOT NULL),
+d0 AS (SELECT DISTINCT path || '#' || caller AS node, 0 AS depth FROM edges WHERE caller LIKE 'get%' AND callee IS NOT NULL),
 d1 AS (SELECT DISTINCT target AS node, 1 AS depth FROM links JOIN d0 ON source = node),
 d2 AS (SELECT DISTINCT target AS node, 2 AS depth FROM links JOIN d1 ON source = node)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (FROM d0 UNION ALL FROM d1 UNION ALL FROM d2) GROUP BY node"""
 )
 def call_graph_reach(spark, sf_dir):
-    calls = call_graph(spark, sf_dir).where("callee is not null")
-    seeds = calls.where(F.col("caller").startswith("get")).select(F.col("caller").alias("node"))
-    return graph.reached(calls.select(F.col("caller").alias("source"), F.col("callee").alias("target")).distinct(), seeds, 2)
+    calls = _calls(spark, sf_dir)
+    return graph.reached(calls.select("source", "target").distinct(), calls.where(F.col("caller").startswith("get")).select(F.col("source").alias("node")), 2)
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between symbols, each told by its file and name."""
+    place = lambda c: F.concat_ws("#", "path", c)
+    return call_graph(spark, sf_dir).where("callee is not null").select("caller", place("caller").alias("source"), place("callee").alias("target"))
 
 
 def _pagerank_sql(rounds: int) -> str:
     steps = [
-        f"{PART_CODE_SQL}, {_CALLS_SQL}, links AS (SELECT DISTINCT caller AS source, callee AS target FROM edges WHERE callee IS NOT NULL)",
+        f"{PART_CODE_SQL}, {_CALLS_SQL}, links AS (SELECT DISTINCT path || '#' || caller AS source, path || '#' || callee AS target FROM edges WHERE callee IS NOT NULL)",
         "nodes AS (SELECT source AS node FROM links UNION SELECT target FROM links)",
         "size AS (SELECT count(*)::DOUBLE AS n FROM nodes)",
         "degree AS (SELECT source, count(*) AS degree FROM links GROUP BY 1)",
@@ -279,8 +281,8 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(_pagerank_sql(PAGERANK_ROUNDS))
 def call_graph_pagerank(spark, sf_dir):
-    calls = call_graph(spark, sf_dir).where("callee is not null").select(F.col("caller").alias("source"), F.col("callee").alias("target"))
-    return graph.pagerank(calls, PAGERANK_ROUNDS).select("node", F.round("rank", 9).alias("rank"))
+    ranks = graph.pagerank(_calls(spark, sf_dir), PAGERANK_ROUNDS, tolerance=0.0)
+    return ranks.select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(
@@ -389,7 +391,7 @@ def log_fields(spark, sf_dir):
     return events.groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("")
+@query("SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5('22:' || user_id), 1, 8) AS BIGINT) % 100 < 10")
 def trace_sample(spark, sf_dir):
     return telemetry.sampled(_table(spark, sf_dir, "events"), "user_id", 10).select("event_id", "user_id")
 

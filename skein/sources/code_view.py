@@ -12,17 +12,28 @@ SNIFF_BYTES = 8192
 
 
 def scan_repository(spark: SparkSession, root: str, *, languages: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
-    """(path, length, modified, content) of the files below ``root``; unreadable files are passed over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    base = root.rstrip("/") + "/"
-    relative = F.regexp_replace(F.col("path"), f"^.*?{base.split('://')[-1]}", "")
-    out = files.select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
-    if languages:
-        allowed = [e for name in languages for e in LANGUAGE_EXTENSIONS.get(name, [name])]
+    """(path, length, modified, content) of the files below ``root``; unreadable files are passed over.
+
+    Files of other languages are not opened. Paths are relative to ``root``, whatever characters it has.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    allowed = [e for name in languages or [] for e in LANGUAGE_EXTENSIONS.get(name, [name])]
+    if allowed:
+        files = files.option("pathGlobFilter", "*.{" + ",".join(allowed) + "}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    relative = F.expr("path").substr(F.lit(len(base) + 1), F.length("path"))
+    out = files.load(root).select(relative.alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    if allowed:
         out = out.where(extension(F.col("path")).isin(allowed))
     return out.where(~is_excluded(F.col("path"), excludes or []))
 
 
+def size_of(scan: DataFrame) -> DataFrame:
+    """Number and bytes of the scanned files."""
+    return scan.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def file_metadata(scan: DataFrame, requested: DataFrame) -> DataFrame:
     """A row for each requested path; those that the scan lacks have ``exists`` false."""
     return requested.join(scan.select("path", "length", "modified", F.lit(True).alias("found")), "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("size"), "modified", F.coalesce("found", F.lit(False)).alias("exists"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,25 +21,47 @@ output struct<sections:array<string>,densityTarget:int,contentTypes:array<string
 
 
 def read_loadouts(spark: SparkSession, *folders: str) -> DataFrame:
-    """One row for each configuration file; YAML needs the ``yaml`` package on the workers."""
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(folders))
-    texts = texts.where(F.col("path").rlike(r"\.(json|ya?ml)$")).select("path", F.decode("content", "UTF-8").alias("content"))
-
-    @F.udf("string")
-    def as_json(path: str, content: str) -> str | None:
-        if path.endswith(".json"):
-            return content
-        try:
-            import yaml
-        except ImportError:
-            return None
-        try:
-            return json.dumps(yaml.safe_load(content), default=str)
-        except yaml.YAMLError:
-            return None
-
-    parsed = texts.withColumn("loadout", F.from_json(as_json("path", "content"), SCHEMA))
-    return parsed.select("path", "loadout.*")
+    """One row for each configuration file, with ``error`` where it could not be parsed.
+
+    YAML needs the ``yaml`` package on the workers; files of it have an error where that is missing.
+    """
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,yml,yaml}").load(list(folders))
+    texts = texts.select("path", F.decode("content", "UTF-8").alias("content"))
+
+    def as_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_yaml_as_json(text) for text in batch["content"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array([x for x, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=["path", "content", "error"])
+
+    is_json = F.col("path").endswith(".json")
+    every = texts.where(is_json).withColumn("error", F.lit(None).cast("string")).unionByName(texts.where(~is_json).mapInArrow(as_json, "path string, content string, error string"))
+    parsed = every.withColumn("loadout", F.from_json("content", SCHEMA + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    broken = F.when(F.col("loadout._broken").isNotNull(), F.lit("not valid JSON"))
+    return parsed.select("path", F.coalesce("error", broken).alias("error"), "loadout.*").drop("_broken")
+
+
+def _yaml_as_json(text: str) -> tuple[str | None, str | None]:
+    """(JSON, error) of a YAML text."""
+    try:
+        import yaml
+    except ImportError:
+        return None, "the yaml package is missing"
+    try:
+        return json.dumps(yaml.safe_load(text), default=str), None
+    except yaml.YAMLError as error:
+        return None, str(error)
+
+
+def overridden(loadouts: DataFrame, *, density: int | None = None, iterations: int | None = None, parallelism: int | None = None) -> DataFrame:
+    """``loadouts`` with these settings in place of their own, where they are stated and not zero."""
+    output, pipeline = F.col("output"), F.col("pipeline")
+    if density:
+        output = output.withField("densityTarget", F.lit(density))
+    if iterations:
+        pipeline = pipeline.withField("maxIterations", F.lit(iterations))
+    if parallelism:
+        pipeline = pipeline.withField("parallelismLevel", F.lit(parallelism))
+    return loadouts.withColumns({"output": output, "pipeline": pipeline})
 
 
 def validation_errors() -> Column:

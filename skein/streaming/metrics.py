@@ -23,22 +23,77 @@ def session_counts(events: DataFrame, *, gap: str = "60 minutes", late: str = "1
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events")).select("user_id", F.col("w.start").alias("session_start"), "n_events")
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str):
-    """Keep the newest row of each ``key`` at ``path``: every batch writes a new version and names it.
+#: Parts of a table that ``upsert_latest`` keeps; a batch writes those anew that it has keys of.
+BUCKETS = 64
 
-    ``_current`` holds the number of the last complete version; a batch that is run again writes the same.
+
+def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, *, buckets: int = BUCKETS):
+    """Keep the newest row of each ``key`` at ``path``, a table of ``buckets`` parts by hash of the key.
+
+    A batch merges with the parts that it has keys of and writes them under a number of its own; ``manifest/<number>``,
+    written last and never changed, then names the number of every part. So readers see whole batches, a batch
+    that is run again merges the same rows once more, and a fresh checkpoint goes on with the table that is there.
+    What neither of the last two manifests names is deleted.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        versions = [int(r["version"]) for r in spark.read.schema("version long").json(f"{path}/_current").collect()] if number else []  # one row
-        rows = batch
-        if versions and versions[0] != number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/v{versions[0]}"))
-        elif versions and number:
-            return
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
-        newest.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(1).select(F.lit(number).cast("long").alias("version")).coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+        keyed = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in keyed.select("_bucket").distinct().collect()]  # ``buckets`` at most
+        if touched:
+            known = _numbers(spark, path)
+            number, before = (known[-1] + 1 if known else 0), _manifest(spark, path, known[-1]) if known else {}
+            rows = keyed
+            old = [f"{path}/data/{before[b]}/_bucket={b}" for b in touched if b in before]
+            if old:
+                rows = keyed.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+            newest = rows.groupBy("_bucket", key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("r")).select("_bucket", key, "r.*")
+            newest.select(*batch.columns, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/{number}")
+            after = before | {b: number for b in touched}
+            spark.createDataFrame(sorted(after.items()), "bucket int, number long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{number}")
+            named = set(after.items()) | set(before.items())
+            for n in range(number):
+                if n < number - 1:
+                    _delete(spark, f"{path}/manifest/{n}")
+                if not any(v == n for _, v in named):
+                    _delete(spark, f"{path}/data/{n}")
+        keyed.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that ``upsert_latest`` keeps at ``path``; empty before its first batch."""
+    known = _numbers(spark, path)
+    parts = _manifest(spark, path, known[-1]) if known else {}
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{n}/_bucket={b}" for b, n in sorted(parts.items())])
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, files = _hadoop(spark, path)
+    files.delete(target, True)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete manifests, in ascending order."""
+    target, files = _hadoop(spark, f"{path}/manifest")
+    if not files.exists(target):
+        return []
+    found = [x.getPath().getName() for x in files.listStatus(target)]
+    return sorted(int(n) for n in found if n.isdigit() and files.exists(_hadoop(spark, f"{path}/manifest/{n}/_SUCCESS")[0]))
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    return {r["bucket"]: r["number"] for r in spark.read.schema("bucket int, number long").parquet(f"{path}/manifest/{number}").collect()}
+
+
+def recorded(series: DataFrame, path: str, checkpoint: str):
+    """Write the finished windows of a series to Parquet as they close: a recording rule."""
+    return series.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.text import importance, relevance, short_id, trimmed, utf16_length
-from skein.operators import discovery, graph, loadouts, research, symbols
+from skein.operators import discovery, graph, loadouts, research, search, symbols
 from skein.sources import code_view, vectors
 from skein.streaming import metrics
 
@@ -74,7 +74,7 @@ def test_change_set(spark):
 
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "source string, target string")
-    ranks = {r.node: r["rank"] for r in graph.pagerank(edges, 30).collect()}
+    ranks = {r.node: r["rank"] for r in graph.pagerank(edges, 10).collect()}
     assert sum(ranks.values()) == pytest.approx(1) and ranks["a"] > ranks["d"]
 
 
@@ -129,8 +129,85 @@ def test_stream_is_batch(spark, sf_dir, tmp_path):
 def test_upsert(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     shape = "path string, at long, hash string"
-    for k, rows in enumerate([[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")]]):
+    batches = [[("a", 1, "x"), ("b", 1, "y")], [("a", 2, "z")], [("c", 1, "w"), ("a", 1, "old")]]
+    for k, rows in enumerate(batches):
         spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(folder)
-        run = metrics.upsert_latest(metrics.read_events(spark, folder, shape), out, str(tmp_path / "cp"), "path", "at").trigger(availableNow=True).start()
+        # the last batch comes with a fresh checkpoint, which sees all files again
+        checkpoint = str(tmp_path / ("cp" if k < 2 else "fresh"))
+        run = metrics.upsert_latest(metrics.read_events(spark, folder, shape), out, checkpoint, "path", "at", buckets=4).trigger(availableNow=True).start()
         run.awaitTermination(120)
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/v1").collect()} == {("a", 2, "z"), ("b", 1, "y")}
+        assert run.exception() is None
+    found = {r.path: (r["at"], r["hash"]) for r in metrics.read_latest(spark, out, shape).collect()}
+    assert found == {"a": (2, "z"), "b": (1, "y"), "c": (1, "w")}
+    spark.createDataFrame([("d", 1, "n")], shape).coalesce(1).write.parquet(str(tmp_path / "other"))
+    metrics.upsert_latest(metrics.read_events(spark, str(tmp_path / "other"), shape), out, str(tmp_path / "third"), "path", "at", buckets=4).trigger(availableNow=True).start().awaitTermination(120)
+    assert {r.path for r in metrics.read_latest(spark, out, shape).collect()} == {"a", "b", "c", "d"}
+    assert len(list((tmp_path / "out" / "manifest").iterdir())) <= 2
+
+
+def test_scan_of_odd_folder_names(spark, tmp_path):
+    root = tmp_path / "c++ (old)"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.ts").write_text("let a")
+    (root / "src" / "b.py").write_text("b = 1")
+    (root / "dist").mkdir()
+    (root / "dist" / "c.ts").write_text("let c")
+    scan = code_view.scan_repository(spark, str(root), languages=["typescript"], excludes=["dist/"])
+    assert [r.path for r in scan.collect()] == ["src/a.ts"]
+    assert tuple(code_view.size_of(scan).first()) == (1, 5)
+
+
+def test_order_of_agents(spark):
+    shape = "ord int, name string, enabled boolean, dependencies array<string>"
+    rows = [(1, "c", True, ["a", "x"]), (2, "a", True, ["off"]), (3, "off", False, None), (4, "b", True, [])]
+    assert graph.expanded_order(spark.createDataFrame(rows, shape)) == ["off", "a", "x", "c", "b"]
+    with pytest.raises(ValueError):
+        graph.expanded_order(spark.createDataFrame([(1, "a", True, ["b"]), (2, "b", True, ["a"])], shape))
+
+
+def test_rate_limit(spark):
+    import random
+
+    from skein.operators import telemetry
+
+    rng = random.Random(2)
+    rows = [(f"c{rng.randrange(3)}", k, float(rng.randrange(200)) / 4) for k in range(300)] + [(None, 300, 1.0), ("c0", 301, None)]
+    table = spark.createDataFrame(rows, "client string, id long, t double").selectExpr("client", "id", "timestamp_millis(cast(t * 1000 as bigint)) as ts")
+    found = {r.id: r.allowed for r in telemetry.limited(table, "client", "id", rate=1.0, burst=3.0).collect()}
+    want = {301: False}
+    for c in {r[0] for r in rows}:
+        held, seen = 0.0, None
+        for _, k, t in sorted((r for r in rows if r[0] == c and r[2] is not None), key=lambda r: (r[2], r[1])):
+            left = 0.0 if seen is None else max(0.0, held - (t - seen))
+            want[k] = left <= 3.0
+            if want[k]:
+                held, seen = left + 1, t
+    assert found == want and not all(want.values())
+
+
+def test_project_stats_skip_built_and_hidden(spark):
+    paths = ["src/index.ts", "node_modules/a.js", "dist/b.ts", ".git/c.py", "src/.hidden.py", "a/build/d.ts", "e.py"]
+    row = discovery.project_stats(spark.createDataFrame([(p, 1) for p in paths], "path string, size long")).first()
+    assert (row.total_files, row.typescript_files, row.javascript_files, row.python_files) == (2, 1, 0, 1)
+
+
+def test_configurations_with_errors(spark, tmp_path):
+    from skein.sources import loadouts as files
+
+    (tmp_path / "good.json").write_text('{"name": "n", "agents": [{"name": "a", "enabled": true}], "output": {"densityTarget": 1}, "pipeline": {"maxIterations": 2}}')
+    (tmp_path / "bad.json").write_text('{"name": ')
+    (tmp_path / "other.yml").write_text("name: y\n")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in files.read_loadouts(spark, str(tmp_path)).collect()}
+    assert rows["good.json"].name == "n" and rows["good.json"].error is None
+    assert rows["bad.json"].error and rows["bad.json"].name is None
+    assert (rows["other.yml"].name == "y") != bool(rows["other.yml"].error)
+    row = files.overridden(files.read_loadouts(spark, str(tmp_path)).where("name = 'n'"), density=9, iterations=0).first()
+    assert (row.output.densityTarget, row.pipeline.maxIterations) == (9, 2)
+
+
+def test_ranked_lists(spark):
+    rows = [(f"l{k % 2}", k, float(k % 7)) for k in range(200)] + [("l0", 500, 3.0)]
+    found = {(r["list"], r["id"]): r["rank"] for r in search.ranked_lists(spark.createDataFrame(rows, "list string, id long, score double")).collect()}
+    for name in ("l0", "l1"):
+        own = sorted((r for r in rows if r[0] == name), key=lambda r: (-r[2], r[1]))
+        assert [found[name, r[1]] for r in own] == list(range(1, len(own) + 1))
