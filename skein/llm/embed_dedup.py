@@ -12,7 +12,7 @@
   in the first table where it agrees, so nothing has to be made unique later. A large bucket is dealt
   in blocks, each pair of blocks to one task. Counts of links and spanning links leave it, not pairs.
 
-Equal vectors are one class with a multiplicity. Defined results: vectors that are null, empty, zero,
+Vectors that are equal but for a power of two are one class with a multiplicity. Defined results: vectors that are null, empty, zero,
 or hold null or non-finite components link with nothing; vectors of different lengths never link; rows
 that share a ``vec_id`` count as separate vectors in ``n_links``; empty tables give empty results.
 """
@@ -136,8 +136,11 @@ def near_vectors(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    # adding zero makes both zeros equal
-    usable_rows = rows.where(usable).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    # a power of two takes very large and very small components to where squares neither overflow nor vanish, and
+    # changes no cosine; adding zero makes both zeros equal
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
+    scaled = F.transform("embedding", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(largest))) + F.lit(0.0))
+    usable_rows = rows.where(usable).withColumn("embedding", scaled)
     classes = usable_rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     sizes = [(r["d"], r["n"]) for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()]
@@ -158,7 +161,7 @@ def near_vectors(
         .join(components, F.col("rep") == F.col("node"), "left")
         .select("embedding", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     )
-    keyed = rows.withColumn("embedding", F.when(usable, F.transform("embedding", lambda x: x + F.lit(0.0))))
+    keyed = rows.withColumn("embedding", F.when(usable, scaled))
     out = keyed.join(told, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
 
