@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences: five operators, one after another.
 
 Every stage takes all documents that the stage before it kept and writes its result as a table, which
-the next one reads. All but the last return the columns of ``documents``.
+the next one reads. All but the last return the columns of ``documents``, whatever their number and names.
+
+Defined results of all stages: null and empty texts are documents like others, and clean ones, so only packing
+sees their end; rows without ``doc_id`` are judged by their text; rows that share a ``doc_id`` are judged each by
+its own text, except that near duplicates keeps or drops them by their id; fully equal rows stay as many as they are
+but for near duplicates, which keeps one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,28 +27,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject; it learns from the labelled ones among them."""
+    """Documents that the classifier chain does not reject; it learns from the labelled ones among them.
+
+    Without any label nothing is rejected.
+    """
     return reject_toxic(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier line repeats, up to one edit of a character or a word; ``n_chars`` counts what is left."""
+    """All documents, without the lines that an earlier line repeats, up to one edit of a character or a word; ``n_chars`` counts what is left.
+
+    A document whose lines all go stays with an empty text; a null text stays null.
+    """
     kept = dedup_lines(docs, word_edits=1)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies, that of the smallest id: five-word shingles, a similarity of 0.8 or more.
+
+    Documents without words are in no group and all stay, but for fully equal rows.
+    """
     return one_of_each_group(docs, shingle_words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; without items all stay."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 tokens, best filled first."""
+    """Pieces of documents in sequences of 2,048 tokens, best filled first; a text without tokens is a piece of one separator."""
     return pack(docs)
 
 
@@ -55,9 +69,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The stages learn, tokenise and pack, which SQL does not express. Tests hold the operators of the near
-#: duplicates and packing stages against brute force and plant near lines; no test runs the whole pipeline,
-#: and toxicity and decontamination have no brute-force version.
+#: The stages learn, tokenise and pack, which SQL does not express. ``tests/llm/test_pipeline.py`` holds each stage's
+#: rows against a plain version on what the stage before it kept, and the classifier against held-out labels.
 ORACLE_SQL = None
 
 
