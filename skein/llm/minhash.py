@@ -10,9 +10,10 @@ Documents with equal sets form one class, and only one of each class takes part
   are told by a broadcast table whose size is bounded by the ratio that makes a value frequent.
 * Pairs are not enumerated within a list. In a few rounds each list names one member, and every class
   is compared with the member that most of its lists name. What is linked shares a label from then on.
-* Members of a list with different labels are compared block by block inside tasks, first by their
-  sketches; what has a possible partner there fetches its text. Only links that connect something new
-  leave a block, so neither pairs nor links are emitted for each pair of a group.
+* Members of a list with different labels are compared by their sketches: pairs of lists of ``SHORT_LIST``
+  members at most once each, longer lists block by block inside tasks. What has a possible partner
+  fetches its text, and lists or blocks are confirmed inside tasks. Only links that connect something
+  new leave them, so neither pairs nor links are emitted for each pair of a group.
 * Estimation: the values that both sketches would retain, and how many of them both have, estimate the
   Jaccard similarity; pairs four deviations below the threshold go no further.
 * The rest are confirmed on the full sets, made anew from both texts.
@@ -42,7 +43,11 @@ INDEX_K = 32
 STAR_ROUNDS = 2
 #: A value in more than this share of all list entries is frequent; there are at most FREQUENT_PARTS such values.
 FREQUENT_PARTS = 20_000
+#: Pairs of a list of so few members are told by a join; longer lists are compared in blocks.
+SHORT_LIST = 8
 BLOCK_ROWS = 1024
+#: So many nodes are broadcast at most, 8 to 24 bytes each; beyond that tables are joined by shuffles.
+TOLD_NODES = 500_000
 #: Columns of a block's table of values that are multiplied at once.
 VALUE_COLUMNS = 4096
 SKETCHED = "doc_id long, text_key long, n_shingles long, digest binary, low array<long>, sketch array<int>"
@@ -119,18 +124,33 @@ def listed_values(reps: DataFrame, scope: Scope, *, index_k: int, percent: int)
     return ordered.select("node", F.explode("kept").alias("e")).select(F.col("e.value").alias("value"), "node", F.col("e.df").alias("df")).where("df > 1")
 
 
+def _of(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``table`` with one of the ``nodes``; only these are shuffled, where the nodes are few enough to be told to all tasks."""
+    return table.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= TOLD_NODES else table
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def estimated(pairs: DataFrame, reps: DataFrame, sketch_k: int) -> DataFrame:
     """Add to ``pairs(a, b)`` the similarity estimated from the bottom-k of the union."""
+    reps = _of(reps.select("node", "sketch", "n_shingles"), _ends(pairs))
     left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
     right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch_k))
     shared = F.size(F.array_intersect(F.col("u"), F.array_intersect("sa", "sb")))
-    return both.select("a", "b", "na", "nb", (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
+    return both.select(*pairs.columns, "na", "nb", (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
+
+
+def _sized(percent: int) -> str:
+    return f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}"
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose full sets are similar enough; each pair brings both texts to one task."""
+    texts = _of(texts, _ends(pairs))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,14 +221,26 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
 
     Lists are cut into blocks, and each pair of blocks is compared in one task.
     """
-    mixed = lists.join(labels, "node")
+    mixed = lists.join(labels, "node").join(reps.select("node", "n_shingles"), "node")
     several = mixed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
-    mixed = mixed.join(several, "value")
+    mixed = scope.saved(mixed.join(several, "value"), "mixed")
+    few = mixed.where(F.col("df") <= SHORT_LIST)
+    x, y = few.select("value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), few.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
+    met = x.join(y, "value").where(f"a < b and la != lb and {_sized(percent)}")
+    met = scope.saved(met.groupBy("a", "b").agg(F.min("value").alias("value")), "met")
+    near = estimated(met, reps, sketch_k).where(F.col("estimate") >= cut)
+    near = scope.saved(near.select("value", F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
+    short = near.join(labels, "node").join(_of(reps.select("node", "n_shingles", "sketch"), near.select("node").distinct()), "node")
+    here = lambda n: F.lit(n).cast("int")
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+    short = short.select(*columns[:1], here(0).alias("i"), here(0).alias("j"), here(0).alias("own"), "node", "label", "n_shingles", "sketch", F.array().cast("array<long>").alias("listed"))
+
+    mixed = mixed.where(F.col("df") > SHORT_LIST).drop("n_shingles")
+    values = mixed.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
     mixed = mixed.withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mixed = mixed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    values = lists.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
-    mixed = mixed.join(reps.select("node", "n_shingles", "sketch").join(values, "node"), "node").select(*[c.split()[0] for c in LISTED.split(", ")])
+    mixed = mixed.join(_of(reps.select("node", "n_shingles", "sketch"), values.select("node")).join(values, "node"), "node").select(*columns)
     options = {"percent": percent, "sketch_k": sketch_k, "cut": cut}
 
     def choose(table: pa.Table) -> pa.Table:
@@ -228,7 +260,7 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
         return table.filter(pa.array(chosen)).cast(pa.schema(fields))
 
     blocks = ["value", "i", "j"]
-    chosen = scope.saved(mixed.groupBy(*blocks).applyInArrow(choose, LISTED), "possible")
+    chosen = scope.saved(mixed.groupBy(*blocks).applyInArrow(choose, LISTED).union(short), "possible")
 
     def confirm(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -253,7 +285,7 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
                 links.append((node[a], node[b]))
         return pa.table({c: pa.array([z[k] for z in links], pa.int64()) for k, c in enumerate("ab")})
 
-    return chosen.join(texts, "node").groupBy(*blocks).applyInArrow(confirm, "a long, b long")
+    return chosen.join(_of(texts, chosen.select("node").distinct()), "node").groupBy(*blocks).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(
@@ -280,8 +312,12 @@ def near_duplicates(
     reps = scope.saved(reps.dropDuplicates(["node"]), "representatives")
     lists = scope.saved(listed_values(reps, scope, index_k=index_k, percent=percent), "lists")
     listed = classes.join(lists.select("node").distinct(), "node").select("node", "doc_id", "text_key")
-    keyed = _keyed(docs)
-    texts = scope.saved(keyed.join(listed, same_row(keyed, listed)).select("node", "text").dropDuplicates(["node"]), "listed-texts")
+    listed = scope.saved(listed, "listed")
+    keyed, n_listed = _keyed(docs), listed.count()
+    texts = keyed.join(F.broadcast(listed) if n_listed <= TOLD_NODES else listed, same_row(keyed, listed)).select("node", "text")
+    texts = scope.saved(texts, "listed-texts")
+    if texts.count() > n_listed:  # the same row stands there more than once
+        texts = scope.saved(texts.dropDuplicates(["node"]), "listed-texts")
 
     deviation = (percent * (100 - percent)) ** 0.5 / 100 / sketch_k**0.5
     cut = percent / 100 - 4 * deviation
@@ -294,9 +330,9 @@ def near_duplicates(
         heads = heads.where("lo != hi").select("value", F.col("head.node").alias("b"), F.col("head.label").alias("other"))
         # of the members met, the one in most of a class's lists
         votes = marked.join(heads, "value").where("label != other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
-        pairs = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        guess = estimated(pairs, reps, sketch_k).where((F.col("estimate") >= cut) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-        found = scope.saved(confirmed(guess.select("a", "b"), texts, shingle_words=shingle_words, percent=percent), "star-links")
+        pairs = scope.saved(votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "voted")
+        guess = estimated(pairs, reps, sketch_k).where((F.col("estimate") >= cut) & F.expr(_sized(percent)))
+        found = scope.saved(confirmed(scope.saved(guess.select("a", "b"), "guessed"), texts, shingle_words=shingle_words, percent=percent), "star-links")
         links = found if links is None else links.union(found)
         # a label goes over to the label it was linked to that comes first; as heads come first, no label goes in a circle
         own, other = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
@@ -312,7 +348,7 @@ def near_duplicates(
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
     links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
     joined = scope.saved(connected_components(links), "components")
-    scope.drop("value-counts", "representatives", "lists", "listed-texts", "labels", "moves", "possible", "star-links", "links")
+    scope.drop("value-counts", "representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "mixed", "met", "near", "possible", "star-links", "links")
     members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
     least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
@@ -322,12 +358,13 @@ def near_duplicates(
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; of equal rows one."""
+    """The rows of ``docs`` whose document is kept, and those without ``doc_id``; of equal rows one."""
     marked = near_duplicates(docs, **options)
-    kept = marked.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    told = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi").withColumn("_text", F.xxhash64("text"))
-    unnamed = docs.where("doc_id is null")
-    return told.dropDuplicates(["doc_id", "_text"]).select(*docs.columns).union(unnamed)
+    kept = marked.where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    # whole rows travel in one column, so no name of theirs can clash
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"))
+    named = rows.join(kept, "id", "left_semi").dropDuplicates(["id", "text_key"])
+    return named.select("doc.*").union(rows.where("id is null").select("doc.*"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ def test_large_groups_and_blocks(spark, monkeypatch, hub):
     from skein.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(minhash, "SHORT_LIST", 3)
     base = [f"w{k}" for k in range(100)]
     if hub:
         texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(80)]
