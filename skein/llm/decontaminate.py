@@ -276,9 +276,10 @@ def contaminated(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no item is found; a row without ``doc_id`` is judged by its text alone."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hits = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(hits, "_row", "left_anti").select(*docs.columns)
+    # whole rows travel in one column, so no name of theirs can clash
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    hits = contaminated(keyed.select(F.col("row").alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(hits, "row", "left_anti").select("doc.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

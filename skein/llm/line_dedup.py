@@ -243,12 +243,13 @@ def near_lines(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *,
     return both.where(near(F.col("a"), F.col("b"), max_edits, units)).select("place", "other")
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: int = 0) -> DataFrame:
-    """The rows of ``docs`` with ``text`` cut to the lines that stay, and n_lines, n_exact and n_near."""
+def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: int = 0, counts: bool = True) -> DataFrame:
+    """The rows of ``docs`` with ``text`` cut to the lines that stay, and with ``counts`` n_lines, n_exact and n_near in place of such columns."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     # (doc_id, hash of the text, line number) as one number, so that places compare and aggregate as one
     home = (F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("decimal(38,0)") * F.lit(_LINES) + F.pmod(F.xxhash64("text"), F.lit(_LINES)).cast("decimal(10,0)")).cast("decimal(29,0)")
-    homes = docs.select("*", home.alias("_home"))
+    # whole rows travel in one column, so no name of theirs can clash
+    homes = docs.select(F.struct("*").alias("_doc"), "text", home.alias("_home"))
     each = homes.select("_home", F.posexplode(lines).alias("number", "line")).where(F.trim("line") != "")
     place = (F.col("_home") * F.lit(_LINES).cast("decimal(10,0)") + F.col("number").cast("decimal(10,0)")).cast("decimal(38,0)")
     searches = [(CHARACTERS, max_edits, min_chars, "c")] + ([(WORDS, word_edits, MIN_WORDS, "w")] if word_edits else [])
@@ -291,7 +292,8 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
     out = out.withColumn("n_exact", F.col("n_lines") - F.size("_blank") - F.size("_kept") - F.col("n_near"))
     out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")))
-    return out.select(*docs.columns, "n_lines", "n_exact", "n_near")
+    more = ["n_lines", "n_exact", "n_near"] if counts else []
+    return out.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in more], *more)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,11 +293,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, categories: tuple[str, ...]
 
 def reject_toxic(docs: DataFrame, labels_for: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not toxic; the chain is fitted on ``labels_for`` with ``labels``."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    # whole rows travel in one column, so no name of theirs can clash
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
     models = train(labels_for, labels, CATEGORIES, **options)
-    scored = score(keyed.select(F.col("_row").alias("doc_id"), "text"), models, CATEGORIES)
-    bad = scored.where(F.col(f"p_{CATEGORIES[-1]}") >= THRESHOLD).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    scored = score(keyed.select(F.col("row").alias("doc_id"), "text"), models, CATEGORIES)
+    bad = scored.where(F.col(f"p_{CATEGORIES[-1]}") >= THRESHOLD).select(F.col("doc_id").alias("row")).distinct()
+    return keyed.join(bad, "row", "left_anti").select("doc.*")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,31 @@ def test_toxicity_stage(spark, stages, sf_dir):
     assert {d for d, _ in texts(kept)} == {d for d, p in scored.items() if p < toxicity.THRESHOLD}
 
 
+ODD = "doc_id long, text string, row long, doc string, id int, _doc string, _home int, n_lines int, text_key long, label string"
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+
+
+def test_stages_of_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows and columns with names that the operators use."""
+    texts = [LONG, None, "", "x " * 40_000, LONG + " fifteen", LONG]
+    rows = [(k, t, 7, "doc", 1, "d", 2, 3, 4, "l") for k, t in enumerate(texts)] + [(0, LONG, 7, "doc", 1, "d", 2, 3, 4, "l"), (None, "b", 7, "doc", 1, "d", 2, 3, 4, "l")]
+    kept = {"toxicity": 8, "lines": 8, "near_duplicates": None, "decontamination": 8}
+    for docs, empty in ((spark.createDataFrame(rows, ODD), False), (spark.createDataFrame([], ODD), True)):
+        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, sf_dir).collect()
+            if empty:
+                assert found == []
+            elif name != "packing":
+                assert set(found[0].asDict()) == set(docs.columns)
+                assert all((r.row, r.doc, r.id, r._doc, r._home, r.n_lines, r.text_key, r.label) == (7, "doc", 1, "d", 2, 3, 4, "l") for r in found)
+                assert kept[name] is None or len(found) == kept[name]
+                if name == "near_duplicates":  # copies of 0 and its near copy go, one of the equal rows stays
+                    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 0), (False, 1), (False, 2), (False, 3), (True, 0)]
+            else:
+                assert {r.doc_id for r in found} == {0, 1, 2, 3, 4, 5, None}
+
+
 def test_toxicity_of_held_out_documents(spark):
     """Fitted on half of the labels, the chain tells the other half."""
     folder = "/root/testdata/sf0.1"
