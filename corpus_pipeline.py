@@ -39,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document whose lines all go stays with an empty text; a null text stays null.
     """
-    kept = dedup_lines(docs, word_edits=1)
+    kept = dedup_lines(docs, word_edits=1, counts=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
