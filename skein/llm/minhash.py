@@ -129,6 +129,11 @@ def _of(table: DataFrame, nodes: DataFrame) -> DataFrame:
     return table.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= TOLD_NODES else table
 
 
+def _told(table: DataFrame, n: int) -> DataFrame:
+    """``table`` of ``n`` rows of a node and a number or two, broadcast if that is few enough."""
+    return F.broadcast(table) if n <= TOLD_NODES else table
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -216,12 +221,13 @@ def _possible(table: pa.Table, left: np.ndarray, *, percent: int, sketch_k: int,
     return np.where(near, estimate, 0)
 
 
-def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, scope: Scope, *, shingle_words: int, percent: int, sketch_k: int, cut: float) -> DataFrame:
+def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, n_listed: int, scope: Scope, *, shingle_words: int, percent: int, sketch_k: int, cut: float) -> DataFrame:
     """Links (a, b) between classes that share a list and have different labels, as many as connect something new.
 
     Lists are cut into blocks, and each pair of blocks is compared in one task.
     """
-    mixed = lists.join(labels, "node").join(reps.select("node", "n_shingles"), "node")
+    sized = scope.saved(_of(reps.select("node", "n_shingles"), labels.select("node")), "sized")
+    mixed = lists.join(_told(labels, n_listed), "node").join(_told(sized, n_listed), "node")
     several = mixed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
     mixed = scope.saved(mixed.join(several, "value"), "mixed")
     few = mixed.where(F.col("df") <= SHORT_LIST)
@@ -230,7 +236,7 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
     met = scope.saved(met.groupBy("a", "b").agg(F.min("value").alias("value")), "met")
     near = estimated(met, reps, sketch_k).where(F.col("estimate") >= cut)
     near = scope.saved(near.select("value", F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
-    short = near.join(labels, "node").join(_of(reps.select("node", "n_shingles", "sketch"), near.select("node").distinct()), "node")
+    short = near.join(_told(labels, n_listed), "node").join(_of(reps.select("node", "n_shingles", "sketch"), near.select("node").distinct()), "node")
     here = lambda n: F.lit(n).cast("int")
     columns = [c.split()[0] for c in LISTED.split(", ")]
     short = short.select(*columns[:1], here(0).alias("i"), here(0).alias("j"), here(0).alias("own"), "node", "label", "n_shingles", "sketch", F.array().cast("array<long>").alias("listed"))
@@ -325,7 +331,7 @@ def near_duplicates(
     links = None
     for k in range(star_rounds):
         order = lambda c, k=k: F.xxhash64(F.lit(k), c)
-        marked = lists.join(labels, "node")
+        marked = lists.join(_told(labels, n_listed), "node")
         heads = marked.groupBy("value").agg(F.min(F.struct(order("label").alias("o"), "label", order("node").alias("p"), "node")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         heads = heads.where("lo != hi").select("value", F.col("head.node").alias("b"), F.col("head.label").alias("other"))
         # of the members met, the one in most of a class's lists
@@ -338,17 +344,17 @@ def near_duplicates(
         own, other = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
         moves = found.join(own, "a").join(other, "b").groupBy("label_a").agg(F.min(F.struct(order("label_b").alias("o"), "label_b")).alias("to"))
         moves = scope.saved(moves.select(F.col("label_a").alias("label"), F.col("to.label_b").alias("to")), "moves")
-        for _ in range(2):
-            labels = labels.join(moves, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        for _ in range(2):  # a label moves once for each node that is listed, at most
+            labels = labels.join(_told(moves, n_listed), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = scope.saved(labels, "labels")
-    crossing = crossing_links(lists, reps, texts, labels, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
+    crossing = crossing_links(lists, reps, texts, labels, n_listed, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
     links = crossing if links is None else links.union(crossing)
     # rows of one document link their classes, each to the first
     named = sketched.where("n_shingles > 0 and doc_id is not null").join(classes.select("digest", "node"), "digest")
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
     links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
     joined = scope.saved(connected_components(links), "components")
-    scope.drop("value-counts", "representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "mixed", "met", "near", "possible", "star-links", "links")
+    scope.drop("value-counts", "representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "sized", "mixed", "met", "near", "possible", "star-links", "links")
     members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
     least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
