@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.llm.byte_bpe import op11_byte_bpe
 from skein.llm.decontaminate import op5_decontaminate
 from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_fixity_audit": op8_fixity_audit,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
