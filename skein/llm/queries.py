@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skein.llm.byte_bpe import op11_byte_bpe
 from skein.llm.decontaminate import op5_decontaminate
+from skein.llm.dual_tree import op13_dual_tree_lloyd
 from skein.llm.embed_dedup import op2_near_vectors
 from skein.llm.licenses import op6_licenses
 from skein.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
