@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skein.llm.byte_bpe import op11_byte_bpe
+from skein.llm.conversation_repair import op12_conversation_repair
 from skein.llm.decontaminate import op5_decontaminate
 from skein.llm.dual_tree import op13_dual_tree_lloyd
 from skein.llm.embed_dedup import op2_near_vectors
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack": op10_pack,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_dual_tree_lloyd": op13_dual_tree_lloyd,
 }
 ORACLE_SQL: dict[str, str] = {
