@@ -45,8 +45,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
 
 
+def token_strings(ranks: dict[bytes, int]) -> list[bytes]:
+    strings = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        strings[rank] = token
+    return strings
+
+
 class RankEncoder(tokens.PieceEncoder):
-    """The library's encoder for a rank file, and the byte string of every id."""
+    """The library's encoder for a rank file."""
 
     def __init__(self, path: str, cache_pieces: int = tokens.CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,30 +71,36 @@ class RankEncoder(tokens.PieceEncoder):
         # the library's own pattern is the one of the public vocabularies
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.special: list[bytes] = []
-        strings = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            strings[rank] = token
-        self.n_bytes = np.array([len(s) for s in strings], dtype=np.int64)
-        #: one string more than there are ids: what an unknown id decodes to
-        self.strings = pa.array([*strings, "�".encode()], pa.large_binary())
+        self.n_bytes = np.array([len(s) for s in token_strings(ranks)], dtype=np.int64)
         self.cache_pieces = cache_pieces
         self._clear()
 
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> RankEncoder:
+    """One encoder for each Python worker."""
+    return RankEncoder(path)
+
+
+class RankDecoder:
+    """The byte string of every id, and one string more: what an unknown id decodes to."""
+
+    def __init__(self, path: str):
+        self.strings = pa.array([*token_strings(read_ranks(path)), "\ufffd".encode()], pa.large_binary())
+
     def bytes_of(self, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all bytes, where each id's bytes begin and end)."""
         unknown = len(self.strings) - 1
         number = ids.fill_null(unknown).to_numpy(zero_copy_only=False).astype(np.int64)
         number = np.where((number < 0) | (number > unknown), unknown, number)
-        taken = self.strings.take(pa.array(number))
-        _, offsets, data = taken.buffers()
+        _, offsets, data = self.strings.take(pa.array(number)).buffers()
         bounds = np.frombuffer(offsets, dtype=np.int64)[: len(number) + 1] if len(number) else np.zeros(1, dtype=np.int64)
         return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8), bounds
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> RankEncoder:
-    """One encoder for each Python worker."""
-    return RankEncoder(path)
+def decoder(path: str) -> RankDecoder:
+    return RankDecoder(path)
 
 
 def _places(text: pa.Array, lengths: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,22 +151,34 @@ def _token_texts(strings: list[bytes]) -> list[str]:
     return [reader.decode(s, final=k + 1 == len(strings)) for k, s in enumerate(strings)]
 
 
-def decode(encoded: DataFrame, *, pieces: bool = False, ranks: str | None = None) -> DataFrame:
-    """Bytes and text of every list of ids of ``encoded(doc_id, ids)``: ``doc_id, ids, data, text``.
+def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, few at a time where their lists are long."""
+    ends = np.cumsum(batch[column].value_lengths().fill_null(0).to_numpy())
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def decode(encoded: DataFrame, *, text: bool = True, pieces: bool = False, ranks: str | None = None) -> DataFrame:
+    """Bytes and, unless told otherwise, text of every list of ids of ``encoded(doc_id, ids)``: ``doc_id, ids, data, text``.
 
     With ``pieces``, ``token_texts`` gives the text of each token; joined they are ``text``.
     """
     path = ranks or tokens.vocabulary_path(RANK_FILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
+        own = decoder(path)
+        for batch in (part for whole in batches for part in _slices(whole, "ids")):
             lists = batch["ids"]
             data, bounds = own.bytes_of(lists.flatten())
-            ends = np.append(0, np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            ends = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())).astype(np.int64)
             raw, at = data.tobytes(), bounds[ends]
             whole = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = {"doc_id": batch["doc_id"], "ids": lists, "data": pa.array(whole, pa.binary()), "text": pa.array([s.decode("utf-8", "replace") for s in whole], pa.string())}
+            columns = {"doc_id": batch["doc_id"], "ids": lists, "data": pa.array(whole, pa.binary())}
+            if text:
+                columns["text"] = pa.array([s.decode("utf-8", "replace") for s in whole], pa.string())
             if pieces:
                 cut = bounds.tolist()
                 split = [[raw[cut[k] : cut[k + 1]] for k in range(a, b)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -161,10 +186,10 @@ def decode(encoded: DataFrame, *, pieces: bool = False, ranks: str | None = None
             yield pa.RecordBatch.from_pydict(columns)
 
     ids = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return ids.mapInArrow(run, "doc_id long, ids array<int>, data binary, text string" + (", token_texts array<string>" if pieces else ""))
+    return ids.mapInArrow(run, "doc_id long, ids array<int>, data binary" + ", text string" * text + ", token_texts array<string>" * pieces)
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     ids = F.coalesce(F.array_join("ids", ","), F.lit(""))
-    return decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    return decode(encoded, text=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
