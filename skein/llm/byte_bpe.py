@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import codecs
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -117,15 +117,11 @@ def _places(text: pa.Array, lengths: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return leads[begin] - 1 - rows, leads[after - 1] - rows, (data[begin] & 0xC0) == 0x80
 
 
-def encode(docs: DataFrame, *, offsets: bool = False, ranks: str | None = None) -> DataFrame:
-    """Ids of every text of ``docs(doc_id, text)``: ``doc_id, ids, n_inside``.
+Batches = Iterator[pa.RecordBatch]
 
-    ``n_inside`` counts tokens that begin inside a character. With ``offsets``, ``starts`` and ``ends`` give the
-    first character of each token and the one after its last, as places in the text.
-    """
-    path = ranks or tokens.vocabulary_path(RANK_FILE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(path: str, offsets: bool) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         own = encoder(path)
         for batch in batches:
             for lo, hi, ids, ends in own.encode(batch["text"]):
@@ -141,8 +137,21 @@ def encode(docs: DataFrame, *, offsets: bool = False, ranks: str | None = None)
                     columns["ends"] = pa.ListArray.from_arrays(bounds, pa.array(after, pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids array<int>, n_inside long" + (", starts array<int>, ends array<int>" if offsets else ""))
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, *, offsets: bool = False, ranks: str | None = None) -> DataFrame:
+    """Ids of every text of ``docs(doc_id, text)``: ``doc_id, ids, n_inside``.
+
+    ``n_inside`` counts tokens that begin inside a character. With ``offsets``, ``starts`` and ``ends`` give the
+    first character of each token and the one after its last, as places in the text.
+    """
+    run = _encoding(ranks or tokens.vocabulary_path(RANK_FILE), offsets)
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_inside long" + ", starts array<int>, ends array<int>" * offsets)
 
 
 def _token_texts(strings: list[bytes]) -> list[str]:
@@ -161,14 +170,8 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator
         lo = hi
 
 
-def decode(encoded: DataFrame, *, text: bool = True, pieces: bool = False, ranks: str | None = None) -> DataFrame:
-    """Bytes and, unless told otherwise, text of every list of ids of ``encoded(doc_id, ids)``: ``doc_id, ids, data, text``.
-
-    With ``pieces``, ``token_texts`` gives the text of each token; joined they are ``text``.
-    """
-    path = ranks or tokens.vocabulary_path(RANK_FILE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(path: str, text: bool, pieces: bool) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         own = decoder(path)
         for batch in (part for whole in batches for part in _slices(whole, "ids")):
             lists = batch["ids"]
@@ -185,11 +188,27 @@ def decode(encoded: DataFrame, *, text: bool = True, pieces: bool = False, ranks
                 columns["token_texts"] = pa.array([_token_texts(s) for s in split], pa.list_(pa.string()))
             yield pa.RecordBatch.from_pydict(columns)
 
+    return run
+
+
+def decode(encoded: DataFrame, *, pieces: bool = False, ranks: str | None = None) -> DataFrame:
+    """Bytes and text of every list of ids of ``encoded(doc_id, ids)``: ``doc_id, ids, data, text``.
+
+    With ``pieces``, ``token_texts`` gives the text of each token; joined they are ``text``.
+    """
+    run = _decoding(ranks or tokens.vocabulary_path(RANK_FILE), True, pieces)
     ids = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return ids.mapInArrow(run, "doc_id long, ids array<int>, data binary" + ", text string" * text + ", token_texts array<string>" * pieces)
+    return ids.mapInArrow(run, "doc_id long, ids array<int>, data binary, text string" + ", token_texts array<string>" * pieces)
+
+
+def round_trip(docs: DataFrame, *, ranks: str | None = None) -> DataFrame:
+    """``doc_id, ids, data``: texts encoded and their ids decoded again, by one worker a task."""
+    path = ranks or tokens.vocabulary_path(RANK_FILE)
+    there, back = _encoding(path, False), _decoding(path, False, False)
+    return _texts(docs).mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids array<int>, data binary")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     ids = F.coalesce(F.array_join("ids", ","), F.lit(""))
-    return decode(encoded, text=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
