@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 
+#: States of an alert.
+PENDING, FIRING, RESOLVED, INACTIVE = "pending", "firing", "resolved", "inactive"
+#: Who gets alerts of a severity, and who gets all others.
+RECEIVERS = {"critical": "critical-alerts", "high": "high-alerts", "warning": "warning-alerts"}
+OTHER_RECEIVER = "web.hook"
+
+
 def counter_increase(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Each sample of ``ts, value`` with its growth since the one before; a drop is a reset from zero."""
     order = Window.partitionBy(*keys).orderBy("ts")
@@ -53,6 +60,53 @@ def firing(points: DataFrame, keys: list[str], condition: Column, hold_seconds:
     return runs.where(F.col("last_true").cast("timestamp").cast("long") - F.col("pending_since").cast("timestamp").cast("long") >= hold_seconds).drop("island")
 
 
+def transitions(points: DataFrame, keys: list[str], condition: Column, hold_seconds: int) -> DataFrame:
+    """(<keys>, at, state): when an alert begins to be pending, fires after ``hold_seconds``, and ends.
+
+    Samples of one moment count as one, on if any is. An alert that ends before it fires is inactive, else resolved.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    moments = points.where("ts IS NOT NULL").groupBy(*keys, at.alias("at")).agg(F.max(F.coalesce(condition, F.lit(False))).alias("on"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    before = F.coalesce(F.lag("on").over(order), F.lit(False))
+    marked = moments.withColumn("before", before).withColumn("begins", F.col("on") & ~before)
+    marked = marked.withColumn("since", F.last(F.when(F.col("begins"), F.col("at")), ignorenulls=True).over(order))
+    hold = F.col("at") - F.col("since") >= hold_seconds * 1_000_000
+    # of this moment and of the one before it in the same run
+    fired = marked.withColumn("fired", F.col("on") & hold)
+    fired = fired.withColumn("fired_before", F.coalesce(F.lag("fired").over(order), F.lit(False)))
+    states = F.array_compact(
+        F.array(
+            F.when(F.col("begins"), PENDING),
+            F.when(F.col("fired") & (F.col("begins") | ~F.col("fired_before")), FIRING),
+            F.when(~F.col("on") & F.col("before"), F.when(F.col("fired_before"), RESOLVED).otherwise(INACTIVE)),
+        )
+    )
+    return fired.select(*keys, "at", F.explode(states).alias("state"))
+
+
+def inhibited_changes(changes: DataFrame, equal: list[str]) -> DataFrame:
+    """(<equal>, at, id, severity, state): changes without those of warnings while a critical alert of equal labels is open.
+
+    What happens to critical alerts at one moment comes before what happens to warnings.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    step = F.when(F.col("severity") == "critical", F.when(F.col("state") == FIRING, 1).when(F.col("state") == RESOLVED, -1))
+    order = Window.partitionBy(*equal).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = F.coalesce(F.sum("_step").over(order), F.lit(0))
+    counted = changes.where("ts IS NOT NULL").withColumn("at", at).withColumn("_step", step).withColumn("_open", open_)
+    muted = F.coalesce((F.col("severity") == "warning") & (F.col("_open") > 0), F.lit(False))
+    return counted.where(~muted).select(*equal, "at", "id", "severity", "state")
+
+
+def receiver(severity: Column) -> Column:
+    """Who gets alerts of a severity."""
+    out = F.lit(OTHER_RECEIVER)
+    for name, who in reversed(RECEIVERS.items()):
+        out = F.when(severity == name, who).otherwise(out)
+    return out
+
+
 def inhibited(alerts: DataFrame, equal: list[str]) -> DataFrame:
     """Without the warnings that a critical alert with equal labels covers; null labels are equal."""
     critical = alerts.where("severity = 'critical'").select(*[F.col(c).alias(f"_{c}") for c in equal]).distinct()
@@ -152,6 +206,31 @@ def notifications(alerts: DataFrame, group: list[str], *, wait: int = 10, interv
     return told.select(*group, "nth", (F.col("_begun") + wait + F.col("nth") * interval).alias("at"), "alerts")
 
 
+def notices(changes: DataFrame, group: list[str], *, wait: int = 10, interval: int = 10, repeat: int = 3600, until: int) -> DataFrame:
+    """(<group>, nth, at, changes, open, again) of ``changes(<group>, ts, state)``, up to ``until`` in microseconds.
+
+    The first notice of a group comes ``wait`` seconds after its first change, then at every ``interval`` one with
+    what changed since, and where nothing did, one again ``repeat`` seconds after the last while alerts are open.
+    """
+    wait, interval, every = wait * 1_000_000, interval * 1_000_000, -(-repeat // interval)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    begun = F.min("_at").over(Window.partitionBy(*group))
+    step = F.when(F.col("state") == FIRING, 1).when(F.col("state") == RESOLVED, -1).otherwise(0)
+    timed = changes.where("ts IS NOT NULL").withColumn("_at", at).withColumn("_begun", begun)
+    late = F.col("_at") - F.col("_begun") - wait
+    nth = F.greatest(F.lit(0), -F.floor(-late / interval)).cast("long")
+    told = timed.withColumn("nth", nth).groupBy(*group, "_begun", "nth").agg(F.count("*").alias("changes"), F.sum(step).alias("_step"))
+    order = Window.partitionBy(*group).orderBy("nth")
+    told = told.withColumn("open", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    last = F.floor((F.lit(until) - F.col("_begun") - wait) / interval)
+    told = told.withColumn("_next", F.coalesce(F.lead("nth").over(order) - 1, last)).where(F.col("nth") <= last)
+    news = F.array(F.col("nth"))
+    more = F.when((F.col("open") > 0) & (F.col("nth") + every <= F.col("_next")), F.sequence(F.col("nth") + every, F.col("_next"), F.lit(every).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    spread = told.select(*group, "_begun", "changes", "open", F.posexplode(F.concat(news, more)).alias("_k", "nth"))
+    again = F.col("_k") > 0
+    return spread.select(*group, "nth", (F.col("_begun") + wait + F.col("nth") * interval).alias("at"), F.when(again, 0).otherwise(F.col("changes")).cast("long").alias("changes"), "open", again.alias("again"))
+
+
 def limited(requests: DataFrame, client: str, order: str, *, rate: float, burst: float) -> DataFrame:
     """``requests`` with ``allowed``: each client's leaky bucket of ``burst`` requests drains at ``rate`` a second.
 
