@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from skein.operators.telemetry import FIRING, INACTIVE, PENDING, RESOLVED
 
@@ -90,14 +90,17 @@ class InOrder(StatefulProcessor):
 
 
 def with_state(rows: DataFrame, keys: list[str], what: Column, late: str, make: type[InOrder], result: str, **settings: Any) -> DataFrame:
-    """``rows(<keys>, ts)`` through a processor; ``what`` is a struct with all else that it reads of a row."""
+    """``rows(<keys>, ts)`` through a processor; ``what`` is a struct with all else that it reads of a row.
+
+    Keys travel as one string: columns with nulls would reach the processor as floating-point numbers.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    ts = F.col("ts").cast("timestamp")
-    timed = rows.where("ts IS NOT NULL").select(*keys, ts.alias("ts"), F.unix_micros(ts).alias("at"), F.to_json(what).alias("what")).withWatermark("ts", late)
-    # fields of the keys as they are, then those of the result
-    schema = StructType([*rows.select(*keys).schema.fields, *_parse_datatype_string(result).fields])
-    processor = make([f.name for f in schema.fields], **settings)
-    return timed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    ts, label = F.col("ts").cast("timestamp"), F.to_json(F.struct(*keys)).alias("label")
+    timed = rows.where("ts IS NOT NULL").select(label, ts.alias("ts"), F.unix_micros(ts).alias("at"), F.to_json(what).alias("what")).withWatermark("ts", late)
+    schema = StructType([StructField("label", StringType()), *_parse_datatype_string(result).fields])
+    processor = make(schema.names, **settings)
+    out = timed.groupBy("label").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return out.select(F.from_json("label", rows.select(*keys).schema).alias("label"), *schema.names[1:]).select("label.*", *schema.names[1:])
 
 
 class _LifeCycle(InOrder):
