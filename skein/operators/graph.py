@@ -110,3 +110,105 @@ def repomap(files: DataFrame) -> DataFrame:
     weight = F.when(dotted.isin("py", "ts", "js", "java"), 1.5).when(dotted.isin("md", "txt", "json"), 0.5).otherwise(1.0)
     rank = (F.least(F.col("size") / 1000, F.lit(100.0)) / 100 + weight) / 2.5
     return files.select("path", rank.alias("rank"), (rank * 0.8).alias("centrality"))
+
+
+#: Hops between two checks whether anything still changes: a checkpoint each costs more than a hop too many.
+HOPS_A_ROUND = 3
+
+
+def _reaches(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, root) of all that ``start(node, root)`` reaches over ``edges(source, other, within)`` of its own ``root``."""
+    found, front, before = start, start, -1
+    while True:
+        for _ in range(HOPS_A_ROUND):
+            step = front.join(edges, (F.col("node") == F.col("source")) & (F.col("root") == F.col("within"))).select(F.col("other").alias("node"), "root")
+            front = step.distinct()
+            found = found.union(front)
+        found = cut(found.distinct())
+        now = found.count()
+        if now == before:
+            return found
+        before, front = now, found
+
+
+def _between(links: DataFrame) -> DataFrame:
+    """Edges whose ends both have a way in and a way out."""
+    inner = links.select(F.col("source").alias("node")).intersect(links.select("target"))
+    return links.join(inner, links.source == inner.node, "left_semi").join(inner.withColumnRenamed("node", "other"), F.col("target") == F.col("other"), "left_semi")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size): nodes that reach one another share the least of them as component.
+
+    Each round first drops nodes without a way in or out, which are components of their own. Then the least node that
+    reaches a node goes along the edges until nothing changes, and among the nodes that share one, those that reach it
+    are its component. What is left goes into the next round, with the edges inside it. Null ends are no nodes.
+    """
+    pairs = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
+    nodes = cut(pairs.select(F.col("source").alias("node")).union(pairs.select("target")).distinct())
+    links = cut(pairs.where("source != target"))
+    done, size = None, links.count()
+    while True:
+        while size:
+            for _ in range(HOPS_A_ROUND):
+                links = _between(links)
+            links = cut(links)
+            before, size = size, links.count()
+            if size == before:
+                break
+        if not size:
+            break
+        label = cut(links.select(F.col("source").alias("node")).union(links.select("target")).distinct().withColumn("root", F.col("node")))
+        while True:
+            label = label.select("node", "root", F.col("root").alias("was"))
+            for _ in range(HOPS_A_ROUND):
+                given = links.join(label, links.source == label.node).groupBy("target").agg(F.min("root").alias("given"))
+                label = label.join(given, label.node == given.target, "left").select("node", F.least("root", "given").alias("root"), "was")
+            label = cut(label)
+            still = label.where("root != was").isEmpty()
+            label = label.drop("was")
+            if still:
+                break
+        ends = label.withColumnRenamed("root", "target_root").withColumnRenamed("node", "end")
+        own = links.join(label, links.source == label.node).join(ends, F.col("target") == F.col("end")).where("root = target_root")
+        back = cut(own.select(F.col("target").alias("source"), F.col("source").alias("other"), F.col("root").alias("within")))
+        found = _reaches(back, label.where("node = root").select("node", "root"))
+        done = found if done is None else done.union(found)
+        gone = found.select("node")
+        links = cut(links.join(gone, links.source == gone.node, "left_anti").join(gone.withColumnRenamed("node", "other"), F.col("target") == F.col("other"), "left_anti"))
+        size = links.count()
+    if done is None:
+        component = nodes.withColumn("component", F.col("node"))
+    else:
+        component = nodes.join(done, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    sizes = component.groupBy("component").agg(F.count("*").alias("size"))
+    return component.join(sizes, "component").select("node", "component", "size")
+
+
+def circles(edges: DataFrame) -> DataFrame:
+    """(component, size, ...) of circular dependencies: components of several nodes, and nodes with an edge to themselves."""
+    parts = strong_components(edges)
+    itself = edges.where("source = target").select(F.col("source").alias("node")).distinct().withColumn("itself", F.lit(True))
+    return parts.join(itself, "node", "left").where("size > 1 OR itself").groupBy("component").agg(F.max("size").alias("size"), F.sort_array(F.collect_list("node")).alias("nodes"))
+
+
+def reached_by(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node, depth, parent): least number of hops from ``seeds(node)``, and the least node one hop nearer; none for seeds."""
+    found = seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"))
+    front = found
+    for k in range(1, depth + 1):
+        step = front.join(edges, front.node == edges.source).groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+        front = cut(step.join(found, "node", "left_anti").select("node", F.lit(k).alias("depth"), "parent"))
+        found = found.union(front)
+    return found
+
+
+def shortest_paths(found: DataFrame, depth: int) -> DataFrame:
+    """``reached_by`` with ``path``, the nodes from a seed to each node, rebuilt from the parents."""
+    found = cut(found)
+    up = found.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"))
+    out = found.withColumn("path", F.array("node")).withColumn("_next", F.col("parent"))
+    for _ in range(depth):
+        out = out.join(up, out._next == up._node, "left")
+        out = out.withColumn("path", F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), "path")).otherwise(F.col("path"))).withColumn("_next", F.col("_parent")).drop("_node", "_parent")
+    return out.drop("_next")
