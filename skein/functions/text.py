@@ -98,20 +98,27 @@ def preview(text: Column, size: int = 100) -> Column:
     return F.concat(F.substring(text, 1, size), F.lit("..."))
 
 
+def whole_words(pattern: str) -> str:
+    """A pattern for whole words, bounded as if only ASCII letters, digits and the underscore made words."""
+    return rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"
+
+
+#: Words that tell how hard a question is, and what it is about; the first that fits counts.
+HARD, HARDER = r"how|explain|design|describe", r"why|analyze|compare|evaluate|trade-?offs?"
+INTENTS = {"callgraph": r"calls?|callers?|called|invokes?", "import": r"imports?|depends?|dependency|dependencies", "file": r"files?|where|path"}
+
+
 def question_class(question: Column) -> Column:
     """complex, medium or simple, by the hardest word asked with."""
     low = F.lower(question)
-    return F.when(low.rlike(r"\b(why|analyze|compare|evaluate|trade-?offs?)\b"), "complex").when(low.rlike(r"\b(how|explain|design|describe)\b"), "medium").otherwise("simple")
+    return F.when(low.rlike(whole_words(HARDER)), "complex").when(low.rlike(whole_words(HARD)), "medium").otherwise("simple")
 
 
 def question_intent(question: Column) -> Column:
-    low = F.lower(question)
-    return (
-        F.when(low.rlike(r"\b(calls?|callers?|called|invokes?)\b"), "callgraph")
-        .when(low.rlike(r"\b(imports?|depends?|dependency|dependencies)\b"), "import")
-        .when(low.rlike(r"\b(files?|where|path)\b"), "file")
-        .otherwise("symbol")
-    )
+    low, out = F.lower(question), F.lit("symbol")
+    for name, words in reversed(INTENTS.items()):
+        out = F.when(low.rlike(whole_words(words)), name).otherwise(out)
+    return out
 
 
 def clean_code(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import basename, extension, importance
+from skein.operators.graph import cut
 
 
 def change_set(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -46,17 +47,47 @@ def project_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def missing_important(files: DataFrame, names: list[str]) -> DataFrame:
-    found = files.agg(F.collect_set(F.when(basename(F.col("path")).isin(names), basename(F.col("path")))).alias("found"))
-    return found.select(F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "found")).alias("name"))
+def missing_important(files: DataFrame, names: list[str], by: list[str] | None = None) -> DataFrame:
+    """(<by>, name) of the ``names`` that no file of ``files(<by>, path)`` has; ``by`` tells repositories apart."""
+    own = basename(F.col("path"))
+    found = files.groupBy(*(by or [])).agg(F.collect_set(F.when(own.isin(names), own)).alias("found"))
+    return found.select(*(by or []), F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "found")).alias("name"))
+
+
+def running_total(rows: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``running``, the sum of ``value`` up to and with each row in a total ``order``; nulls add nothing.
+
+    Rows are dealt by ranges of the order, each range is summed by itself, and the sums of the ranges before it, one row
+    each, are added. No task sees more than a range.
+    """
+    dealt = cut(rows.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id())
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dealt.groupBy("_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    summed = dealt.withColumn("running", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    # as many rows as there are partitions
+    return summed.join(F.broadcast(bases), "_range").withColumn("running", F.col("running") + F.col("_base")).drop("_range", "_base")
 
 
 def sharded(files: DataFrame, limit: int) -> DataFrame:
-    """Bundle shard of each ``(folder, path, size)``: running size over the limit, within each folder."""
-    from pyspark.sql import Window
+    """Shard of each file of a bundle of ``files(path, size)``: the bytes before it, in order of paths, over the limit."""
+    return running_total(files, "size", [F.col("path")]).withColumn("shard", F.floor((F.col("running") - F.coalesce("size", F.lit(0))) / limit)).drop("running")
+
+
+#: Bytes of a bundle from which a warning is due, and of a shard.
+BUNDLE_WARNING, BUNDLE_LIMIT = 1_500_000_000, 2_000_000_000
+
+
+def bundle_size(files: DataFrame, *, warning: int = BUNDLE_WARNING, limit: int = BUNDLE_LIMIT) -> DataFrame:
+    """Bytes of a bundle, whether they are worth a warning, and how many shards they make."""
+    total = F.coalesce(F.sum("size"), F.lit(0))
+    return files.agg(total.alias("bytes"), (total >= warning).alias("warned"), F.greatest(F.lit(1), F.ceil(total / limit)).alias("shards"))
+
 
-    running = F.sum("size").over(Window.partitionBy("folder").orderBy("path"))
-    return files.withColumn("shard", F.floor((running - F.col("size")) / limit))
+def within_budget(files: DataFrame, budget: int, order: list[Column]) -> DataFrame:
+    """The first ``files(path, size)`` in an order that together are no larger than the budget: a prefix."""
+    return running_total(files, "size", order).where(F.col("running") <= budget)
 
 
 def content_hash(content: Column) -> Column:

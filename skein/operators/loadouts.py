@@ -4,7 +4,11 @@ Every metric is a column expression over one row of counts, so scoring needs no
 one row for each configuration: ``name, category, ea, es`` (enabled agents and stages), ``v``
 (enabled verification layers), ``dep, opts`` (dependencies and options of enabled parts), ``it, par``
 (iterations and parallelism), ``threshold, sections, density, max_memory`` and ``checks`` (how many of the
-three named checks are enabled). Null counts count as missing and make what depends on them null.
+three named checks are enabled). Null counts count as missing and make what depends on them null, as does a
+parallelism of zero for what is divided by it.
+
+Checks have names where a configuration gives ``verification`` as an object; in a list they have none, so they count
+as layers and not as named checks.
 """
 
 from __future__ import annotations
@@ -23,15 +27,16 @@ LEVEL_COST = {"low": 1, "moderate": 2, "high": 3, "very-high": 4}
 def counts_of(loadouts: DataFrame) -> DataFrame:
     """Counts of parsed configurations (see ``skein.sources.loadouts``)."""
     agents, stages = F.filter("agents", lambda x: x["enabled"]), F.filter("stages", lambda x: x["enabled"])
-    layers = F.map_filter("verification", lambda _, x: x["enabled"])
+    layers = F.filter("verification", lambda x: x["enabled"])
     options = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.coalesce(F.size(F.map_keys(x["config"])), F.lit(0)))
-    named = sum(F.when(F.map_contains_key(layers, n), 1).otherwise(0) for n in ("logical_consistency", "cross_reference", "semantic"))
+    keys = F.transform(layers, lambda x: x["key"])
+    named = sum(F.when(F.array_contains(keys, n), 1).otherwise(0) for n in ("logical_consistency", "cross_reference", "semantic"))
     return loadouts.select(
         "name",
         "category",
         F.size(agents).alias("ea"),
         F.size(stages).alias("es"),
-        F.size(F.map_keys(layers)).alias("v"),
+        F.size(layers).alias("v"),
         F.aggregate(agents, F.lit(0), lambda n, x: n + F.coalesce(F.size(x["dependencies"]), F.lit(0))).alias("dep"),
         (options(agents) + options(stages)).alias("opts"),
         F.col("pipeline.maxIterations").alias("it"),
@@ -44,16 +49,24 @@ def counts_of(loadouts: DataFrame) -> DataFrame:
     )
 
 
+def _most(x: Column, limit: float) -> Column:
+    return F.when(x.isNotNull(), F.least(x, F.lit(limit)))
+
+
+def _least(x: Column, limit: float) -> Column:
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(limit)))
+
+
 def _most_100(x: Column) -> Column:
-    return F.least(x.cast("double"), F.lit(100.0))
+    return _most(x.cast("double"), 100.0)
 
 
 def speed_class(it: Column, par: Column) -> Column:
-    return F.when((it <= 2) & (par >= 4), "very-fast").when((it <= 3) & (par >= 3), "fast").when((it <= 4) & (par >= 2), "moderate").when(it <= 5, "slow").otherwise("very-slow")
+    return F.when(it.isNull() | par.isNull(), None).when((it <= 2) & (par >= 4), "very-fast").when((it <= 3) & (par >= 3), "fast").when((it <= 4) & (par >= 2), "moderate").when(it <= 5, "slow").otherwise("very-slow")
 
 
 def intensity(ea: Column, par: Column) -> Column:
-    return F.when((ea <= 2) & (par <= 2), "low").when((ea <= 4) & (par <= 4), "moderate").when((ea <= 6) & (par <= 6), "high").otherwise("very-high")
+    return F.when(ea.isNull() | par.isNull(), None).when((ea <= 2) & (par <= 2), "low").when((ea <= 4) & (par <= 4), "moderate").when((ea <= 6) & (par <= 6), "high").otherwise("very-high")
 
 
 def metrics(counts: DataFrame) -> DataFrame:
@@ -67,19 +80,19 @@ def metrics(counts: DataFrame) -> DataFrame:
             "thoroughness": _most_100(it * 15 + v * 10 + es * 5),
             "accuracy": _most_100(v * 20 + 20),
             "comprehensiveness": _most_100(ea * 15 + F.col("sections") * 10),
-            "reliability": _most_100(F.col("checks") * 25 + F.when(v >= 3, 25).otherwise(v * 8)),
+            "reliability": _most_100(F.col("checks") * 25 + F.when(v >= 3, F.lit(25)).otherwise(v * 8)),
             "tokens": (ea * it * 2500 + es * 1000 + F.col("density")).cast("long"),
-            "level": F.when(ea + es + par <= 5, "light").when(ea + es + par <= 10, "moderate").when(ea + es + par <= 15, "intensive").otherwise("extreme"),
-            "minutes": F.greatest(F.lit(1.0), it * ea * 1.5 / par),
+            "level": F.when((ea + es + par).isNull(), None).when(ea + es + par <= 5, "light").when(ea + es + par <= 10, "moderate").when(ea + es + par <= 15, "intensive").otherwise("extreme"),
+            "minutes": _least(F.try_divide(it * ea * 1.5, par), 1.0),
         }
     )
     quality = (F.col("thoroughness") + F.col("reliability") + F.col("accuracy")) / 3
-    composite = quality * 0.4 + F.greatest(F.lit(1), 10 - it) * 10 * 0.3 + F.least(F.lit(10), par) * 10 * 0.2 + (100 - F.col("complexity") * 0.5) * 0.1
+    composite = quality * 0.4 + _least(10 - it, 1) * 10 * 0.3 + _most(par, 10) * 10 * 0.2 + (100 - F.col("complexity") * 0.5) * 0.1
     out = out.withColumns(
         {
-            "per_token": F.col("thoroughness") / (F.col("tokens") / 1000),
-            "per_minute": F.col("thoroughness") / F.col("minutes"),
-            "per_both": (F.col("thoroughness") + F.col("reliability")) / (F.col("tokens") / 1000 + F.col("minutes")),
+            "per_token": F.try_divide(F.col("thoroughness"), F.col("tokens") / 1000),
+            "per_minute": F.try_divide(F.col("thoroughness"), F.col("minutes")),
+            "per_both": F.try_divide(F.col("thoroughness") + F.col("reliability"), F.col("tokens") / 1000 + F.col("minutes")),
             "benchmark": _most_100(composite),
         }
     )
@@ -92,14 +105,14 @@ def profile(scored: DataFrame) -> DataFrame:
     memory = F.coalesce(F.nullif(F.col("max_memory"), F.lit(0.0)), (ea * 256).cast("double"))
     return scored.withColumns(
         {
-            "parallelism": F.least(F.lit(10), par),
-            "iteration_efficiency": F.greatest(F.lit(1), 10 - it),
+            "parallelism": _most(par, 10),
+            "iteration_efficiency": _least(10 - it, 1),
             "convergence_speed": F.col("threshold") * 10,
             "intensity": intensity(ea, par),
-            "runtime_minutes": F.greatest(F.lit(1.0), it * ea * 2.0 / par),
+            "runtime_minutes": _least(F.try_divide(it * ea * 2.0, par), 1.0),
             "token_usage": (ea * 3000 * it).cast("long"),
             "memory_mb": memory,
-            "cpu_score": F.least(F.lit(10), ea + es + par),
+            "cpu_score": _most(ea + es + par, 10),
             "fastest_minutes": F.col("minutes") * 0.7,
             "slowest_minutes": F.col("minutes") * 2,
             "convergence_minutes": F.col("minutes") * F.col("threshold"),
@@ -119,7 +132,7 @@ SUGGESTIONS = [
 def suggestions() -> Column:
     """Suggestions for a row of ``metrics``."""
     tests = [
-        (F.least(F.lit(10), F.col("par")) < 3) & (F.col("ea") > 2),
+        (_most(F.col("par"), 10) < 3) & (F.col("ea") > 2),
         (F.col("it") > 4) & (F.col("reliability") < 70),
         (F.col("tokens") > 50000) & (F.col("thoroughness") < 80),
         (F.col("speed") == "very-slow") & (F.col("thoroughness") < 90),

@@ -73,6 +73,20 @@ def resolved(symbols: DataFrame) -> DataFrame:
     return refs.join(symbols.where("type = 'def'").select("symbol", F.col("path").alias("def_path"), "kind"), "symbol")
 
 
+def resolved_once(symbols: DataFrame) -> DataFrame:
+    """Each reference with one definition of its name: that of its own file, else the first by path, and how many there are.
+
+    Definitions are brought together by name before they meet references, so a common name costs a row a reference.
+    References without a definition stay, with none.
+    """
+    refs = symbols.where("type = 'ref'").select(F.col("path").alias("ref_path"), "line_no", "symbol")
+    defs = symbols.where("type = 'def'")
+    every = defs.groupBy("symbol").agg(F.count_distinct("path").alias("definitions"), F.min("path").alias("first_path"))
+    own = defs.select(F.col("path").alias("ref_path"), "symbol", F.col("path").alias("own_path")).distinct()
+    out = refs.join(own, ["ref_path", "symbol"], "left").join(every, "symbol", "left")
+    return out.select("ref_path", "line_no", "symbol", F.coalesce("own_path", "first_path").alias("def_path"), F.coalesce("definitions", F.lit(0)).alias("definitions"))
+
+
 def symbols_in_spans(symbols: DataFrame, spans: DataFrame) -> DataFrame:
     """Symbols within ``spans(path, span_start, span_end)``: equal paths, then a range."""
     return symbols.join(spans, "path").where("start >= span_start and end <= span_end")

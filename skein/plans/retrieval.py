@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.functions.vectors import cosine, normalized
+from skein.functions.vectors import norm, normalized
 from skein.operators import chunks, discovery, graph, search, symbols, telemetry
 from skein.plans.queries import _CALLS_SQL, _DOC_CODE_SQL, _GROWN_SQL, _HOURS_SQL, _LINES_SQL, _SYMBOLS_SQL, _first_vector, _hours, _samples, _table, query
 from skein.sources.code_view import PART_CODE_SQL, part_code
@@ -210,16 +210,17 @@ def repomap(spark, sf_dir):
 
 
 @query(
-    f"""{PART_CODE_SQL}, {_CALLS_SQL}, found AS (SELECT path, regexp_extract(line, '{symbols.DEFINITION}', 1) AS symbol FROM lines WHERE regexp_matches(line, '{symbols.DEFINITION}'))
-SELECT e.path AS ref_path, first_line AS line_no, callee AS symbol, d.path AS def_path, 'function' AS kind FROM edges e JOIN found d ON callee = symbol WHERE callee LIKE 'helper%'"""
+    f"""{PART_CODE_SQL}, {_CALLS_SQL}, found AS (SELECT path, symbol FROM ({_SYMBOLS_SQL}) WHERE kind = 'function'), every AS (SELECT symbol, count(DISTINCT path) AS definitions, min(path) AS first_path FROM found GROUP BY 1)
+SELECT e.path AS ref_path, e.first_line AS line_no, e.callee AS symbol, CASE WHEN (e.path, e.callee) IN (SELECT path, symbol FROM found) THEN e.path ELSE first_path END AS def_path, coalesce(definitions, 0) AS definitions
+FROM edges e LEFT JOIN every ON callee = symbol WHERE callee IS NOT NULL"""
 )
 def resolved_references(spark, sf_dir):
-    """Calls of helpers with every definition of that name."""
+    """All calls with the definition that they mean."""
     lines = symbols.line_table(part_code(spark, sf_dir))
-    calls = symbols.call_edges(lines).where(F.col("callee").startswith("helper"))
+    calls = symbols.call_edges(lines).where("callee IS NOT NULL")
     refs = calls.select("path", F.col("first_line").alias("line_no"), F.col("callee").alias("symbol"), F.lit("function").alias("kind"), F.lit("ref").alias("type"))
     defs = symbols.extract_symbols(lines).where("kind = 'function'").select("path", "line_no", "symbol", "kind", "type")
-    return symbols.resolved(refs.unionByName(defs))
+    return symbols.resolved_once(refs.unionByName(defs))
 
 
 @query(
@@ -232,15 +233,43 @@ def line_chunks(spark, sf_dir):
     return chunks.line_chunks(docs, 40).select("path", "first_line", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("SELECT p_brand AS folder, p_name || p_partkey AS path, CAST(floor((sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_name || p_partkey ROWS UNBOUNDED PRECEDING) - p_size) / 200) AS BIGINT) AS shard FROM part")
+@query("SELECT p_name || p_partkey AS path, CAST(floor((sum(p_size) OVER (ORDER BY p_name || p_partkey ROWS UNBOUNDED PRECEDING) - p_size) / 200) AS BIGINT) AS shard FROM part")
 def bundle_shards(spark, sf_dir):
-    files = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), F.concat("p_name", "p_partkey").alias("path"), F.col("p_size").alias("size"))
-    return discovery.sharded(files, 200).select("folder", "path", F.col("shard").cast("long").alias("shard"))
+    files = _table(spark, sf_dir, "part").select(F.concat("p_name", "p_partkey").alias("path"), F.col("p_size").alias("size"))
+    return discovery.sharded(files, 200).select("path", F.col("shard").cast("long").alias("shard"))
 
 
-@query("SELECT unnest(['README.md', 'package.json', 'LICENSE']) AS name EXCEPT SELECT 'README.md'")
+@query("SELECT CAST(sum(p_size) AS BIGINT) AS bytes, sum(p_size) >= 1500 AS warned, CAST(greatest(1, ceil(sum(p_size) / 2000.0::DOUBLE)) AS BIGINT) AS shards FROM part")
+def bundle_size(spark, sf_dir):
+    files = _table(spark, sf_dir, "part").select(F.col("p_name").alias("path"), F.col("p_size").alias("size"))
+    return discovery.bundle_size(files, warning=1500, limit=2000).select("bytes", "warned", F.col("shards").cast("long").alias("shards"))
+
+
+@query(
+    f"""{PART_CODE_SQL}, f AS (SELECT path, length(content) AS size, round((least(length(content) / 1000.0::DOUBLE, 100) / 100 + 1.5::DOUBLE) / 2.5::DOUBLE, 9) AS rank FROM code),
+r AS (SELECT *, sum(size) OVER (ORDER BY rank DESC, path ROWS UNBOUNDED PRECEDING) AS running FROM f)
+SELECT path, rank, CAST(running AS BIGINT) AS running FROM r WHERE running <= 40000"""
+)
+def ranked_prefix(spark, sf_dir):
+    """The highest ranked files that together fit into forty thousand characters."""
+    files = part_code(spark, sf_dir).select("path", F.length("content").alias("size"))
+    ranked = files.join(graph.repomap(files), "path").withColumn("rank", F.round("rank", 9))
+    return discovery.within_budget(ranked, 40_000, [F.desc("rank"), F.col("path")]).select("path", "rank", "running")
+
+
+_WANTED = ["README.md", "package.json", "LICENSE"]
+
+
+@query(
+    f"""WITH f AS (SELECT p_brand || '-' || p_size AS repository, [{", ".join(f"'{n}'" for n in _WANTED)}][p_partkey % 7 + 1] AS name FROM part),
+w AS (SELECT DISTINCT repository, n.name FROM f, (SELECT unnest([{", ".join(f"'{n}'" for n in _WANTED)}]) AS name) n)
+SELECT repository, name FROM w EXCEPT SELECT repository, name FROM f WHERE name IS NOT NULL"""
+)
 def missing_files(spark, sf_dir):
-    return discovery.missing_important(part_code(spark, sf_dir).select(F.lit("a/README.md").alias("path")), ["README.md", "package.json", "LICENSE"])
+    """Important files that a repository, one for each brand and size, lacks."""
+    name = F.try_element_at(F.array(*map(F.lit, _WANTED)), (F.col("p_partkey") % 7 + 1).cast("int"))
+    files = _table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), "p_size").alias("repository"), F.concat(F.lit("a/"), F.coalesce(name, F.concat(F.lit("f"), "p_partkey"))).alias("path"))
+    return discovery.missing_important(files, _WANTED, ["repository"])
 
 
 @query(
@@ -255,10 +284,15 @@ def question_kinds(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.question_class(ask).alias("class"), text.question_intent(ask).alias("intent"), text.preview(F.col("text")).alias("preview"), text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT e.vec_id, CAST(round(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x)) / pow(sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))), 2), 6) AS DOUBLE) AS norm FROM embeddings e")
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS size FROM embeddings)
+SELECT vec_id, round(v[1] / size, 6) AS first, round(list_sum(list_transform(v, lambda x: abs(x / size))), 6) AS total, round(list_sum(list_transform(v, lambda x: (x / size) * (x / size))), 6) AS norm FROM v"""
+)
 def normalized_vectors(spark, sf_dir):
-    unit = normalized(F.col("embedding"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(cosine(unit, F.col("embedding")), 6).alias("norm"))
+    """The first component, the sum of sizes and the length of each vector scaled to length one."""
+    unit = _table(spark, sf_dir, "embeddings").select("vec_id", normalized(F.col("embedding")).alias("unit"))
+    total = F.aggregate(F.transform("unit", lambda x: F.abs(x)), F.lit(0.0), lambda a, x: a + x)
+    return unit.select("vec_id", F.round(F.element_at("unit", 1), 6).alias("first"), F.round(total, 6).alias("total"), F.round(norm(F.col("unit")), 6).alias("norm"))
 
 
 @query(
