@@ -147,3 +147,21 @@ def streamed_settled(spark, sf_dir):
     events = _table(spark, sf_dir, "events").select("user_id", "ts")
     make = lambda s: alerts.settled(s, "user_id", gap="30 minutes", late=f"{LATE_DAYS} days")
     return _streamed(events, "user_id", _until(spark, sf_dir), make).select("user_id", F.unix_micros("begun").alias("begun"), "changes")
+
+
+@query(
+    """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, arg_max(ts, event_id) AS ts FROM events GROUP BY 1)
+SELECT user_id, event_type, value FROM l WHERE event_type <> 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+)
+def streamed_current(spark, sf_dir):
+    """The last event of each user, kept by a stream: users whose last one is an error are gone, those that are two days old have expired."""
+    folder = f"{shared_folder(spark)}/skein-current-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts", (F.col("event_type") == "error").alias("gone"))
+    events.repartition(2).write.parquet(f"{folder}/arrived")
+    arrived = metrics.read_events(spark, f"{folder}/arrived", events.schema, files_per_batch=1)
+    metrics.upsert_latest(arrived, f"{folder}/table", f"{folder}/checkpoint", "user_id", "event_id", buckets=8).trigger(availableNow=True).start().awaitTermination()
+    schema = events.schema.simpleString()[7:-1].replace(":", " ")
+    last = events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        metrics.expire(spark, f"{folder}/table", schema, "user_id", F.col("ts") < F.lit(last - timedelta(days=2)), buckets=8)
+    return metrics.read_latest(spark, f"{folder}/table", schema, gone="gone").select("user_id", "event_type", "value")

@@ -176,3 +176,32 @@ def test_empty(spark):
 def test_metrics_read(spark, tmp_path):
     spark.range(3).withColumn("ts", F.current_timestamp()).write.parquet(f"{tmp_path}/in")
     assert metrics.read_events(spark, f"{tmp_path}/in", "id long, ts timestamp").isStreaming
+
+
+def test_kept_table_removes_and_expires(spark, tmp_path):
+    schema = "path string, version long, ts timestamp, gone boolean"
+    hour = lambda h: START + timedelta(hours=h)
+    files = Arrivals(spark, tmp_path, schema)
+    table = f"{tmp_path}/table"
+
+    def run(**settings):
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{files.folder}/in/*")
+        metrics.upsert_latest(rows, table, f"{tmp_path}/kept", "path", "version", buckets=4, **settings).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.path, r.version) for r in metrics.read_latest(spark, table, schema, gone="gone").collect())
+
+    assert metrics.expire(spark, table, schema, "path", F.lit(True), buckets=4) == 0
+    files.arrive([("a", 1, hour(0), False), ("b", 1, hour(0), None), ("c", 1, hour(1), False)])
+    assert run() == [("a", 1), ("b", 1), ("c", 1)]
+    files.arrive([("a", 3, hour(2), True)])
+    assert run() == [("b", 1), ("c", 1)]
+    # an older row does not bring a removed file back, a newer one does
+    files.arrive([("a", 2, hour(3), False)])
+    assert run() == [("b", 1), ("c", 1)]
+    files.arrive([("a", 4, hour(4), False)])
+    assert run() == [("a", 4), ("b", 1), ("c", 1)]
+    assert metrics.expire(spark, table, schema, "path", F.col("ts") < hour(1), buckets=4) == 1
+    assert sorted(r.path for r in metrics.read_latest(spark, table, schema).collect()) == ["a", "c"]
+    assert metrics.expire(spark, table, schema, "path", F.lit(True), buckets=4) == 2
+    assert metrics.read_latest(spark, table, schema).collect() == []
+    files.arrive([("d", 1, hour(9), False), ("e", 1, hour(5), False)])
+    assert run(retain=("ts", 3600)) == [("d", 1)]
