@@ -20,15 +20,17 @@ words or more also goes if an earlier one differs from it by so many replaced, a
   verified by a banded bit-parallel distance: for each number of errors, one bit for each diagonal of
   the band, all moved at once.
 
-Defined results: null texts count as empty and keep their one blank line; rows that share a ``doc_id``
-follow one another by a hash of their text, and fully equal rows count as one place; an empty table
-gives an empty result; further columns are ignored.
+Defined results: null texts count as empty and keep their one blank line; rows without a ``doc_id`` come first,
+by 94 bits of hashes of their text; rows that share a ``doc_id`` follow one another by a hash of their text below
+10**9, so two of them may be taken for one where tens of thousands share one id; fully equal rows count as one place; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +48,7 @@ HOT_LINES = 128
 LEAF = 8
 #: So many documents' numbers are broadcast at most, 24 bytes each.
 TOLD_HOMES = 500_000
-_NO_ID = -(1 << 63)
+_NO_ID = Decimal(-(1 << 64) - 1)
 _LINES = 10**9
 
 
@@ -246,8 +248,11 @@ def near_lines(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *,
 def dedup_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, word_edits: int = 0, counts: bool = True) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut to the lines that stay, and with ``counts`` n_lines, n_exact and n_near in place of such columns."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    # (doc_id, hash of the text, line number) as one number, so that places compare and aggregate as one
-    home = (F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).cast("decimal(38,0)") * F.lit(_LINES) + F.pmod(F.xxhash64("text"), F.lit(_LINES)).cast("decimal(10,0)")).cast("decimal(29,0)")
+    # (doc_id, hash of the text, line number) as one number, so that places compare and aggregate as one; without a
+    # doc_id a whole hash stands in its place, below all of them
+    unnamed = F.lit(_NO_ID).cast("decimal(21,0)") - F.xxhash64("text").cast("decimal(20,0)")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("decimal(21,0)")).otherwise(unnamed.cast("decimal(21,0)"))
+    home = (own * F.lit(_LINES).cast("decimal(10,0)") + F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(_LINES)).cast("decimal(10,0)")).cast("decimal(29,0)")
     # whole rows travel in one column, so no name of theirs can clash
     homes = docs.select(F.struct("*").alias("_doc"), "text", home.alias("_home"))
     each = homes.select("_home", F.posexplode(lines).alias("number", "line")).where(F.trim("line") != "")

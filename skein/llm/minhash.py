@@ -58,7 +58,7 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> Iterator[n
     """The sorted different shingle hashes of each text."""
     data = textscan.LOWER[data]
     starts, ends, rows = textscan.words(offsets, data, textscan.SPACED)
-    hashes = textscan.span_hashes(data, starts, ends)
+    hashes = textscan.prime_hashes(data, starts, ends)
     bounds = np.searchsorted(rows, np.arange(len(offsets)))
     runs = textscan.shingle_hashes(hashes, size)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

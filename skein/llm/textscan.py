@@ -104,6 +104,44 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Primes below 2**31 and a base for each, so products of two remainders fit into 64 bits.
+_PRIMES = ((2147483647, 1103515249), (2147483629, 843314861))
+
+
+def _prime_powers(n: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """(prime, powers of its base, powers of the base's inverse), ``n`` of them at least."""
+    if len(_powers.get("up0", ())) < n:
+        size = max(n, CHUNK_BYTES)
+        for k, (prime, base) in enumerate(_PRIMES):
+            for key, step in ((f"up{k}", base), (f"down{k}", pow(base, -1, prime))):
+                out = np.ones(size, dtype=np.uint64)
+                done = 1
+                while done < size:
+                    more = min(done, size - done)
+                    out[done : done + more] = out[:more] * np.uint64(pow(step, done, prime)) % np.uint64(prime)
+                    done += more
+                _powers[key] = out
+    return [(np.uint64(prime), _powers[f"up{k}"], _powers[f"down{k}"]) for k, (prime, _) in enumerate(_PRIMES)]
+
+
+def prime_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span from two polynomials modulo primes.
+
+    Modulo a power of two, as in ``span_hashes``, some texts of a few thousand characters are equal for every base.
+    """
+    out = (ends - starts).astype(np.uint64)
+    raw = data.astype(np.uint64) + np.uint64(1)
+    for prime, up, down in _prime_powers(len(data) + 1):
+        terms = raw * up[: len(data)]
+        if len(data) > 1 << 24:  # the sum would pass 64 bits
+            terms %= prime
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(terms, out=total[1:])
+        value = (total[ends] - total[starts]) % prime * down[starts] % prime
+        out = mix(out * np.uint64(0x9FB21C651E98DF25) + value)
+    return out
+
+
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of ``width`` bytes."""
     starts = np.arange(max(0, len(data) - width + 1))

@@ -95,3 +95,50 @@ def test_suffix_array():
     text = np.frombuffer(b"mississippi banana mississippi", dtype=np.uint8)
     order = two_stage_suffix_array(text)
     assert [bytes(text[k:]) for k in order] == sorted(bytes(text[k:]) for k in range(len(text)))
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_near_duplicates_tell_complements_apart(spark):
+    """Two words that are equal under every polynomial modulo a power of two."""
+    from skein.llm.minhash import near_duplicates
+
+    word = thue_morse(4096)
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")
+    found = near_duplicates(docs, shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 1}
+
+
+def test_prime_hashes():
+    import numpy as np
+
+    from skein.llm import textscan
+
+    pick = np.random.default_rng(4)
+    data = pick.integers(0, 3, 5000).astype(np.uint8)
+    starts = pick.integers(0, 4900, 3000)
+    ends = starts + pick.integers(0, 12, 3000)
+    hashes = textscan.prime_hashes(data, starts, ends)
+    spans = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert len(set(hashes.tolist())) == len(set(spans)) == len(set(zip(spans, hashes.tolist(), strict=True)))
+    # a span's hash does not depend on where it stands, nor on how long the text is
+    long = np.concatenate([data[:7], data] * 3500)
+    assert (textscan.prime_hashes(long[: len(data) + 7], starts + 7, ends + 7) == hashes).all()
+    assert len(long) > 1 << 24 and (textscan.prime_hashes(long, starts + 7, ends + 7) == hashes).all()
+
+
+def test_lines_of_many_rows_without_ids(spark):
+    from pyspark.sql import functions as F
+
+    from skein.llm.line_dedup import dedup_lines
+
+    n = 120_000
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("l"), "id").alias("text"))
+    out = dedup_lines(rows).agg(F.sum("n_exact"), F.sum("n_near"), F.min("n_exact"), F.sum(F.length("text")), F.count("*")).first()
+    assert tuple(out) == (0, 0, 0, rows.agg(F.sum(F.length("text"))).first()[0], n)
