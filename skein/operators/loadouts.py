@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.discovery import running_total
+
 #: Order of the speed classes, of the budgets, and least scores of the quality classes.
 SPEEDS = {"very-fast": 5, "fast": 4, "moderate": 3, "slow": 2, "very-slow": 1}
 BUDGETS = {"low": 1, "moderate": 2, "high": 3, "unlimited": 4}
@@ -209,6 +211,64 @@ def winners(scored: DataFrame, order: str = "ord") -> DataFrame:
     return scored.agg(*best).select(F.stack(F.lit(len(COMPARED)), *[x for m in COMPARED for x in (F.lit(m), F.col(m))]).alias("metric", "name"))
 
 
+def comparison_matrix(scored: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(name, metric, value, rank, percentile) of the compared metrics; equal values share the first place, missing ones are zero.
+
+    Of ``names``, those that are there are compared. Ranks come from counts of equal values and a running sum over
+    ranges of them, so a metric of all configurations is no task's alone.
+    """
+    chosen = scored.where(F.col("name").isin(names)) if names is not None else scored
+    pairs = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value")) for k, m in enumerate(COMPARED)])
+    long = chosen.select("name", F.explode(pairs).alias("p")).select("name", "p.*")
+    counts = long.groupBy("place", "value").agg(F.count("*").alias("c"))
+    ordered = running_total(counts, "c", [F.col("place"), F.desc("value")])
+    n = chosen.count()
+    # every metric before this one has as many rows as there are configurations
+    ranks = ordered.select("place", "value", (F.col("running") - F.col("c") + 1 - F.col("place") * n).alias("rank"))
+    share = F.floor((F.lit(n) - F.col("rank") + 1) / max(n, 1) * 100 + 0.5)
+    return long.join(ranks, ["place", "value"]).select("name", "metric", "value", "rank", share.cast("long").alias("percentile"))
+
+
+def _number(x: Column) -> Column:
+    """As a whole number where it is one."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def advice(scored: DataFrame, order: str = "ord") -> DataFrame:
+    """(category, loadout, reason, confidence, tradeoffs): the best of ``scored(<order>, name, metrics, expertise, domains)`` for five needs.
+
+    Of equal ones the first counts, for speed and specialisation the last of the best class. Nobody special gives no such row.
+    """
+    ord_, shown = F.col(order), lambda x: F.floor(x + 0.5).cast("long").cast("string")
+
+    def top(metric: str, *fields: str) -> Column:
+        return F.min_by(F.struct("name", *fields), F.struct((-F.coalesce(F.col(metric).cast("double"), F.lit(0.0))).alias("v"), ord_.alias("o")))
+
+    def last_of(column: str, best: str, second: str, *fields: str) -> Column:
+        rank = F.when(F.col(column) == best, 0).when(F.col(column) == second, 1).otherwise(2)
+        return F.min_by(F.struct("name", *fields), F.struct(rank.alias("r"), F.when(rank < 2, -ord_).otherwise(ord_).alias("o")))
+
+    best = scored.agg(
+        last_of("speed", "very-fast", "fast", "speed", "parallelism").alias("s"),
+        top("thoroughness", "thoroughness", "reliability", "speed").alias("q"),
+        top("cost_benefit", "cost_benefit").alias("c"),
+        last_of("expertise", "niche", "expert", "expertise", "domains").alias("x"),
+        top("benchmark", "benchmark").alias("g"),
+    )
+    s, q, c, x, g = (F.col(n) for n in "sqcxg")
+    none = F.array().cast("array<string>")
+    said = lambda when, *texts: F.when(when, F.array(*map(F.lit, texts))).otherwise(none)
+    rows = [
+        ("speed", s, F.concat(F.lit("Optimized for speed with "), s["speed"], F.lit(" performance and "), _number(s["parallelism"]), F.lit("/10 parallelism")), 85, said(s["speed"] == "very-fast", "May sacrifice some thoroughness for speed")),
+        ("quality", q, F.concat(F.lit("Highest quality score: "), shown(q["thoroughness"]), F.lit(" thoroughness, "), shown(q["reliability"]), F.lit(" reliability")), 90, said(q["speed"].isin("slow", "very-slow"), "Higher quality comes with longer processing time")),
+        ("cost", c, F.concat(F.lit("Best cost-benefit ratio: "), shown(c["cost_benefit"]), F.lit("/100 efficiency score")), 80, none),
+        ("specialization", x, F.concat(x["expertise"], F.lit(" expertise in "), F.array_join(x["domains"], ", ")), 75, said(F.lit(True), "Limited to specific domains", "May not suit general analysis")),
+        ("general", g, F.concat(F.lit("Highest overall benchmark score: "), shown(g["benchmark"]), F.lit("/100")), 95, none),
+    ]
+    made = F.array(*[F.struct(F.lit(name).alias("category"), of["name"].alias("loadout"), reason.alias("reason"), F.lit(sure).alias("confidence"), trade.alias("tradeoffs")) for name, of, reason, sure, trade in rows])
+    return best.select(F.inline(made), x["expertise"].alias("_level")).where("loadout IS NOT NULL AND (category != 'specialization' OR _level != 'generalist')").drop("_level")
+
+
 def fold_of_classes(scored: DataFrame, column: str, best: str, second: str, order: str = "ord") -> DataFrame:
     """The row that a walk in ``order`` ends with, if ``best`` always replaces and ``second`` unless ``best`` was seen.
 

@@ -19,11 +19,25 @@ CALL = r"(\w+)\s*\("
 DEFINITION = r"(?:function|def)\s+(\w+)"
 
 
+#: Lines whose places are summed up together: sums of so many are made inside a block, and from block to block.
+LINE_BLOCK = 128
+
+
+def line_starts(lines: Column) -> Column:
+    """Where each of an array of lines begins in the text, in UTF-16 units; work grows with the lines, not their square."""
+    sizes = F.transform(lines, lambda x: (utf16_length(x) + 1).cast("long"))
+    zero = lambda start: F.array(start.cast("long"))
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / LINE_BLOCK).cast("int")), lambda k: F.slice(sizes, k * LINE_BLOCK + 1, F.lit(LINE_BLOCK)))
+    bases = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x)), zero(F.lit(0)), add)
+    return F.flatten(F.transform(blocks, lambda b, k: F.slice(F.aggregate(b, zero(F.element_at(bases, k + 1)), add), F.lit(1), F.size(b))))
+
+
 def line_table(files: DataFrame) -> DataFrame:
-    """(path, line_no, line, start): lines from 0 and their place in UTF-16 units."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("start", F.coalesce(F.sum(utf16_length(F.col("line")) + 1).over(before), F.lit(0)).cast("long"))
+    """(path, line_no, line, start): lines from 0 and their place in UTF-16 units; no row leaves its task. A null text has no lines."""
+    split = files.where("content IS NOT NULL").select("path", F.split("content", "\n", -1).alias("lines"))
+    placed = split.select("path", F.arrays_zip(F.col("lines").alias("line"), line_starts(F.col("lines")).alias("start")).alias("lines"))
+    return placed.select("path", F.posexplode("lines").alias("line_no", "l")).select("path", "line_no", F.col("l.line").alias("line"), F.col("l.start").alias("start"))
 
 
 def context(files: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -52,7 +66,7 @@ def extract_symbols(lines: DataFrame) -> DataFrame:
 
 
 def call_edges(lines: DataFrame) -> DataFrame:
-    """(path, caller, callee, first): callees of each function, the last definition of a name counting.
+    """(path, caller, callee, first_line, ord): callees of each function as they come, the last definition of a name counting.
 
     Lines that define a function hold no calls of their own; calls of itself do not count; functions
     that call nothing have one row without a callee.
@@ -64,7 +78,9 @@ def call_edges(lines: DataFrame) -> DataFrame:
     heads = marked.where("defined is not null").groupBy("path", "caller").agg(F.max("occurrence").alias("occurrence"))
     calls = marked.where("defined is null and caller is not null").select("path", "caller", "occurrence", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(CALL), 1)).alias("nth", "callee")).where("callee != caller")
     kept = calls.join(heads, ["path", "caller", "occurrence"]).groupBy("path", "caller", "callee").agg(F.min(F.struct("line_no", "nth")).alias("first"))
-    return heads.select("path", "caller").join(kept, ["path", "caller"], "left").select("path", "caller", "callee", F.col("first.line_no").alias("first_line"))
+    place = F.row_number().over(Window.partitionBy("path", "caller").orderBy("first"))
+    kept = kept.select("path", "caller", "callee", F.col("first.line_no").alias("first_line"), place.alias("ord"))
+    return heads.select("path", "caller").join(kept, ["path", "caller"], "left").select("path", "caller", "callee", "first_line", "ord")
 
 
 def resolved(symbols: DataFrame) -> DataFrame:

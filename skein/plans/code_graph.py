@@ -103,3 +103,14 @@ FROM t JOIN o l ON l.path = t.path AND l.line_no = t.line_no JOIN code c ON c.pa
 def graph_answer(spark, sf_dir):
     """The fifty nearest pieces of evidence for a question about calls."""
     return answers.ask(_ASKED, part_code(spark, sf_dir), k=50)
+
+
+@query(
+    f"""{PART_CODE_SQL}, {_CALLS_SQL.split(", calls AS (")[0]}, calls AS (
+  SELECT path, caller, occurrence, line_no, unnest(found) AS callee, unnest(range(len(found))) AS nth FROM (SELECT *, regexp_extract_all(line, '(\\w+)\\s*\\(', 1) AS found FROM carried WHERE defined IS NULL AND caller IS NOT NULL)
+), firsts AS (SELECT path, caller, callee, min(line_no * 1000000 + nth) AS first FROM calls JOIN heads USING (path, caller, occurrence) WHERE callee <> caller GROUP BY 1, 2, 3)
+SELECT path, caller, callee, CAST(row_number() OVER (PARTITION BY path, caller ORDER BY first) AS INTEGER) AS ord FROM firsts"""
+)
+def call_order(spark, sf_dir):
+    """Callees of each function in the order in which they come, within a line too."""
+    return symbols.call_edges(symbols.line_table(part_code(spark, sf_dir))).where("callee IS NOT NULL").select("path", "caller", "callee", "ord")

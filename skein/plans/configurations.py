@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import loadouts
-from skein.plans.queries import _table, query
+from skein.plans.queries import _COUNTS_SQL, _scored, _table, query
 from skein.sources import loadouts as files
 
 _CHECKS = ["logical_consistency", "cross_reference", "semantic", "syntactic"]
@@ -89,3 +89,41 @@ def validated_loadouts(spark, sf_dir):
     """What is wrong with each configuration."""
     out = files.validated(files.parsed(_documents(spark, sf_dir)))
     return out.select(F.regexp_extract("path", "/c[0-9]+[.]json$", 0).alias("file"), F.array_join("errors", "; ").alias("errors"), "is_valid")
+
+
+_LEVELS = ["generalist", "specialized", "expert", "niche"]
+_COMPARED_SQL = f"""{_COUNTS_SQL}, w AS (SELECT s.*, least(10, par) AS parallelism, p_partkey AS ord, [{", ".join(f"'{x}'" for x in _LEVELS)}][p_partkey % 4 + 1] AS expertise FROM s JOIN part ON s.name = p_name || p_partkey),
+l AS (SELECT name, unnest([{", ".join(f"'{m}'" for m in loadouts.COMPARED)}]) AS metric, unnest([{", ".join(f"coalesce({m}, 0)::DOUBLE" for m in loadouts.COMPARED)}]) AS value FROM w)"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored configurations with an order, a level of expertise and a domain."""
+    key = F.col("p_partkey")
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (key % 4 + 1).cast("int"))
+    more = _table(spark, sf_dir, "part").select(F.concat("p_name", "p_partkey").alias("name"), key.alias("ord"), level.alias("expertise"))
+    return loadouts.profile(_scored(spark, sf_dir)).drop("ord").join(more, "name").withColumn("domains", F.array("category"))
+
+
+@query(
+    f"""{_COMPARED_SQL}, r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY value DESC) AS rank, count(*) OVER (PARTITION BY metric) AS n FROM l)
+SELECT name, metric, round(value, 6) AS value, rank, CAST(floor((n - rank + 1) / n::DOUBLE * 100 + 0.5::DOUBLE) AS BIGINT) AS percentile FROM r"""
+)
+def loadout_comparison(spark, sf_dir):
+    """Rank and percentile of every configuration for each compared metric."""
+    return loadouts.comparison_matrix(_compared(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""{_COMPARED_SQL}, f AS (SELECT * FROM w ORDER BY CASE speed WHEN 'very-fast' THEN 0 WHEN 'fast' THEN 1 ELSE 2 END, CASE WHEN speed IN ('very-fast', 'fast') THEN -ord ELSE ord END LIMIT 1),
+q AS (SELECT * FROM w ORDER BY thoroughness DESC, ord LIMIT 1), bc AS (SELECT * FROM w ORDER BY cost_benefit DESC, ord LIMIT 1), g AS (SELECT * FROM w ORDER BY benchmark DESC, ord LIMIT 1),
+x AS (SELECT * FROM w ORDER BY CASE expertise WHEN 'niche' THEN 0 WHEN 'expert' THEN 1 ELSE 2 END, CASE WHEN expertise IN ('niche', 'expert') THEN -ord ELSE ord END LIMIT 1),
+a AS (SELECT 'speed' AS category, name AS loadout, 'Optimized for speed with ' || speed || ' performance and ' || parallelism || '/10 parallelism' AS reason, 85 AS confidence, CASE speed WHEN 'very-fast' THEN 'May sacrifice some thoroughness for speed' ELSE '' END AS tradeoffs FROM f
+UNION ALL SELECT 'quality', name, 'Highest quality score: ' || CAST(floor(thoroughness + 0.5) AS BIGINT) || ' thoroughness, ' || CAST(floor(reliability + 0.5) AS BIGINT) || ' reliability', 90, CASE WHEN speed IN ('slow', 'very-slow') THEN 'Higher quality comes with longer processing time' ELSE '' END FROM q
+UNION ALL SELECT 'cost', name, 'Best cost-benefit ratio: ' || CAST(floor(cost_benefit + 0.5) AS BIGINT) || '/100 efficiency score', 80, '' FROM bc
+UNION ALL SELECT 'specialization', name, expertise || ' expertise in ' || category, 75, 'Limited to specific domains|May not suit general analysis' FROM x WHERE expertise <> 'generalist'
+UNION ALL SELECT 'general', name, 'Highest overall benchmark score: ' || CAST(floor(benchmark + 0.5) AS BIGINT) || '/100', 95, '' FROM g)
+SELECT * FROM a"""
+)
+def loadout_advice(spark, sf_dir):
+    """The best configuration for each of five needs, and why."""
+    return loadouts.advice(_compared(spark, sf_dir)).withColumn("tradeoffs", F.array_join("tradeoffs", "|"))

@@ -243,7 +243,7 @@ _CALLS_SQL = f"""{_LINES_SQL}, marked AS (
 
 @query(f"{PART_CODE_SQL}, {_CALLS_SQL} SELECT path, caller, callee, first_line FROM edges")
 def call_graph(spark, sf_dir):
-    return symbols.call_edges(symbols.line_table(part_code(spark, sf_dir)))
+    return symbols.call_edges(symbols.line_table(part_code(spark, sf_dir))).drop("ord")
 
 
 @query(
