@@ -309,14 +309,16 @@ def near_duplicates(
     """
     scope = Scope(docs.sparkSession)
     sketched = scope.saved(sketch_documents(docs, shingle_words=shingle_words, sketch_k=sketch_k, index_k=index_k), "sketches")
-    # one row stands for its class
+    # one row stands for its class, whose rows all have the same set; with it the sketch is carried once
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
-    classes = sketched.where("n_shingles > 0").groupBy("digest").agg(first, F.count("*").alias("held"))
-    classes = scope.saved(classes.select("digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), F.monotonically_increasing_id().alias("node")), "classes")
+    merged = sketched.where("n_shingles > 0").groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "low", "sketch")])
+    reps = scope.saved(merged.select("digest", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("node"), "n_shingles", "low", "sketch"), "representatives")
+    classes = scope.saved(reps.select("digest", "doc_id", "text_key", "node"), "classes")
+    sketched = scope.saved(sketched.select("doc_id", "n_shingles", "digest"), "rows")
+    scope.drop("sketches")
     same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
-    reps = sketched.join(classes, (sketched["digest"] == classes["digest"]) & same_row(sketched, classes)).select("node", "n_shingles", "low", "sketch")
-    reps = scope.saved(reps.dropDuplicates(["node"]), "representatives")
     lists = scope.saved(listed_values(reps, scope, index_k=index_k, percent=percent), "lists")
+    scope.drop("value-counts")
     listed = classes.join(lists.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     listed = scope.saved(listed, "listed")
     keyed, n_listed = _keyed(docs), listed.count()
@@ -354,7 +356,7 @@ def near_duplicates(
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
     links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
     joined = scope.saved(connected_components(links), "components")
-    scope.drop("value-counts", "representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "sized", "mixed", "met", "near", "possible", "star-links", "links")
+    scope.drop("representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "sized", "mixed", "met", "near", "possible", "star-links", "links")
     members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
     least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
