@@ -31,22 +31,15 @@ def _blocks(vectors: DataFrame, name: str, rows: int) -> DataFrame:
     """Rows of up to ``rows`` ids and vectors of length one, as packed arrays; vectors of no length become zeros."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(ids: list, parts: list) -> pa.RecordBatch:
-            matrix = np.array(parts, dtype=np.float64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norm = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_packed"])
-
-        ids, parts = [], []
-        for batch in batches:
-            for i, v in zip(batch["id"].to_pylist(), batch["embedding"].to_pylist(), strict=True):
-                ids.append(i)
-                parts.append(v)
-                if len(ids) == rows:
-                    yield block(ids, parts)
-                    ids, parts = [], []
-        if ids:
-            yield block(ids, parts)
+            for a in range(0, batch.num_rows, rows):
+                ids, part = batch["id"].slice(a, rows), matrix[a : a + rows]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([part.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_packed"])
 
     return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(packed, f"{name}_ids array<long>, {name}_packed binary")
 
@@ -62,14 +55,18 @@ def topk_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                vec, query = np.array(row["vec_ids"]), np.array(row["query_ids"])
-                score = np.frombuffer(row["query_packed"]).reshape(len(query), -1) @ np.frombuffer(row["vec_packed"]).reshape(len(vec), -1).T
+            for row in range(batch.num_rows):
+                vec, query = (batch[c][row].values.to_numpy() for c in ("vec_ids", "query_ids"))
+                score = np.frombuffer(batch["query_packed"][row].as_buffer()).reshape(len(query), -1) @ np.frombuffer(batch["vec_packed"][row].as_buffer()).reshape(len(vec), -1).T
                 score = np.round(score, 6)
-                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query, order.shape[1])), pa.array(vec[order].ravel()), pa.array(np.take_along_axis(score, order, axis=1).ravel())], names=["query_id", "vec_id", "score"]
-                )
+                # what reaches a query's k-th score, ties of it too, is ordered
+                least = np.partition(score, -k, axis=1)[:, -k] if k < len(vec) else np.full(len(query), -np.inf)
+                q, v = np.nonzero(score >= least[:, None])
+                order = np.lexsort((vec[v], -score[q, v], q))
+                q, v = q[order], v[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, v = q[place < k], v[place < k]
+                yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(vec[v]), pa.array(score[q, v])], names=["query_id", "vec_id", "score"])
 
     near = left.crossJoin(right).mapInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
