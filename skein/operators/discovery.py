@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,14 @@ def running_total(rows: DataFrame, value: str, order: list[Column]) -> DataFrame
     return summed.join(F.broadcast(bases), "_range").withColumn("running", F.col("running") + F.col("_base")).drop("_range", "_base")
 
 
+def running_within(rows: DataFrame, value: str, keys: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with ``running`` within each group of ``keys``, and ``total`` of the group; a group may be as large as all others together."""
+    summed = running_total(rows, value, [*[F.col(k) for k in keys], *order])
+    groups = summed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(F.col("running") - F.coalesce(value, F.lit(0))).alias("_base"), F.sum(value).alias("total"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return summed.join(groups, same).withColumn("running", F.col("running") - F.col("_base")).drop("_base", *[f"_{k}" for k in keys])
+
+
 def sharded(files: DataFrame, limit: int) -> DataFrame:
     """Shard of each file of a bundle of ``files(path, size)``: the bytes before it, in order of paths, over the limit."""
     return running_total(files, "size", [F.col("path")]).withColumn("shard", F.floor((F.col("running") - F.coalesce("size", F.lit(0))) / limit)).drop("running")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.discovery import running_total
+from skein.operators.discovery import running_within
 
 #: Order of the speed classes, of the budgets, and least scores of the quality classes.
 SPEEDS = {"very-fast": 5, "fast": 4, "moderate": 3, "slow": 2, "very-slow": 1}
@@ -194,11 +194,15 @@ def domain_matches(areas: Column, wanted: list[str]) -> Column:
 
 
 def ranked(scored: DataFrame, metric: str, by: str = "category") -> DataFrame:
-    """Rank (ties share the first place) and percentile of a metric within each ``by``."""
-    group = Window.partitionBy(by)
-    place = F.rank().over(group.orderBy(F.desc(metric)))
-    share = F.floor((F.count("*").over(group) - F.col("rank") + 1) / F.count("*").over(group) * 100 + 0.5)
-    return scored.withColumn("rank", place).withColumn("percentile", share.cast("long"))
+    """Rank (ties share the first place) and percentile of a metric within each ``by``; missing values come last.
+
+    Equal values are counted and their counts summed over ranges, so a category may hold most of the rows.
+    """
+    counts = scored.groupBy(F.col(by).alias("_by"), F.col(metric).alias("_value")).agg(F.count("*").alias("_c"))
+    places = running_within(counts, "_c", ["_by"], [F.desc("_value")]).select("_by", "_value", (F.col("running") - F.col("_c") + 1).cast("int").alias("rank"), "total")
+    found = scored.join(places, F.col(by).eqNullSafe(F.col("_by")) & F.col(metric).eqNullSafe(F.col("_value"))).drop("_by", "_value")
+    share = F.floor((F.col("total") - F.col("rank") + 1) / F.col("total") * 100 + 0.5)
+    return found.withColumn("percentile", share.cast("long")).drop("total")
 
 
 #: The metrics of a comparison.
@@ -218,15 +222,13 @@ def comparison_matrix(scored: DataFrame, names: list[str] | None = None) -> Data
     ranges of them, so a metric of all configurations is no task's alone.
     """
     chosen = scored.where(F.col("name").isin(names)) if names is not None else scored
-    pairs = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value")) for k, m in enumerate(COMPARED)])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value")) for m in COMPARED])
     long = chosen.select("name", F.explode(pairs).alias("p")).select("name", "p.*")
-    counts = long.groupBy("place", "value").agg(F.count("*").alias("c"))
-    ordered = running_total(counts, "c", [F.col("place"), F.desc("value")])
-    n = chosen.count()
-    # every metric before this one has as many rows as there are configurations
-    ranks = ordered.select("place", "value", (F.col("running") - F.col("c") + 1 - F.col("place") * n).alias("rank"))
-    share = F.floor((F.lit(n) - F.col("rank") + 1) / max(n, 1) * 100 + 0.5)
-    return long.join(ranks, ["place", "value"]).select("name", "metric", "value", "rank", share.cast("long").alias("percentile"))
+    counts = long.groupBy("metric", "value").agg(F.count("*").alias("c"))
+    ranks = running_within(counts, "c", ["metric"], [F.desc("value")])
+    rank = F.col("running") - F.col("c") + 1
+    share = F.floor((F.col("total") - rank + 1) / F.col("total") * 100 + 0.5)
+    return long.join(ranks.select("metric", "value", rank.alias("rank"), share.cast("long").alias("percentile")), ["metric", "value"]).select("name", "metric", "value", "rank", "percentile")
 
 
 def _number(x: Column) -> Column:

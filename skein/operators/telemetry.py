@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from skein.operators.discovery import running_within
+
 
 #: States of an alert.
 PENDING, FIRING, RESOLVED, INACTIVE = "pending", "firing", "resolved", "inactive"
@@ -264,15 +266,21 @@ def limited(requests: DataFrame, client: str, order: str, *, rate: float, burst:
 def load_statistics(samples: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """Number, mean, least, largest and the nearest-rank quantile of each series.
 
-    Equal values are counted before they are ordered, so a task orders different values only.
+    Equal values are counted before they are ordered, and counts are summed over ranges of values, so a series
+    may hold most of the samples.
     """
     counted = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_up_to", F.sum("c").over(order)).withColumn("_n", F.sum("c").over(Window.partitionBy(*keys)))
-    hit = F.min(F.when(F.col("_up_to") > F.least(F.floor(F.col("_n") * share), F.col("_n") - 1), F.col(value)))
+    ranked = running_within(counted, "c", keys, [F.col(value)])
+    hit = F.min(F.when(F.col("running") > F.least(F.floor(F.col("total") * share), F.col("total") - 1), F.col(value)))
     return ranked.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"), hit.alias("quantile"))
 
 
+def load_rates(samples: DataFrame, keys: list[str], success: Column, seconds: Column) -> DataFrame:
+    """(<keys>, requests, success_rate, per_second): ``success`` tells a request's, ``seconds`` when it came; nothing a second where no time passed."""
+    span = F.max(seconds) - F.min(seconds)
+    return samples.groupBy(*keys).agg(F.count("*").alias("requests"), (F.count_if(F.coalesce(success, F.lit(False))) / F.count("*")).alias("success_rate"), F.try_divide(F.count("*"), span).alias("per_second"))
+
+
 def trace_figures(traces: DataFrame, key: str) -> DataFrame:
     """Of ``traces(<key>, session, seconds, success)``: calls, mean time, share of errors, active sessions."""
     failed = F.count_if(~F.coalesce(F.col("success"), F.lit(False)))

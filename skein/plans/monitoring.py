@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import logs
+from skein.operators import logs, telemetry
 from skein.plans.queries import _table, query
 
 
@@ -51,3 +51,14 @@ def last_readings(spark, sf_dir):
     value = F.when(F.col("event_type") != "view", F.col("value"))
     out = logs.last_readings(_table(spark, sf_dir, "events").select("user_id", "event_id", value.alias("value")), ["user_id"], ["event_id"])
     return out.withColumn("band", logs.band(F.col("mean"), [(None, "green"), (20, "yellow"), (30, "red")])).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """SELECT event_type, count(*) AS requests, round(count(*) FILTER (value < 30) / count(*)::DOUBLE, 6) AS success_rate,
+  round(count(*) / (epoch_us(max(ts)) / 1000000 - epoch_us(min(ts)) / 1000000)::DOUBLE, 9) AS per_second FROM events GROUP BY 1"""
+)
+def load_rates(spark, sf_dir):
+    """Requests of each kind, how many took less than thirty, and how many came in a second."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    out = telemetry.load_rates(_table(spark, sf_dir, "events"), ["event_type"], F.col("value") < 30, seconds)
+    return out.select("event_type", "requests", F.round("success_rate", 6).alias("success_rate"), F.round("per_second", 9).alias("per_second"))
