@@ -21,8 +21,8 @@ is a share of a full match.
 Each shard is one more pass over the training texts, so no broadcast grows with the benchmark.
 
 Defined results: null and empty texts and items give no hits; items that share an ``item_id`` are
-separate items whose hits count for the id, once for each shard that has one; repeated rows are each
-reported; empty tables give an empty result; further columns are ignored.
+separate items whose hits count for the id, once for each shard that has one, and items without an id are
+found like others and reported together, without an id; repeated rows are each reported; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def gram_sizes(question: int, answer: int, ngram: int = NGRAM) -> tuple[int, int
 class Index:
     """Inverted lists of one shard of items: words, blocks in each word's list, postings in each block."""
 
-    item_ids: np.ndarray
+    item_ids: list[int | None]
     questions: list[tuple[int, np.ndarray]]  # (words in a run, runs)
     answers: list[tuple[int, np.ndarray]]
     terms: np.ndarray  # sorted word hashes
@@ -117,7 +117,7 @@ def build_index(items: pa.Table, postings: pa.Table, window: int, *, ngram: int
     cell_max = np.maximum.reduceat(impact, first_posting) if len(impact) else impact
     first_block = np.searchsorted(cells, np.arange(len(terms) + 1) * blocks)
     term_max = np.maximum.reduceat(cell_max, first_block[:-1]) if len(impact) else impact
-    return Index(items["item_id"].to_numpy(), question, answer, terms, term_max, first_block, cells, cell_max, np.append(first_posting, len(impact)), item, impact, blocks, window)
+    return Index(items["item_id"].to_pylist(), question, answer, terms, term_max, first_block, cells, cell_max, np.append(first_posting, len(impact)), item, impact, blocks, window)
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,7 @@ def contaminated(
     shard = F.pmod(F.xxhash64("item"), F.lit(max(1, shards)))
 
     def scan(k: int) -> DataFrame:
-        own = items.where((shard == k) & F.col("item_id").isNotNull())
+        own = items.where(shard == k)
         # shard_postings or so, and their items
         index = build_index(own.toArrow(), postings.where(shard == k).join(own.select("item"), "item", "left_semi").select("term", "item", "impact").toArrow(), about["longest"], ngram=ngram)
         sent = spark.sparkContext.broadcast(index)
@@ -251,12 +251,12 @@ def contaminated(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                best: dict[tuple[int, int], list] = {}
+                best: dict[tuple[int, int | None], list] = {}
                 for lo, hashes, bounds in _hashed(batch["text"]):
                     for a, b, row, j, score in retrieve(index, hashes, bounds, threshold):
                         shares = [_contained(grams, _grams(hashes[a:b], n)) for n, grams in (index.questions[j], index.answers[j])]
                         if min(shares) >= overlap:
-                            known = best.setdefault((lo + row, int(index.item_ids[j])), [0, 0.0, 0.0, 0.0])
+                            known = best.setdefault((lo + row, index.item_ids[j]), [0, 0.0, 0.0, 0.0])
                             known[0] += 1
                             known[1:] = max(known[1:], [score, *shares])
                 if best:

@@ -142,3 +142,16 @@ def test_lines_of_many_rows_without_ids(spark):
     rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("l"), "id").alias("text"))
     out = dedup_lines(rows).agg(F.sum("n_exact"), F.sum("n_near"), F.min("n_exact"), F.sum(F.length("text")), F.count("*")).first()
     assert tuple(out) == (0, 0, 0, rows.agg(F.sum(F.length("text"))).first()[0], n)
+
+
+def test_items_without_ids_are_found(spark):
+    from skein.llm.decontaminate import clean_documents, contaminated
+
+    words = [f"word{k}" for k in range(60)]
+    item = " ".join(words[:30]) + ". " + " ".join(words[30:50]) + "."
+    items = spark.createDataFrame([(None, item), (5, item), (None, None), (6, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, " ".join(reversed(words))), (None, "before " + item), (3, None)], "doc_id long, text string")
+    found = contaminated(docs, items).collect()
+    assert sorted((str(r.doc_id), str(r.item_id)) for r in found) == [("1", "5"), ("1", "None"), ("None", "5"), ("None", "None")]
+    kept = clean_documents(docs, items.where("item_id IS NULL")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "3"]
