@@ -106,9 +106,9 @@ def least_overlap(n: int, index_k: int, tenths: int) -> int:
     return max(1, int(mean - 5 * deviation))
 
 
-def listed_values(reps: DataFrame, scope: Scope, *, index_k: int, percent: int) -> DataFrame:
+def listed_values(lows: DataFrame, scope: Scope, *, index_k: int, percent: int) -> DataFrame:
     """Inverted lists (value, node, df) of each class's rarest retained values; lists of one are left out."""
-    entries = reps.select("node", F.explode("low").alias("value"))
+    entries = lows.select("node", F.explode("low").alias("value"))
     counts = scope.saved(entries.groupBy("value").agg(F.count("*").alias("df")), "value-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
     limit = max(100, total // FREQUENT_PARTS)
@@ -312,13 +312,16 @@ def near_duplicates(
     # one row stands for its class, whose rows all have the same set; with it the sketch is carried once
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     merged = sketched.where("n_shingles > 0").groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "low", "sketch")])
-    reps = scope.saved(merged.select("digest", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("node"), "n_shingles", "low", "sketch"), "representatives")
-    classes = scope.saved(reps.select("digest", "doc_id", "text_key", "node"), "classes")
+    merged = scope.saved(merged.select("digest", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("node"), "n_shingles", "low", "sketch"), "merged")
+    # by what reads them and for how long: values until they are listed, sketches until links are found
+    classes = scope.saved(merged.select("digest", "doc_id", "text_key", "node"), "classes")
+    lows = scope.saved(merged.select("node", "low"), "lows")
+    reps = scope.saved(merged.select("node", "n_shingles", "sketch"), "representatives")
     sketched = scope.saved(sketched.select("doc_id", "n_shingles", "digest"), "rows")
-    scope.drop("sketches")
+    scope.drop("sketches", "merged")
     same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
-    lists = scope.saved(listed_values(reps, scope, index_k=index_k, percent=percent), "lists")
-    scope.drop("value-counts")
+    lists = scope.saved(listed_values(lows, scope, index_k=index_k, percent=percent), "lists")
+    scope.drop("value-counts", "lows")
     listed = classes.join(lists.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     listed = scope.saved(listed, "listed")
     keyed, n_listed = _keyed(docs), listed.count()
@@ -349,6 +352,7 @@ def near_duplicates(
         for _ in range(2):  # a label moves once for each node that is listed, at most
             labels = labels.join(_told(moves, n_listed), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = scope.saved(labels, "labels")
+    scope.drop("voted", "guessed", "moves")
     crossing = crossing_links(lists, reps, texts, labels, n_listed, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
     links = crossing if links is None else links.union(crossing)
     # rows of one document link their classes, each to the first
@@ -356,7 +360,7 @@ def near_duplicates(
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
     links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
     joined = scope.saved(connected_components(links), "components")
-    scope.drop("representatives", "lists", "listed", "listed-texts", "labels", "voted", "guessed", "moves", "sized", "mixed", "met", "near", "possible", "star-links", "links")
+    scope.drop("representatives", "lists", "listed", "listed-texts", "labels", "sized", "mixed", "met", "near", "possible", "star-links", "links")
     members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
     least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
