@@ -85,7 +85,9 @@ UNKNOWN_FREEDOM = 0.3
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 _TAG = re.compile(r"license-identifier\s*:\s*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:\-]+")
+#: An expression ends with its comment, its sentence or its quotation.
+_END = re.compile(r"-->|--%>|\*/|\*\)|#\}|\.(?=\s|$)|[;,\"'<>]")
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+:\-]*[A-Za-z0-9+])?")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _NORMAL = bytes(int(b) if textscan.LEXICAL[b] else 32 for b in textscan.LOWER)
 
@@ -132,7 +134,8 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> tuple[set[str], float]:
-    """(licence labels, freedom) of an expression."""
+    """(licence labels, freedom) of an expression, up to where its comment or sentence ends."""
+    expression = _END.split(expression, maxsplit=1)[0]
     postfix = to_postfix(expression)
     if postfix is None:
         known = {t.lower() for t in _TOKEN.findall(expression) if freedom(t.lower()) != UNKNOWN_FREEDOM}

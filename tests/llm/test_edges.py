@@ -155,3 +155,12 @@ def test_items_without_ids_are_found(spark):
     assert sorted((str(r.doc_id), str(r.item_id)) for r in found) == [("1", "5"), ("1", "None"), ("None", "5"), ("None", "None")]
     kept = clean_documents(docs, items.where("item_id IS NULL")).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["2", "3"]
+
+
+def test_expressions_end_with_their_comment():
+    from skein.llm.licenses import evaluate
+
+    assert evaluate("MIT -->")[0] == {"mit"} and evaluate("(MIT OR Apache-2.0) */ int x")[0] == {"mit", "apache-2.0"}
+    assert evaluate("GPL-2.0-only. See LICENSE")[0] == {"gpl-2.0-only"} and evaluate('GPL-2.0+"')[0] == {"gpl-2.0+"}
+    assert "unparsed" in evaluate("MIT Apache-2.0")[0] and "unparsed" in evaluate("-->")[0] and "unparsed" in evaluate("MIT OR -->")[0]
+    assert evaluate("GPL-2.0-only WITH Classpath-exception-2.0 -->")[0] == {"gpl-2.0-only-with-classpath-exception-2.0"}
