@@ -1,4 +1,8 @@
-"""File discovery: change sets, priorities, histograms, validation."""
+"""File discovery: change sets, priorities, histograms, sums, validation.
+
+Defined results: null sizes add nothing; files of equal rank keep their order or go by path; null paths
+are counted together; empty tables give empty results, sums of them zero.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Graph operators over edge tables."""
+"""Graph operators over edge tables.
+
+Defined results: repeated edges count once; edges with a null end lead nowhere; of equally short ways the one by the
+least node counts; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +36,7 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, tole
 
     Rounds end when all ranks together change by ``tolerance`` at most, or after ``iterations``.
     """
-    links = edges.select("source", "target").distinct()
+    links = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
     links = cut(links)
     nodes = links.select(F.col("source").alias("node")).union(links.select("target")).distinct()
     nodes = cut(nodes)

@@ -1,4 +1,8 @@
-"""Vector, symbol and hybrid retrieval."""
+"""Vector, symbol and hybrid retrieval.
+
+Defined results: equal scores go by the smaller id or path; null vectors and those without length have no score and come
+last where one is asked for, or not at all in blocks; repeated ids are hits of their own; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
