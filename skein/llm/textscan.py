@@ -120,7 +120,7 @@ def _prime_powers(n: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
                     more = min(done, size - done)
                     out[done : done + more] = out[:more] * np.uint64(pow(step, done, prime)) % np.uint64(prime)
                     done += more
-                _powers[key] = out
+                _powers[key] = out.astype(np.uint32)  # kept by every worker, as long as the longest text
     return [(np.uint64(prime), _powers[f"up{k}"], _powers[f"down{k}"]) for k, (prime, _) in enumerate(_PRIMES)]
 
 
