@@ -40,16 +40,17 @@ def line_starts(lines: Column) -> Column:
 
 def line_table(files: DataFrame) -> DataFrame:
     """(path, line_no, line, start): lines from 0 and their place in UTF-16 units; no row leaves its task. A null text has no lines."""
-    split = files.where("content IS NOT NULL").select("path", F.split("content", "\n", -1).alias("lines"))
-    placed = split.select("path", F.arrays_zip(F.col("lines").alias("line"), line_starts(F.col("lines")).alias("start")).alias("lines"))
-    return placed.select("path", F.posexplode("lines").alias("line_no", "l")).select("path", "line_no", F.col("l.line").alias("line"), F.col("l.start").alias("start"))
+    split = files.select("path", F.split("content", "\n", -1).alias("lines"))
+    # no array for a null text; a filter, or an array with a name, would be worked out a second time where the files are read
+    placed = F.arrays_zip(F.col("lines").alias("line"), line_starts(F.col("lines")).alias("start"))
+    return split.select("path", F.posexplode(placed).alias("line_no", "l")).select("path", "line_no", F.col("l.line").alias("line"), F.col("l.start").alias("start"))
 
 
 def context(files: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``wanted(path, line_no)`` with the ``k`` lines around each."""
     lines = F.split("content", "\n", -1)
     low = F.greatest(F.col("line_no") - k, F.lit(0))
-    joined = wanted.join(files, "path").withColumn("_lines", lines)
+    joined = wanted.join(files.hint("merge"), "path").withColumn("_lines", lines)
     return joined.select("path", "line_no", F.array_join(F.slice("_lines", low + 1, F.col("line_no") + k + 1 - low), "\n").alias("context"))
 
 
@@ -76,22 +77,27 @@ def call_edges(lines: DataFrame) -> DataFrame:
     Lines that define a function hold no calls of their own; calls of itself do not count; functions
     that call nothing have one row without a callee.
     """
-    order = Window.partitionBy("path").orderBy("line_no")
+    order, own = Window.partitionBy("path").orderBy("line_no"), Window.partitionBy("path", "caller")
     defined = F.nullif(F.regexp_extract("line", DEFINITION, 1), F.lit(""))
-    marked = lines.withColumn("defined", defined).withColumn("occurrence", F.count("defined").over(order))
+    callees = F.when(defined.isNull(), F.regexp_extract_all("line", F.lit(CALL), 1))
+    # all that follows is dealt by path once, without the lines' text
+    marked = lines.select("path", "line_no", defined.alias("defined"), callees.alias("callees")).where("defined is not null or size(callees) > 0")
+    marked = marked.withColumn("occurrence", F.count("defined").over(order))
     marked = marked.withColumn("caller", F.last("defined", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    heads = marked.where("defined is not null").groupBy("path", "caller").agg(F.max("occurrence").alias("occurrence"))
-    calls = marked.where("defined is null and caller is not null").select("path", "caller", "occurrence", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(CALL), 1)).alias("nth", "callee")).where("callee != caller")
-    kept = calls.join(heads, ["path", "caller", "occurrence"]).groupBy("path", "caller", "callee").agg(F.min(F.struct("line_no", "nth")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("path", "caller").orderBy("first"))
-    kept = kept.select("path", "caller", "callee", F.col("first.line_no").alias("first_line"), place.alias("ord"))
-    return heads.select("path", "caller").join(kept, ["path", "caller"], "left").select("path", "caller", "callee", "first_line", "ord")
+    marked = marked.where("caller is not null").withColumn("latest", F.max(F.when(F.col("defined").isNotNull(), F.col("occurrence"))).over(own))
+    calls = marked.select("path", "caller", "line_no", "occurrence", "latest", "defined", F.posexplode_outer("callees").alias("nth", "callee"))
+    calls = calls.where("defined is not null or (path is not null and occurrence = latest and callee != caller)")
+    firsts = calls.groupBy("path", "caller", "callee").agg(F.min(F.struct("line_no", "nth")).alias("first"))
+    kept = firsts.withColumn("called", F.count("callee").over(own)).where("callee is not null or called = 0")
+    place = F.row_number().over(own.orderBy("first"))
+    stated = lambda c: F.when(F.col("callee").isNotNull(), c)
+    return kept.select("path", "caller", "callee", stated(F.col("first.line_no")).alias("first_line"), stated(place).alias("ord"))
 
 
 def resolved(symbols: DataFrame) -> DataFrame:
     """References with the definitions of the same name."""
     refs = symbols.where("type = 'ref'").select(F.col("path").alias("ref_path"), "line_no", "symbol")
-    return refs.join(symbols.where("type = 'def'").select("symbol", F.col("path").alias("def_path"), "kind"), "symbol")
+    return refs.join(symbols.where("type = 'def'").select("symbol", F.col("path").alias("def_path"), "kind").hint("merge"), "symbol")
 
 
 def resolved_once(symbols: DataFrame) -> DataFrame:
@@ -104,13 +110,14 @@ def resolved_once(symbols: DataFrame) -> DataFrame:
     defs = symbols.where("type = 'def'")
     every = defs.groupBy("symbol").agg(F.count_distinct("path").alias("definitions"), F.min("path").alias("first_path"))
     own = defs.select(F.col("path").alias("ref_path"), "symbol", F.col("path").alias("own_path")).distinct()
-    out = refs.join(own, ["ref_path", "symbol"], "left").join(every, "symbol", "left")
+    # the definitions of a name are one row, and references to it pass it by unsorted, however many they are
+    out = refs.join(own.hint("merge"), ["ref_path", "symbol"], "left").join(every.hint("shuffle_hash"), "symbol", "left")
     return out.select("ref_path", "line_no", "symbol", F.coalesce("own_path", "first_path").alias("def_path"), F.coalesce("definitions", F.lit(0)).alias("definitions"))
 
 
 def symbols_in_spans(symbols: DataFrame, spans: DataFrame) -> DataFrame:
     """Symbols within ``spans(path, span_start, span_end)``: equal paths, then a range."""
-    return symbols.join(spans, "path").where("start >= span_start and end <= span_end")
+    return symbols.join(spans.hint("merge"), "path").where("start >= span_start and end <= span_end")
 
 
 def fuzzy(symbols: DataFrame, name: str, edits: int) -> DataFrame:

@@ -53,9 +53,14 @@ def decoded(scan: DataFrame) -> DataFrame:
     return scan.where(~looks_binary(F.col("content"))).withColumn("content", F.decode("content", "UTF-8"))
 
 
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``part`` table over many tasks: its file may be one group of rows, which one task reads, and each row becomes a file."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").repartition("p_partkey")
+
+
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): one small source file for each part, TypeScript for even keys and Python for odd ones."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = dealt_parts(spark, sf_dir)
     word = F.regexp_replace(F.lower("p_name"), "[^a-z]", "_")
     brand = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
     key, kind, size = F.col("p_partkey"), F.lower("p_type"), F.col("p_size")
