@@ -33,13 +33,13 @@ def ask(question: str, files: DataFrame, *, k: int = 20, context_lines: int = CO
     intent = spark.range(1).select(question_intent(F.lit(question))).first()[0]
     lines = symbols.line_table(files)
     place = lambda name: F.concat_ws("#", "path", name)
-    defined = symbols.extract_symbols(lines).where("type = 'def'").groupBy("path", "symbol").agg(F.min("line_no").alias("line_no")).withColumn("node", place("symbol"))
+    defined = graph.cut(symbols.extract_symbols(lines).where("type = 'def'").groupBy("path", "symbol").agg(F.min("line_no").alias("line_no")).withColumn("node", place("symbol")))
     calls = symbols.call_edges(lines).where("callee IS NOT NULL")
     edges = graph.cut(calls.select("path", "callee", "first_line", place("caller").alias("source"), place("callee").alias("target")))
     depth = HOPS.get(intent, 0)
     found = graph.shortest_paths(graph.reached_by(edges.select("source", "target"), seeds_of(question, defined).select("node"), depth), depth)
     called = edges.select(F.col("source").alias("parent"), F.col("target").alias("node"), "first_line")
-    spots = found.join(defined.select("node", F.col("line_no").alias("defined_at")), "node", "left").join(called, ["parent", "node"], "left")
+    spots = found.join(defined.select("node", F.col("line_no").alias("defined_at")).hint("merge"), "node", "left").join(called.hint("merge"), ["parent", "node"], "left")
     spots = spots.select(
         "depth",
         F.array_join(F.transform("path", lambda n: F.substring_index(n, "#", -1)), " -> ").alias("way"),
@@ -48,6 +48,9 @@ def ask(question: str, files: DataFrame, *, k: int = 20, context_lines: int = CO
         F.coalesce("defined_at", "first_line").alias("line_no"),
     )
     best = graph.cut(spots.orderBy("depth", "way", "path", "line_no").limit(k))
+    # k rows at most, so what is shown is read from the files that they stand in
+    files = graph.cut(files.join(F.broadcast(best.select("path").distinct()), "path", "left_semi"))
+    lines = symbols.line_table(files)
     around = symbols.context(files, best.select("path", "line_no").distinct(), context_lines).withColumnRenamed("context", "snippet")
     ends = lines.select("path", "line_no", "start", (F.col("start") + symbols.utf16_length(F.col("line"))).alias("end"))
     out = best.join(around, ["path", "line_no"]).join(ends, ["path", "line_no"]).join(files.select("path", F.sha2("content", 256).alias("content_sha")), "path")

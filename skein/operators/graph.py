@@ -1,5 +1,8 @@
 """Graph operators over edge tables.
 
+Joins by key say so (``merge``): a plan guesses sizes from the files that rows were made from, and where these are small it
+would send edges, which are many more, through the driver to every executor.
+
 Defined results: repeated edges count once; edges with a null end lead nowhere; of equally short ways the one by the
 least node counts; empty tables give empty results.
 """
@@ -22,11 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): least number of hops from ``seeds(node)`` over ``edges(source, target)``."""
-    found = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    edges = cut(edges.select("source", "target"))
+    found = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = found
     for k in range(1, depth + 1):
-        step = front.join(edges, front.node == edges.source).select(F.col("target").alias("node")).distinct()
-        front = cut(step.join(found, "node", "left_anti").withColumn("depth", F.lit(k)))
+        step = front.join(edges.hint("merge"), front.node == edges.source).select(F.col("target").alias("node")).distinct()
+        front = cut(step.join(found.hint("merge"), "node", "left_anti").withColumn("depth", F.lit(k)))
         found = found.union(front)
     return found
 
@@ -42,14 +46,15 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, tole
     nodes = cut(nodes)
     n = nodes.count()
     degree = links.groupBy("source").agg(F.count("*").alias("degree"))
-    spread = links.join(degree, "source")
+    degree = cut(degree)
+    spread = cut(links.join(degree.hint("merge"), "source"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(iterations):
-        given = spread.join(ranks, spread.source == ranks.node).groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
-        lost = ranks.join(degree, ranks.node == degree.source, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = nodes.join(given, nodes.node == given.target, "left").crossJoin(F.broadcast(lost))  # one row
+        given = spread.join(ranks.hint("merge"), spread.source == ranks.node).groupBy("target").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))
+        lost = ranks.join(degree.hint("merge"), ranks.node == degree.source, "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        given = nodes.join(given.hint("merge"), nodes.node == given.target, "left").crossJoin(F.broadcast(lost))  # one row
         new = given.select("node", ((1 - damping) / max(n, 1) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
-        new = cut(new.join(ranks.withColumnRenamed("rank", "was"), "node"))
+        new = cut(new.join(ranks.withColumnRenamed("rank", "was").hint("merge"), "node"))
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
         ranks = new.drop("was")
         if change <= tolerance:
@@ -104,7 +109,8 @@ def resolved_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str
     walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when((x == ".") | (x == ""), done).when((x == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(x))))
     base = F.array_join(walked, "/")
     tries = imports.select(F.col("path").alias("source"), "module", F.posexplode(F.array(base, *[F.concat(base, F.lit(e)) for e in extensions])).alias("nth", "target"))
-    found = tries.join(files.select(F.col("path").alias("target")).distinct(), "target")
+    # many imports name one file, so files are looked up and imports pass by unsorted
+    found = tries.join(files.select(F.col("path").alias("target")).distinct().hint("shuffle_hash"), "target")
     return found.groupBy("source", "module").agg(F.min_by("target", "nth").alias("target")).select("source", "target").distinct()
 
 
@@ -201,8 +207,8 @@ def reached_by(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     found = seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"))
     front = found
     for k in range(1, depth + 1):
-        step = front.join(edges, front.node == edges.source).groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
-        front = cut(step.join(found, "node", "left_anti").select("node", F.lit(k).alias("depth"), "parent"))
+        step = front.join(edges.hint("merge"), front.node == edges.source).groupBy(F.col("target").alias("node")).agg(F.min("source").alias("parent"))
+        front = cut(step.join(found.hint("merge"), "node", "left_anti").select("node", F.lit(k).alias("depth"), "parent"))
         found = found.union(front)
     return found
 
@@ -213,6 +219,6 @@ def shortest_paths(found: DataFrame, depth: int) -> DataFrame:
     up = found.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"))
     out = found.withColumn("path", F.array("node")).withColumn("_next", F.col("parent"))
     for _ in range(depth):
-        out = out.join(up, out._next == up._node, "left")
+        out = out.join(up.hint("merge"), out._next == up._node, "left")
         out = out.withColumn("path", F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), "path")).otherwise(F.col("path"))).withColumn("_next", F.col("_parent")).drop("_node", "_parent")
     return out.drop("_next")

@@ -146,7 +146,7 @@ def reranked(candidates: DataFrame, score: Column, *, first: int, top: int = 20)
 
 def expanded(candidates: DataFrame, edges: DataFrame, damping: float = 0.3) -> DataFrame:
     """Candidates ``(path, score)`` and the files that they lead to by ``edges(source, target)``, with a share of the score; the best of each."""
-    near = candidates.join(edges.select("source", "target").distinct(), F.col("path") == F.col("source")).select(F.col("target").alias("path"), (F.col("score") * damping).alias("score"))
+    near = candidates.join(edges.select("source", "target").distinct().hint("merge"), F.col("path") == F.col("source")).select(F.col("target").alias("path"), (F.col("score") * damping).alias("score"))
     return candidates.select("path", "score").unionByName(near).groupBy("path").agg(F.max("score").alias("score"))
 
 
@@ -158,7 +158,7 @@ def snippets(hits: DataFrame) -> DataFrame:
 
 def span_context(files: DataFrame, spans: DataFrame, context: int) -> DataFrame:
     """(path, start, end, text, before, after): characters ``start`` to ``end`` of each file, with so many on either side."""
-    joined = spans.join(files, "path")
+    joined = spans.join(files.hint("merge"), "path")
     low = F.greatest(F.col("start") - context, F.lit(0))
     part = lambda a, b: F.substring("content", a + 1, F.greatest(b - a, F.lit(0)))
     return joined.select("path", "start", "end", part(F.col("start"), F.col("end")).alias("text"), part(low, F.col("start")).alias("before"), part(F.col("end"), F.col("end") + context).alias("after"))

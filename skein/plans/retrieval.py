@@ -253,7 +253,7 @@ SELECT path, rank, CAST(running AS BIGINT) AS running FROM r WHERE running <= 40
 def ranked_prefix(spark, sf_dir):
     """The highest ranked files that together fit into forty thousand characters."""
     files = part_code(spark, sf_dir).select("path", F.length("content").alias("size"))
-    ranked = files.join(graph.repomap(files), "path").withColumn("rank", F.round("rank", 9))
+    ranked = files.join(graph.repomap(files).hint("merge"), "path").withColumn("rank", F.round("rank", 9))
     return discovery.within_budget(ranked, 40_000, [F.desc("rank"), F.col("path")]).select("path", "rank", "running")
 
 
