@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import loadouts
+from skein.operators.graph import cut
 from skein.plans.queries import _COUNTS_SQL, _scored, _table, query
 from skein.sources import loadouts as files
+from skein.sources.code_view import dealt_parts
 
 _CHECKS = ["logical_consistency", "cross_reference", "semantic", "syntactic"]
 
@@ -55,7 +57,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed, keyed = F.array(*[layer(i) for i in range(4)]), F.struct(*[layer(i).alias(n) for i, n in enumerate(_CHECKS)])
     content = F.when(k % 25 == 0, '{"name": ').when(k % 2 == 0, document(listed)).otherwise(document(keyed))
     path = F.concat(F.lit("/loadouts/"), F.lower("p_brand"), F.lit("/c"), k.cast("string"), F.lit(".json"))
-    return _table(spark, sf_dir, "part").select(k, path.alias("path"), content.alias("content"), F.lit(None).cast("string").alias("error"))
+    # cut, as a filter on what is parsed would else be worked out before parts are dealt
+    return cut(dealt_parts(spark, sf_dir).select("p_partkey", "p_brand")).select(k, path.alias("path"), content.alias("content"), F.lit(None).cast("string").alias("error"))
 
 
 _WHOLE_SQL = """WITH c AS (SELECT p_partkey AS k, p_partkey % 4 + 1 AS ea, p_partkey % 3 + 1 AS es, least(p_partkey % 5, 4) AS v, p_partkey % 5 + 1 AS it, p_partkey % 6 + 1 AS par,
