@@ -38,5 +38,5 @@ def lookup(indexed: DataFrame, asked: DataFrame, edits: int) -> DataFrame:
     lengths = F.transform(F.sequence(F.greatest(size - edits, F.lit(LONG + 1)), size + edits), lambda n: F.concat(F.lit("#"), n))
     keys = F.concat(short, F.when(size + edits > LONG, lengths).otherwise(none))
     # a pair may share many keys
-    pairs = own.select("asked", F.explode(keys).alias("key")).join(indexed, "key").select("asked", "name").distinct()
+    pairs = own.select("asked", F.explode(keys).alias("key")).join(indexed.hint("merge"), "key").select("asked", "name").distinct()
     return pairs.withColumn("distance", F.levenshtein("asked", "name", edits)).where("distance >= 0")

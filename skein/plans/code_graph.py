@@ -49,7 +49,7 @@ SELECT asked, name, CAST(levenshtein(asked, name) AS INTEGER) AS distance FROM a
 def fuzzy_symbols(spark, sf_dir):
     """Names of functions for names with their third character left out."""
     found = symbols.extract_symbols(symbols.line_table(part_code(spark, sf_dir))).where("kind = 'function'")
-    names = found.select(F.col("symbol").alias("name")).distinct()
+    names = graph.cut(found.select(F.col("symbol").alias("name")).distinct())
     asked = names.select(F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)")).alias("asked"))
     return fuzzy_index.lookup(fuzzy_index.index(names, _EDITS), asked, _EDITS)
 
