@@ -2,7 +2,8 @@
 
 All of them keep the rows of a key until the watermark has passed them and then take them in order of event
 time, so what arrives out of order within ``late`` changes nothing, and a restart goes on from the checkpoint. Rows
-later than that are refused by the watermark. A key's state is what it has within ``late`` and a few numbers. Event-time timers
+later than that are refused by the watermark. A key's state is what it has within ``late`` and a few numbers, and lies in
+slots of time: a worker holds one slot of one key, or ``HELD`` rows that have come. Event-time timers
 wake a key when its next row or its next own moment is due.
 
 The state store has to be RocksDB, which ``with_state`` sets for the session. Null keys are a key; rows without a time are dropped.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 from operator import itemgetter
 from typing import Any
 
@@ -27,10 +28,12 @@ from skein.operators.telemetry import FIRING, INACTIVE, PENDING, RESOLVED
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
 STEP = {FIRING: 1, RESOLVED: -1}
+#: Time whose rows of a key are read together, rows that wait to be put into slots, rows of a value of the state, and rows given at once.
+SLOT, HELD, CHUNK, GIVEN = 3600 * MICROS, 50_000, 5_000, 10_000
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key in order of time. ``step`` gets those that the watermark has passed, and what it noted before."""
+    """Rows of a key in order of time. ``step`` gets those that the watermark has passed, a slot at a time, and what it noted before."""
 
     def __init__(self, names: list[str]):
         self.names = names
@@ -44,7 +47,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, what string")
+        self.waiting = handle.getMapState("waiting", "slot long, nth long", "rows string")
         self.memo = handle.getValueState("memo", "memo string, timer long")
 
     def _read(self) -> tuple[dict[str, Any], int | None]:
@@ -63,30 +66,54 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         memo, timer = self._read()
-        first = timer
+        first, held = timer, []
         for frame in rows:
-            self.waiting.appendList(list(zip(frame["at"].astype("int64").tolist(), frame["what"].tolist(), strict=True)))
+            held.extend(zip(frame["at"].astype("int64").tolist(), frame["what"].tolist(), strict=True))
             soonest = -(-int(frame["at"].min()) // 1000)
             first = soonest if first is None else min(first, soonest)
+            if len(held) >= HELD:
+                self._put(memo, held)
+                held = []
+        self._put(memo, held)
         self._note(memo, first, timer)
         return iter(())
 
+    def _put(self, memo: dict[str, Any], rows: list[tuple[int, str]]) -> None:
+        slots: dict[int, list[tuple[int, str]]] = {}
+        for row in rows:
+            slots.setdefault(row[0] // SLOT, []).append(row)
+        for slot, own in slots.items():
+            for a in range(0, len(own), CHUNK):
+                memo["_put"] = memo.get("_put", 0) + 1
+                self.waiting.updateValue((slot, memo["_put"]), (json.dumps(own[a : a + CHUNK]),))
+
+    def _take(self, memo: dict[str, Any], until: int, left: list[int]) -> Iterator[tuple]:
+        """What ``step`` gives up to a time; ``left`` gets the time of the first row that has to wait."""
+        places = sorted(tuple(p) for p in self.waiting.keys()) if self.waiting.exists() else []
+        for slot, own in groupby(places, key=itemgetter(0)):
+            own = list(own)
+            held = sorted((at, what) for p in own for at, what in json.loads(self.waiting.getValue(p)[0]))
+            due, later = [r for r in held if r[0] <= until], [r for r in held if r[0] > until]
+            if due:
+                for p in own:
+                    self.waiting.removeKey(p)
+                self._put(memo, later)
+                yield from self.step(memo, [(at, json.loads(what)) for at, what in due], min(until, (slot + 1) * SLOT - 1))
+            if later:
+                left.append(later[0][0])
+                break
+        yield from self.step(memo, [], until)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         memo, timer = self._read()
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, later = [r for r in held if r[0] <= until], [r for r in held if r[0] > until]
-        out = list(self.step(memo, [(at, json.loads(what)) for at, what in due], until))
-        if due:
-            self.waiting.clear()
-            if later:
-                self.waiting.put(later)
-        moments = [-(-m // 1000) for m in (later[0][0] if later else None, self.wakes(memo)) if m is not None]
+        label, left = key if isinstance(key, tuple) else (key,), []
+        told = self._take(memo, until, left)
+        while out := list(islice(told, GIVEN)):
+            yield pd.DataFrame([(*label, *row) for row in out], columns=self.names)
+        moments = [-(-m // 1000) for m in (*left, self.wakes(memo)) if m is not None]
         # the timer that has expired is gone; a moment that has passed would be a fault of ``step``
         self._note(memo, min(moments, default=None), None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
-        if out:
-            key = key if isinstance(key, tuple) else (key,)
-            yield pd.DataFrame([(*key, *row) for row in out], columns=self.names)
 
 
 def with_state(rows: DataFrame, keys: list[str], what: Column, late: str, make: type[InOrder], result: str, **settings: Any) -> DataFrame:
@@ -198,7 +225,7 @@ class _Traces(InOrder):
 
     def wakes(self, memo):
         held = memo.get("held")
-        return min(begun for begun, _ in held.values()) + self.wait if held else None
+        return next(iter(held.values()))[0] + self.wait if held else None
 
     def step(self, memo, rows, until):
         held = memo.setdefault("held", {})  # in the order in which the traces began
@@ -207,15 +234,17 @@ class _Traces(InOrder):
             begun, spans = held.pop(name)
             return json.loads(name), begun, spans, reason
 
+        def waited(before: int) -> Iterator[tuple]:
+            while held and held[name := next(iter(held))][0] + self.wait < before:
+                yield release(name, "waited")
+
         for at, what in rows:
             name = json.dumps(what.get("trace"))
-            for old in [n for n, (begun, _) in held.items() if begun + self.wait < at]:
-                yield release(old, "waited")
+            yield from waited(at)
             if name not in held and len(held) >= self.most:
                 yield release(next(iter(held)), "full")
             held.setdefault(name, [at, 0])[1] += 1
-        for old in [n for n, (begun, _) in held.items() if begun + self.wait <= until]:
-            yield release(old, "waited")
+        yield from waited(until + 1)
 
 
 def grouped_traces(spans: DataFrame, trace: str, *, wait_seconds: int = 10, most: int = 1000, shards: int = 1, late: str) -> DataFrame:
