@@ -29,6 +29,8 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 #: Rows of a block of vectors and of a block of queries that are multiplied with one another.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Queries of a block whose scores are held at once.
+SCORED_ROWS = 128
 
 
 def _blocks(vectors: DataFrame, name: str, rows: int) -> DataFrame:
@@ -48,6 +50,21 @@ def _blocks(vectors: DataFrame, name: str, rows: int) -> DataFrame:
     return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(packed, f"{name}_ids array<long>, {name}_packed binary")
 
 
+def _nearest(query: np.ndarray, asked: np.ndarray, vec: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, vector ids, scores): the ``k`` best of a block for each query, some queries at a time."""
+    for a in range(0, len(query), SCORED_ROWS):
+        own = query[a : a + SCORED_ROWS]
+        score = np.round(asked[a : a + SCORED_ROWS] @ matrix.T, 6)
+        # what reaches a query's k-th score, ties of it too, is ordered
+        least = np.partition(score, -k, axis=1)[:, -k] if k < len(vec) else np.full(len(own), -np.inf)
+        q, v = np.nonzero(score >= least[:, None])
+        order = np.lexsort((vec[v], -score[q, v], q))
+        q, v = q[order], v[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, v = q[place < k], v[place < k]
+        yield own[q], vec[v], score[q, v]
+
+
 def topk_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): a stated query set against all rows, block by block.
 
@@ -61,16 +78,10 @@ def topk_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 vec, query = (batch[c][row].values.to_numpy() for c in ("vec_ids", "query_ids"))
-                score = np.frombuffer(batch["query_packed"][row].as_buffer()).reshape(len(query), -1) @ np.frombuffer(batch["vec_packed"][row].as_buffer()).reshape(len(vec), -1).T
-                score = np.round(score, 6)
-                # what reaches a query's k-th score, ties of it too, is ordered
-                least = np.partition(score, -k, axis=1)[:, -k] if k < len(vec) else np.full(len(query), -np.inf)
-                q, v = np.nonzero(score >= least[:, None])
-                order = np.lexsort((vec[v], -score[q, v], q))
-                q, v = q[order], v[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                q, v = q[place < k], v[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(vec[v]), pa.array(score[q, v])], names=["query_id", "vec_id", "score"])
+                asked = np.frombuffer(batch["query_packed"][row].as_buffer()).reshape(len(query), -1)
+                matrix = np.frombuffer(batch["vec_packed"][row].as_buffer()).reshape(len(vec), -1)
+                for found in _nearest(query, asked, vec, matrix, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     near = left.crossJoin(right).mapInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from skein.operators import graph, research, symbols
+from skein.operators import graph, research, search, symbols
 from skein.plans.every_query import QUERIES
 from skein.sources import code_view
 from skein.streaming import alerts
@@ -106,3 +108,18 @@ def test_a_slot_of_a_key_is_read_at_a_time():
     assert out == sorted(times)[:-1] and left == [3 * alerts.SLOT + 5]
     assert [rows for rows, _ in seen] == [[1, 7, alerts.SLOT - 1], [alerts.SLOT], [3 * alerts.SLOT + 1], []]
     assert len(made.waiting.values) == 1
+
+
+def test_scores_of_a_block_are_held_for_some_queries_at_a_time():
+    """A whole block of queries has 32 MB of scores, and several copies of them."""
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(search.BLOCK_ROWS, 8))
+    asked, ids = matrix[: search.QUERY_ROWS], np.arange(search.BLOCK_ROWS)
+    tracemalloc.start()
+    found = [np.concatenate(x) for x in zip(*search._nearest(ids[: len(asked)], asked, ids, matrix, 3), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    score = np.round(asked @ matrix.T, 6)
+    for q in (0, 127, 128, 1023):
+        assert found[1][found[0] == q].tolist() == np.lexsort((ids, -score[q]))[:3].tolist()
