@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 21
+#: Powers are kept by every worker as long as it lives, so as many as its longest text needs, in steps of so many.
+POWER_STEP = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
@@ -43,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2**64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES)
+        size = -(-n // POWER_STEP) * POWER_STEP
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for key, base in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, base, dtype=np.uint64)
@@ -111,7 +113,7 @@ _PRIMES = ((2147483647, 1103515249), (2147483629, 843314861))
 def _prime_powers(n: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
     """(prime, powers of its base, powers of the base's inverse), ``n`` of them at least."""
     if len(_powers.get("up0", ())) < n:
-        size = max(n, CHUNK_BYTES)
+        size = -(-n // POWER_STEP) * POWER_STEP
         for k, (prime, base) in enumerate(_PRIMES):
             for key, step in ((f"up{k}", base), (f"down{k}", pow(base, -1, prime))):
                 out = np.ones(size, dtype=np.uint64)

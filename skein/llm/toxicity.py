@@ -42,6 +42,10 @@ PREFIX_BYTES = (4, 5, 6)
 FOLDS = 4
 L2 = 0.1
 THRESHOLD = 0.5
+#: Bytes of text whose words a worker holds at once, and entries of a sum: the arrays made from them are many times larger.
+TEXT_BYTES = 1 << 18
+SUM_ENTRIES = 1 << 18
+SAMPLE_BATCH = 1_000
 
 
 @dataclass
@@ -61,7 +65,7 @@ class Rows:
     n: int
 
     def take(self, keep: np.ndarray) -> Rows:
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(self.row.dtype)
         inside = keep[self.row]
         return Rows(number[self.row[inside]], self.word[inside], int(keep.sum()))
 
@@ -96,6 +100,15 @@ def _telling(counts: DataFrame, positive: Column, total: Column, n: int, n_posit
     return scored.where(F.col("score") > bound).orderBy(F.desc("score"), "word").limit(max_features).select("word")
 
 
+def _summed(index: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``n`` sums of ``values[at]`` by ``index``, in the order of the entries."""
+    out = np.zeros(n)
+    for lo in range(0, len(index), SUM_ENTRIES):
+        part = slice(lo, lo + SUM_ENTRIES)
+        np.add.at(out, index[part].astype(np.intp), values[at[part]])
+    return out
+
+
 def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, l2: float = L2, iterations: int = 400) -> Linear:
     """Logistic regression on the words of ``rows``, by accelerated gradient steps."""
     n, n_positive = len(label), int(label.sum())
@@ -103,8 +116,11 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, l2: float = L2, i
     if n_positive in (0, n):
         constant = 0.0 if n == 0 else -30.0 if n_positive == 0 else 30.0
         return Linear(np.zeros(0, dtype=np.int64), none, np.zeros(earlier.shape[1]), constant)
-    words, column = np.unique(rows.word, return_inverse=True)
+    words = np.unique(rows.word)
     row, width = rows.row, len(words)
+    column = np.empty(len(row), dtype=np.int32)
+    for lo in range(0, len(row), SUM_ENTRIES):
+        column[lo : lo + SUM_ENTRIES] = np.searchsorted(words, rows.word[lo : lo + SUM_ENTRIES])
     weight, momentum, extra, extra_momentum = np.zeros(width), np.zeros(width), np.zeros(earlier.shape[1]), np.zeros(earlier.shape[1])
     intercept = intercept_momentum = float(np.log(n_positive / (n - n_positive)))
     # step by column: half the mass of a column bounds its curvature
@@ -113,9 +129,9 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, l2: float = L2, i
     step = 4.0 / most
     previous = 1.0
     for _ in range(iterations):
-        margin = intercept_momentum + np.bincount(row, weights=momentum[column], minlength=n) + earlier @ extra_momentum
+        margin = intercept_momentum + _summed(row, momentum, column, n) + earlier @ extra_momentum
         gradient = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label
-        new = momentum - step * (np.bincount(column, weights=gradient[row], minlength=width) + l2 * momentum) / curvature
+        new = momentum - step * (_summed(column, gradient, row, width) + l2 * momentum) / curvature
         new_extra = extra_momentum - step * (earlier.T @ gradient + l2 * extra_momentum) / ((earlier**2).sum(axis=0) / 4 + l2)
         new_intercept = intercept_momentum - step * gradient.sum() / (n / 4)
         now = (1 + (1 + 4 * previous**2) ** 0.5) / 2
@@ -125,6 +141,20 @@ def fit(rows: Rows, label: np.ndarray, earlier: np.ndarray, *, l2: float = L2, i
     return Linear(words, weight, extra, float(intercept))
 
 
+def _numbered(table: pa.Table, own: np.ndarray) -> Rows:
+    """What the ``words`` of ``table`` have of ``own``, as places in it; a thousand texts are looked up at a time."""
+    rows, places, first = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)], 0
+    for batch in table.to_batches(max_chunksize=SAMPLE_BATCH) if len(own) else []:
+        lists = batch["words"]
+        word, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        place = np.minimum(np.searchsorted(own, word), len(own) - 1).astype(np.int32)
+        known = own[place] == word
+        rows.append(np.repeat(np.arange(first, first + len(sizes), dtype=np.int32), sizes)[known])
+        places.append(place[known])
+        first += len(sizes)
+    return Rows(np.concatenate(rows), np.concatenate(places), len(table))
+
+
 FITTED = "left_out int, words array<long>, weights array<double>, earlier array<double>, intercept double, held array<long>, told array<double>"
 
 
@@ -138,19 +168,17 @@ def _fit_models(rows: DataFrame, category: str, earlier: list[tuple[np.ndarray,
         left_out = table["left_out"][0].as_py()
         ids, fold = table["row"].to_numpy(), table["fold"].to_numpy()
         label = table[category].to_numpy()
-        lists = table["words"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        word, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes)
         own = chosen.get(left_out, np.zeros(0, dtype=np.int64))
-        known = own[np.minimum(np.searchsorted(own, word), len(own) - 1)] == word if len(own) else np.zeros(len(word), dtype=bool)
-        every = Rows(row[known], word[known], len(ids))
+        every = _numbered(table.select(["words"]), own)
         before = np.column_stack([p[np.searchsorted(i, ids)] for i, p in earlier]) if earlier else np.zeros((len(ids), 0))
         train, held = ~np.isnan(label) & (fold != left_out), fold == left_out
-        model = fit(every.take(train), label[train], before[train], **options)
-        told = probability(model, every.take(held), before[held])
+        asked = every.take(held)
+        every = every.take(train)
+        model = fit(every, label[train], before[train], **options)
+        told = probability(model, asked, before[held])
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         return pa.Table.from_arrays(
-            [pa.array([left_out], pa.int32()), one(model.words, pa.int64()), one(model.weights, pa.float64()), one(model.earlier, pa.float64()), pa.array([model.intercept]), one(ids[held], pa.int64()), one(told, pa.float64())],
+            [pa.array([left_out], pa.int32()), one(own[model.words], pa.int64()), one(model.weights, pa.float64()), one(model.earlier, pa.float64()), pa.array([model.intercept]), one(ids[held], pa.int64()), one(told, pa.float64())],
             names=[c.split()[0] for c in FITTED.split(", ")],
         )
 
@@ -160,7 +188,7 @@ def _fit_models(rows: DataFrame, category: str, earlier: list[tuple[np.ndarray,
 
 def word_rows(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, int, Rows]]:
     """Runs of texts with the different words of each, and the beginnings of its words; only known ones if told."""
-    for lo, hi, offsets, data in textscan.chunks(column):
+    for lo, hi, offsets, data in textscan.chunks(column, TEXT_BYTES):
         data = textscan.LOWER[data]
         starts, ends, row = textscan.words(offsets, data, textscan.LEXICAL)
         rows, words = [row], [textscan.span_hashes(data, starts, ends)]
