@@ -124,50 +124,87 @@ def repomap(files: DataFrame) -> DataFrame:
 
 #: Hops between two checks whether anything still changes: a checkpoint each costs more than a hop too many.
 HOPS_A_ROUND = 3
+#: A table that grows by a part a round is written anew after so many.
+ROUNDS_A_CUT = 8
+#: The component of one node is searched for while there are so many edges and a search takes off such a share of them; ends
+#: that drop less than this share a round are left for later then.
+MANY_EDGES = 10_000
+LEAST_SHARE = 0.05
 
 
 def _reaches(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, root) of all that ``start(node, root)`` reaches over ``edges(source, other, within)`` of its own ``root``."""
-    found, front, before = start, start, -1
+    """(node, root) of all that ``start(node, root)`` reaches over ``edges(source, other, within)`` of its own ``root``.
+
+    A round starts from what the one before it has found new, so no edge is passed in every round.
+    """
+    found, front, rounds = start, start, 0
     while True:
+        step, more = front, None
         for _ in range(HOPS_A_ROUND):
-            step = front.join(edges, (F.col("node") == F.col("source")) & (F.col("root") == F.col("within"))).select(F.col("other").alias("node"), "root")
-            front = step.distinct()
-            found = found.union(front)
-        found = cut(found.distinct())
-        now = found.count()
-        if now == before:
+            met = step.hint("shuffle_hash").join(edges, (F.col("node") == F.col("source")) & (F.col("root") == F.col("within")))
+            step = met.select(F.col("other").alias("node"), "root").distinct()
+            more = step if more is None else more.union(step)
+        front = cut(more.distinct().join(found.hint("merge"), ["node", "root"], "left_anti"))
+        if front.isEmpty():
             return found
-        before, front = now, found
+        rounds += 1
+        found = found.union(front) if rounds % ROUNDS_A_CUT else cut(found.union(front))
 
 
 def _between(links: DataFrame) -> DataFrame:
     """Edges whose ends both have a way in and a way out."""
-    inner = links.select(F.col("source").alias("node")).intersect(links.select("target"))
+    ends = links.select(F.col("source").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("target", F.lit(0), F.lit(1)))
+    inner = ends.groupBy("node").agg(F.max("out").alias("out"), F.max("into").alias("into")).where("out = 1 AND into = 1").select("node")
     return links.join(inner, links.source == inner.node, "left_semi").join(inner.withColumnRenamed("node", "other"), F.col("target") == F.col("other"), "left_semi")
 
 
+def _largest(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The component (node, root) of the node with most ways through it, and the edges that may be inside other ones.
+
+    Nodes that it reaches and that reach it are its component. Other components have all of their nodes or none among those
+    that it reaches, and so among those that reach it.
+    """
+    degree = lambda end, name: links.groupBy(F.col(end).alias("node")).agg(F.count("*").cast("double").alias(name))
+    most = degree("source", "out").join(degree("target", "into").hint("merge"), "node").orderBy(F.desc(F.col("out") * F.col("into")), "node").limit(1)
+    ways = links.select("source", F.col("target").alias("other"), F.lit(1).alias("within")).union(links.select("target", "source", F.lit(2)))
+    found = _reaches(cut(ways), cut(most.select("node", F.explode(F.array(F.lit(1), F.lit(2))).alias("root"))))
+    sides = cut(found.groupBy("node").agg(F.sum("root").alias("side")))
+    own = sides.where("side = 3").select("node")
+    own = own.crossJoin(F.broadcast(own.agg(F.min("node").alias("root"))))  # one row
+    of = lambda node, side: sides.select(F.col("node").alias(node), F.col("side").alias(side)).hint("merge")
+    left = links.join(of("source", "a"), "source", "left").join(of("target", "b"), "target", "left")
+    return own, left.where("coalesce(a, 0) = coalesce(b, 0) AND coalesce(a, 0) < 3").select("source", "target")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size): nodes that reach one another share the least of them as component.
 
-    Each round first drops nodes without a way in or out, which are components of their own. Then the least node that
+    Each round first drops nodes without a way in or out, which are components of their own. While there are many edges, the
+    component of one node is taken off whole, as most graphs have a large one. Else the least node that
     reaches a node goes along the edges until nothing changes, and among the nodes that share one, those that reach it
     are its component. What is left goes into the next round, with the edges inside it. Null ends are no nodes.
     """
     pairs = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct()
     nodes = cut(pairs.select(F.col("source").alias("node")).union(pairs.select("target")).distinct())
     links = cut(pairs.where("source != target"))
-    done, size = None, links.count()
+    done, size, searching = None, links.count(), True
     while True:
         while size:
             for _ in range(HOPS_A_ROUND):
                 links = _between(links)
             links = cut(links)
             before, size = size, links.count()
-            if size == before:
+            if size == before or (searching and size >= MANY_EDGES and before - size < LEAST_SHARE * before):
                 break
         if not size:
             break
+        if searching and size >= MANY_EDGES:
+            found, links = _largest(links)
+            done = found if done is None else done.union(found)
+            links = cut(links)
+            before, size = size, links.count()
+            searching = before - size >= LEAST_SHARE * before
+            continue
         label = cut(links.select(F.col("source").alias("node")).union(links.select("target")).distinct().withColumn("root", F.col("node")))
         while True:
             label = label.select("node", "root", F.col("root").alias("was"))

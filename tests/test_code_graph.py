@@ -152,3 +152,22 @@ def test_tree_of_nothing(spark):
     few = spark.createDataFrame([(k, [1.0 * k, 2.0]) for k in range(3)], "vec_id long, embedding array<double>")
     assert {r.parent_id for r in cluster_tree.build_tree(few).collect()} == {None}
     assert cluster_tree.build_tree(few).select(F.countDistinct("node_id")).first()[0] == 3
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_components_are_taken_off_whole(spark, monkeypatch, seed):
+    """With searches from one node on small graphs too: a large component, tails, others of middle size, and hops by what is new."""
+    monkeypatch.setattr(graph, "MANY_EDGES", 10)
+    monkeypatch.setattr(graph, "ROUNDS_A_CUT", 2)
+    starts = []
+    reaches = graph._reaches
+    monkeypatch.setattr(graph, "_reaches", lambda edges, start: (starts.append(start.count()), reaches(edges, start))[1])
+    pick = random.Random(seed)
+    ring = [(k, (k + 1) % 40) for k in range(40)] + [(pick.randint(0, 39), pick.randint(0, 39)) for _ in range(20)]
+    tails = [(39, 50), (50, 51), (51, 52), (60, 61), (61, 3), (70, 71), (71, 72), (72, 70), (52, 71)]
+    several = [(100 + 10 * c + k, 100 + 10 * c + (k + 1) % 4) for c in range(6) for k in range(4)] + [(100, 110), (130, 7)]
+    pairs = ring + tails + several
+    to = reach(pairs)
+    rows = graph.strong_components(edges_of(spark, pairs)).collect()
+    assert {r.node: r.component for r in rows} == {n: min(m for m in to[n] if n in to[m]) for n in to}
+    assert starts[0] == 2 and len(starts) > 1  # from one node both ways, then from what is left
