@@ -3,7 +3,7 @@
 Tasks write parts with names of their own, each no larger than ``part_bytes`` before compression but for a row that is
 larger alone. When all tasks have ended, the driver puts a new ``manifest.json`` in place of the old one, which
 is the only file that it writes: a reader sees all of a write or nothing of it. Parts of failed tasks are in no manifest and
-are deleted when the write ends either way. A reader gets one task for each part.
+are deleted when the write ends either way. A reader's task gets parts of ``READ_BYTES`` together, one after another, or a larger part alone.
 
 ``vector_parts`` holds ``chunk string, embedding array<float>``: for each part ``vectors-*.bin``, two unsigned 32-bit
 counts and then 32-bit floats, and ``chunks-*.jsonl``, a line for each vector. ``bundle_parts`` holds ``name string, content
@@ -29,6 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 PART_BYTES = 2_000_000_000
+#: Contents of the parts that one task reads, and of the files of a bundle that leave it at once.
+READ_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
 MANIFEST = "manifest.json"
 
 
@@ -51,7 +54,7 @@ def read_manifest(path: str) -> dict[str, Any]:
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     """One part: its files, rows, bytes before compression, and the SHA-256 of each file."""
 
     value: Any = None
@@ -60,6 +63,14 @@ class Part(InputPartition):
     size: int = 0
 
 
+@dataclass
+class Dealt(InputPartition):
+    """Parts that one task reads."""
+
+    value: Any = None
+    parts: list[Part] = field(default_factory=list)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     parts: list[Part]
@@ -127,9 +138,18 @@ class _Bundle(_Format):
 
         (data,) = contents.values()
         with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+            names, files, size = [], [], 0
+            batch = lambda: pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "content": pa.array(files, pa.binary())})
             for member in tar:
+                if names and size + member.size > BATCH_BYTES:
+                    yield batch()
+                    names, files, size = [], [], 0
                 file = tar.extractfile(member)
-                yield pa.RecordBatch.from_pydict({"name": pa.array([member.name]), "content": pa.array([file.read() if file else b""], pa.binary())})
+                names.append(member.name)
+                files.append(file.read() if file else b"")
+                size += len(member.name) + member.size
+            if names:
+                yield batch()
 
 
 class PartsWriter(DataSourceArrowWriter):
@@ -203,18 +223,25 @@ class PartsReader(DataSourceReader):
     def __init__(self, form: _Format, path: str):
         self.form, self.path = form, path
 
-    def partitions(self) -> list[Part]:
-        return [Part(**p) for p in read_manifest(self.path)["parts"]] or [Part()]
-
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Dealt]:
+        dealt, size = [Dealt()], 0
+        for part in (Part(**p) for p in read_manifest(self.path)["parts"]):
+            if dealt[-1].parts and size + part.size > READ_BYTES:
+                dealt.append(Dealt())
+                size = 0
+            dealt[-1].parts.append(part)
+            size += part.size
+        return dealt
+
+    def read(self, partition: Dealt) -> Iterator[pa.RecordBatch]:
         files, base = _open(self.path)
-        contents = {}
-        for name, wanted in partition.files.items():
-            with files.open_input_stream(f"{base}/{name}") as file:
-                contents[name] = file.read()
-            if hashlib.sha256(contents[name]).hexdigest() != wanted:
-                raise ValueError(f"{name} is not what its manifest says")
-        if contents:
+        for part in partition.parts:
+            contents = {}
+            for name, wanted in part.files.items():
+                with files.open_input_stream(f"{base}/{name}") as file:
+                    contents[name] = file.read()
+                if hashlib.sha256(contents[name]).hexdigest() != wanted:
+                    raise ValueError(f"{name} is not what its manifest says")
             yield from self.form.decode(contents)
 
 

@@ -79,3 +79,19 @@ def test_empty(spark, tmp_path):
     assert artifacts.read_parts(spark, artifacts.BundleParts, path).collect() == []
     os.makedirs(f"{tmp_path}/unwritten")
     assert artifacts.read_parts(spark, artifacts.VectorParts, f"{tmp_path}/unwritten").collect() == []
+
+
+def test_many_small_parts_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A task for each part, and a batch for each file, cost more than what is in them."""
+    path = f"{tmp_path}/b"
+    artifacts.write_parts(files_of(spark, 300), artifacts.BundleParts, path, part_bytes=500)
+    back = artifacts.read_parts(spark, artifacts.BundleParts, path)
+    assert len(artifacts.read_manifest(path)["parts"]) > 60 and back.rdd.getNumPartitions() == 1
+    assert rows(back) == rows(files_of(spark, 300))
+    reader = artifacts.PartsReader(artifacts._Bundle(), path)
+    monkeypatch.setattr(artifacts, "READ_BYTES", 5_000)
+    dealt = reader.partitions()
+    assert len(dealt) > 5 and all(sum(p.size for p in d.parts) <= 5_000 for d in dealt)
+    assert all(b.num_rows > 1 for b in reader.read(dealt[0])) and sum(b.num_rows for d in dealt for b in reader.read(d)) == 300
+    monkeypatch.setattr(artifacts, "BATCH_BYTES", 10)
+    assert {b.num_rows for b in reader.read(dealt[0])} == {1}
