@@ -10,13 +10,13 @@ words or more also goes if an earlier one differs from it by so many replaced, a
   keeps one of that line's segments unedited, near the place where it stood: for each length a partner
   may have and each segment, only the few start places are probed that leave enough edits for both
   sides (multi-match-aware windows). Keys are hashes of length, segment number and segment.
-* Lines that share a key are paired where the key has ``HOT_LINES`` lines at most. With one edit, a
-  hotter key is split: what the shared segment leaves of the line is cut in two again, one part of which
-  must also be shared, and so on until a key is shared by few lines or ``LEAF`` units are left. There
-  a line goes to the key of each string that it becomes with one unit left out; lines of equal length
+* Lines that share a key are paired where the key has ``HOT_LINES`` lines at most, so a line has a few pairs for
+  each of its keys. With one edit, a hotter key is split: what the shared segment leaves of the line is cut in
+  two again, one part of which must also be shared, and so on until a key is shared by few lines or ``LEAF`` units
+  are left. There a line goes to the key of each string that it becomes with one unit left out; lines of equal length
   that meet with the same place left out are all within one edit of one another, so each is paired with
   the first alone. No step makes all pairs of a hot key, and none drops a pair that decides a line.
-* Only the texts of paired lines are fetched. They are stripped of their common prefix and suffix and
+* Only the texts of lines that share a key are fetched, once. Pairs are stripped of their common prefix and suffix and
   verified by a banded bit-parallel distance: for each number of errors, one bit for each diagonal of
   the band, all moved at once.
 
@@ -42,10 +42,10 @@ MAX_EDITS = 1
 MIN_CHARS = 40
 #: Lines of fewer words are near by characters only.
 MIN_WORDS = 8
-#: A key of more lines is split further before lines are paired.
-HOT_LINES = 128
 #: A key is split no further where the partner's line has no more units left.
 LEAF = 8
+#: A key of more lines is split further before lines are paired: from there on a line has more partners than strings in a leaf.
+HOT_LINES = 8
 #: So many documents' numbers are broadcast at most, 24 bytes each.
 TOLD_HOMES = 500_000
 _NO_ID = Decimal(-(1 << 64) - 1)
@@ -234,13 +234,13 @@ def near_lines(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], *,
     rows = [F.struct(F.col(c).alias("key"), F.lit(held).alias("held"), F.lit(gap).alias("gap"), F.lit(k % 2).alias("side")) for k, (c, (held, gap, _)) in enumerate(zip(names, kinds, strict=True))]
     entries = keyed.where(F.col(names[0]).isNotNull()).select("place", F.explode(F.array(*rows)).alias("e")).select("place", "e.*").where("key is not null")
     few, hot = _by_heat(entries)
+    texts = saved(texts_of(few.select("place").union(hot.select("place")).distinct()), "shared-lines")
     pairs = _paired(few)
     if max_edits == 1 and not hot.isEmpty():
-        pairs = pairs.union(_split_hot(hot, texts_of(hot.select("place").distinct()), units))
+        pairs = pairs.union(_split_hot(hot, texts, units))
     elif max_edits > 1:  # the join deals hot keys to several tasks
         pairs = pairs.union(_paired(hot))
     pairs = saved(pairs.distinct(), "line-pairs")
-    texts = saved(texts_of(pairs.select("place").union(pairs.select("other")).distinct()), "paired-lines")
     both = pairs.join(texts.withColumnRenamed("line", "a"), "place").join(texts.select(F.col("place").alias("other"), F.col("line").alias("b")), "other")
     return both.where(near(F.col("a"), F.col("b"), max_edits, units)).select("place", "other")
 
