@@ -107,7 +107,7 @@ def least_overlap(n: int, index_k: int, tenths: int) -> int:
 
 
 def listed_values(lows: DataFrame, scope: Scope, *, index_k: int, percent: int) -> DataFrame:
-    """Inverted lists (value, node, df) of each class's rarest retained values; lists of one are left out."""
+    """Inverted lists (value, node, members) of each class's rarest retained values; lists of one member are left out."""
     entries = lows.select("node", F.explode("low").alias("value"))
     counts = scope.saved(entries.groupBy("value").agg(F.count("*").alias("df")), "value-counts")
     total = counts.agg(F.sum("df")).first()[0] or 0
@@ -121,7 +121,11 @@ def listed_values(lows: DataFrame, scope: Scope, *, index_k: int, percent: int)
     )
     ordered = told.union(rare).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))  # index_k entries at most
     ordered = ordered.withColumn("n", F.size("all")).withColumn("kept", F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - overlap + 1)))
-    return ordered.select("node", F.explode("kept").alias("e")).select(F.col("e.value").alias("value"), "node", F.col("e.df").alias("df")).where("df > 1")
+    kept = ordered.select("node", F.explode("kept").alias("e")).where("e.df > 1").select(F.col("e.value").alias("value"), "node")
+    kept = scope.saved(kept, "kept-values")
+    # others may have the value, but list rarer ones
+    members = kept.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    return kept.join(members, "value").select("value", "node", "members")
 
 
 def _of(table: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,13 +144,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def estimated(pairs: DataFrame, reps: DataFrame, sketch_k: int) -> DataFrame:
     """Add to ``pairs(a, b)`` the similarity estimated from the bottom-k of the union."""
-    reps = _of(reps.select("node", "sketch", "n_shingles"), _ends(pairs))
-    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    reps = _of(reps.select("node", "sketch"), _ends(pairs))
+    left = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, sketch_k))
     shared = F.size(F.array_intersect(F.col("u"), F.array_intersect("sa", "sb")))
-    return both.select(*pairs.columns, "na", "nb", (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
+    return both.select(*pairs.columns, (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
 
 
 def _sized(percent: int) -> str:
@@ -221,19 +225,22 @@ def _possible(table: pa.Table, left: np.ndarray, *, percent: int, sketch_k: int,
     return np.where(near, estimate, 0)
 
 
-def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, n_listed: int, scope: Scope, *, shingle_words: int, percent: int, sketch_k: int, cut: float) -> DataFrame:
+def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels: DataFrame, sized: DataFrame, tried: DataFrame | None, n_listed: int, scope: Scope, *, shingle_words: int, percent: int, sketch_k: int, cut: float) -> DataFrame:
     """Links (a, b) between classes that share a list and have different labels, as many as connect something new.
 
-    Lists are cut into blocks, and each pair of blocks is compared in one task.
+    Lists are cut into blocks, and each pair of blocks is compared in one task. Pairs (a, b) of short lists
+    that were ``tried`` before are not estimated again.
     """
-    sized = scope.saved(_of(reps.select("node", "n_shingles"), labels.select("node")), "sized")
     mixed = lists.join(_told(labels, n_listed), "node").join(_told(sized, n_listed), "node")
     several = mixed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
     mixed = scope.saved(mixed.join(several, "value"), "mixed")
-    few = mixed.where(F.col("df") <= SHORT_LIST)
+    few = mixed.where(F.col("members") <= SHORT_LIST)
     x, y = few.select("value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), few.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
     met = x.join(y, "value").where(f"a < b and la != lb and {_sized(percent)}")
-    met = scope.saved(met.groupBy("a", "b").agg(F.min("value").alias("value")), "met")
+    met = met.groupBy("a", "b").agg(F.min("value").alias("value"))
+    if tried is not None:
+        met = met.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    met = scope.saved(met, "met")
     near = estimated(met, reps, sketch_k).where(F.col("estimate") >= cut)
     near = scope.saved(near.select("value", F.explode(F.array("a", "b")).alias("node")).distinct(), "near")
     short = near.join(_told(labels, n_listed), "node").join(_of(reps.select("node", "n_shingles", "sketch"), near.select("node").distinct()), "node")
@@ -241,9 +248,9 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
     columns = [c.split()[0] for c in LISTED.split(", ")]
     short = short.select(*columns[:1], here(0).alias("i"), here(0).alias("j"), here(0).alias("own"), "node", "label", "n_shingles", "sketch", F.array().cast("array<long>").alias("listed"))
 
-    mixed = mixed.where(F.col("df") > SHORT_LIST).drop("n_shingles")
+    mixed = mixed.where(F.col("members") > SHORT_LIST).drop("n_shingles")
     values = mixed.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("df") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mixed = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mixed = mixed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
     mixed = mixed.join(_of(reps.select("node", "n_shingles", "sketch"), values.select("node")).join(values, "node"), "node").select(*columns)
@@ -321,7 +328,7 @@ def near_duplicates(
     scope.drop("sketches", "merged")
     same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
     lists = scope.saved(listed_values(lows, scope, index_k=index_k, percent=percent), "lists")
-    scope.drop("value-counts", "lows")
+    scope.drop("value-counts", "kept-values", "lows")
     listed = classes.join(lists.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     listed = scope.saved(listed, "listed")
     keyed, n_listed = _keyed(docs), listed.count()
@@ -333,7 +340,8 @@ def near_duplicates(
     deviation = (percent * (100 - percent)) ** 0.5 / 100 / sketch_k**0.5
     cut = percent / 100 - 4 * deviation
     labels = scope.saved(listed.select("node", F.col("node").alias("label")), "labels")
-    links = None
+    sized = scope.saved(_of(reps.select("node", "n_shingles"), labels.select("node")), "sized")
+    links = tried = None
     for k in range(star_rounds):
         order = lambda c, k=k: F.xxhash64(F.lit(k), c)
         marked = lists.join(_told(labels, n_listed), "node")
@@ -342,7 +350,10 @@ def near_duplicates(
         # of the members met, the one in most of a class's lists
         votes = marked.join(heads, "value").where("label != other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
         pairs = scope.saved(votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "voted")
-        guess = estimated(pairs, reps, sketch_k).where((F.col("estimate") >= cut) & F.expr(_sized(percent)))
+        tried = pairs if tried is None else tried.union(pairs)
+        na, nb = (sized.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
+        alike = scope.saved(pairs.join(_told(na, n_listed), "a").join(_told(nb, n_listed), "b").where(_sized(percent)).select("a", "b"), "alike")
+        guess = estimated(alike, reps, sketch_k).where(F.col("estimate") >= cut)
         found = scope.saved(confirmed(scope.saved(guess.select("a", "b"), "guessed"), texts, shingle_words=shingle_words, percent=percent), "star-links")
         links = found if links is None else links.union(found)
         # a label goes over to the label it was linked to that comes first; as heads come first, no label goes in a circle
@@ -352,15 +363,15 @@ def near_duplicates(
         for _ in range(2):  # a label moves once for each node that is listed, at most
             labels = labels.join(_told(moves, n_listed), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels = scope.saved(labels, "labels")
-    scope.drop("voted", "guessed", "moves")
-    crossing = crossing_links(lists, reps, texts, labels, n_listed, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
+    scope.drop("alike", "guessed", "moves")
+    crossing = crossing_links(lists, reps, texts, labels, sized, tried, n_listed, scope, shingle_words=shingle_words, percent=percent, sketch_k=sketch_k, cut=cut)
     links = crossing if links is None else links.union(crossing)
     # rows of one document link their classes, each to the first
     named = sketched.where("n_shingles > 0 and doc_id is not null").join(classes.select("digest", "node"), "digest")
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b != last").select("doc_id", "b")
     links = scope.saved(links.union(named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b").distinct()), "links")
     joined = scope.saved(connected_components(links), "components")
-    scope.drop("representatives", "lists", "listed", "listed-texts", "labels", "sized", "mixed", "met", "near", "possible", "star-links", "links")
+    scope.drop("voted", "representatives", "lists", "listed", "listed-texts", "labels", "sized", "mixed", "met", "near", "possible", "star-links", "links")
     members = classes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component_id", "node").alias("part"))
     least = members.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(members.join(least, "part").select("digest", "component_id"), "digest", "left")
