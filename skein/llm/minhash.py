@@ -10,6 +10,8 @@ Documents with equal sets form one class, and only one of each class takes part
   are told by a broadcast table whose size is bounded by the ratio that makes a value frequent.
 * Pairs are not enumerated within a list. In a few rounds each list names one member, and every class
   is compared with the member that most of its lists name. What is linked shares a label from then on.
+* What is compared at all has sizes that fit and masks of the retained values that differ no more than the lists allow, so
+  pairs that share a value by chance are told without their sketches.
 * Members of a list with different labels are compared by their sketches: pairs of lists of ``SHORT_LIST``
   members at most once each, longer lists block by block inside tasks. What has a possible partner
   fetches its text, and lists or blocks are confirmed inside tasks. Only links that connect something
@@ -46,11 +48,13 @@ FREQUENT_PARTS = 20_000
 #: Pairs of a list of so few members are told by a join; longer lists are compared in blocks.
 SHORT_LIST = 8
 BLOCK_ROWS = 1024
-#: So many nodes are broadcast at most, 8 to 24 bytes each; beyond that tables are joined by shuffles.
+#: So many nodes are broadcast at most, 8 to 48 bytes each; beyond that tables are joined by shuffles.
 TOLD_NODES = 500_000
 #: Columns of a block's table of values that are multiplied at once.
 VALUE_COLUMNS = 4096
-SKETCHED = "doc_id long, text_key long, n_shingles long, digest binary, low array<long>, sketch array<int>"
+#: Bits that tell which of its ``index_k`` smallest values a class has, several values to a bit.
+MASK_BITS = 128
+SKETCHED = "doc_id long, text_key long, n_shingles long, digest binary, low array<long>, sketch array<int>, mask0 long, mask1 long"
 LISTED = "value long, i int, j int, own int, node long, label long, n_shingles long, sketch array<int>, listed array<long>"
 
 
@@ -80,14 +84,22 @@ def sketch_documents(docs: DataFrame, *, shingle_words: int, sketch_k: int = SKE
                     digests.append(blake2b(hashes.tobytes(), digest_size=16).digest())
                     lows.append(hashes[:index_k].view(np.int64))
                     sketches.append((hashes[:sketch_k] >> np.uint64(32)).astype(np.int32))
+                bits = masks(lows)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(lo, hi - lo) for c in ("doc_id", "text_key")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(lows, np.int64), _lists(sketches, np.int32)],
+                    [*(batch[c].slice(lo, hi - lo) for c in ("doc_id", "text_key")), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(lows, np.int64), _lists(sketches, np.int32), *(pa.array(x) for x in bits)],
                     names=[c.split()[0] for c in SKETCHED.split(", ")],
                 )
 
     return _keyed(docs).mapInArrow(sketch, SKETCHED)
 
 
+def masks(lows: list[np.ndarray]) -> list[np.ndarray]:
+    """Each document's ``MASK_BITS`` bits, 64 in each array."""
+    bits = np.zeros((len(lows), MASK_BITS), dtype=bool)
+    bits[np.repeat(np.arange(len(lows)), [len(x) for x in lows]), np.concatenate([np.zeros(0, np.int64), *lows]) % MASK_BITS] = True
+    return list(np.packbits(bits, axis=1).view(np.int64).T)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
@@ -106,6 +118,11 @@ def least_overlap(n: int, index_k: int, tenths: int) -> int:
     return max(1, int(mean - 5 * deviation))
 
 
+def _overlap(n: str, index_k: int, percent: int) -> str:
+    """``least_overlap`` of column ``n`` in SQL."""
+    return "CASE " + " ".join(f"WHEN {n} = {k} THEN {least_overlap(k, index_k, percent)}" for k in range(index_k)) + f" ELSE {least_overlap(index_k, index_k, percent)} END"
+
+
 def listed_values(lows: DataFrame, scope: Scope, *, index_k: int, percent: int) -> DataFrame:
     """Inverted lists (value, node, members) of each class's rarest retained values; lists of one member are left out."""
     entries = lows.select("node", F.explode("low").alias("value"))
@@ -116,11 +133,8 @@ def listed_values(lows: DataFrame, scope: Scope, *, index_k: int, percent: int)
     entries = entries.join(F.broadcast(frequent.withColumnRenamed("df", "often")), "value", "left")
     told = entries.where("often is not null").select("node", "value", F.col("often").alias("df"))
     rare = entries.where("often is null").join(counts.where(F.col("df") <= limit), "value").select("node", "value", "df")
-    overlap = F.expr(
-        "CASE " + " ".join(f"WHEN n = {n} THEN {least_overlap(n, index_k, percent)}" for n in range(index_k)) + f" ELSE {least_overlap(index_k, index_k, percent)} END"
-    )
     ordered = told.union(rare).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("all"))  # index_k entries at most
-    ordered = ordered.withColumn("n", F.size("all")).withColumn("kept", F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - overlap + 1)))
+    ordered = ordered.withColumn("n", F.size("all")).withColumn("kept", F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.expr(_overlap("n", index_k, percent)) + 1)))
     kept = ordered.select("node", F.explode("kept").alias("e")).where("e.df > 1").select(F.col("e.value").alias("value"), "node")
     kept = scope.saved(kept, "kept-values")
     # others may have the value, but list rarer ones
@@ -153,8 +167,22 @@ def estimated(pairs: DataFrame, reps: DataFrame, sketch_k: int) -> DataFrame:
     return both.select(*pairs.columns, (shared / F.greatest(F.size("u"), F.lit(1))).alias("estimate"))
 
 
-def _sized(percent: int) -> str:
-    return f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}"
+#: What tells of most pairs that they can't be similar enough: the set's size, how many of its smallest values a
+#: similar set may lack, and a mask of those values.
+SIZED = ("n_shingles", "spare", "mask0", "mask1")
+
+
+def _as(end: str) -> list:
+    return [F.col(c).alias(f"{c}_{end}") for c in SIZED]
+
+
+def _fitting(percent: int) -> str:
+    """Whether sizes fit, and whether neither class lacks more of the other's smallest values than the lists allow.
+
+    Each bit that one mask has and the other lacks stands for a value that is lacking, at least.
+    """
+    lacks = lambda x, y: f"bit_count(mask0_{x} & ~mask0_{y}) + bit_count(mask1_{x} & ~mask1_{y}) <= spare_{x}"
+    return f"n_shingles_a * 100 >= n_shingles_b * {percent} and n_shingles_b * 100 >= n_shingles_a * {percent} and {lacks('a', 'b')} and {lacks('b', 'a')}"
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, *, shingle_words: int, percent: int) -> DataFrame:
@@ -231,12 +259,12 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
     Lists are cut into blocks, and each pair of blocks is compared in one task. Pairs (a, b) of short lists
     that were ``tried`` before are not estimated again.
     """
-    mixed = lists.join(_told(labels, n_listed), "node").join(_told(sized, n_listed), "node")
+    mixed = lists.join(_told(labels, n_listed), "node")
     several = mixed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("value")
     mixed = scope.saved(mixed.join(several, "value"), "mixed")
-    few = mixed.where(F.col("members") <= SHORT_LIST)
-    x, y = few.select("value", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n_shingles").alias("na")), few.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n_shingles").alias("nb"))
-    met = x.join(y, "value").where(f"a < b and la != lb and {_sized(percent)}")
+    few = mixed.where(F.col("members") <= SHORT_LIST).join(_told(sized, n_listed), "node")
+    x, y = (few.select("value", F.col("node").alias(c), F.col("label").alias(f"label_{c}"), *_as(c)) for c in "ab")
+    met = x.join(y, "value").where(f"a < b and label_a != label_b and {_fitting(percent)}")
     met = met.groupBy("a", "b").agg(F.min("value").alias("value"))
     if tried is not None:
         met = met.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -248,7 +276,7 @@ def crossing_links(lists: DataFrame, reps: DataFrame, texts: DataFrame, labels:
     columns = [c.split()[0] for c in LISTED.split(", ")]
     short = short.select(*columns[:1], here(0).alias("i"), here(0).alias("j"), here(0).alias("own"), "node", "label", "n_shingles", "sketch", F.array().cast("array<long>").alias("listed"))
 
-    mixed = mixed.where(F.col("members") > SHORT_LIST).drop("n_shingles")
+    mixed = mixed.where(F.col("members") > SHORT_LIST)
     values = mixed.groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("listed"))  # index_k at most
     mixed = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -318,12 +346,13 @@ def near_duplicates(
     sketched = scope.saved(sketch_documents(docs, shingle_words=shingle_words, sketch_k=sketch_k, index_k=index_k), "sketches")
     # one row stands for its class, whose rows all have the same set; with it the sketch is carried once
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
-    merged = sketched.where("n_shingles > 0").groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "low", "sketch")])
-    merged = scope.saved(merged.select("digest", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("node"), "n_shingles", "low", "sketch"), "merged")
+    merged = sketched.where("n_shingles > 0").groupBy("digest").agg(first, *[F.first(c).alias(c) for c in ("n_shingles", "low", "sketch", "mask0", "mask1")])
+    merged = scope.saved(merged.select("digest", "first.doc_id", "first.text_key", F.monotonically_increasing_id().alias("node"), "n_shingles", "low", "sketch", "mask0", "mask1"), "merged")
     # by what reads them and for how long: values until they are listed, sketches until links are found
     classes = scope.saved(merged.select("digest", "doc_id", "text_key", "node"), "classes")
     lows = scope.saved(merged.select("node", "low"), "lows")
-    reps = scope.saved(merged.select("node", "n_shingles", "sketch"), "representatives")
+    spare = F.expr(f"least(n_shingles, {index_k}) - {_overlap('n_shingles', index_k, percent)}").cast("int").alias("spare")
+    reps = scope.saved(merged.select("node", "n_shingles", "sketch", spare, "mask0", "mask1"), "representatives")
     sketched = scope.saved(sketched.select("doc_id", "n_shingles", "digest"), "rows")
     scope.drop("sketches", "merged")
     same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
@@ -340,7 +369,7 @@ def near_duplicates(
     deviation = (percent * (100 - percent)) ** 0.5 / 100 / sketch_k**0.5
     cut = percent / 100 - 4 * deviation
     labels = scope.saved(listed.select("node", F.col("node").alias("label")), "labels")
-    sized = scope.saved(_of(reps.select("node", "n_shingles"), labels.select("node")), "sized")
+    sized = scope.saved(_of(reps.select("node", *SIZED), labels.select("node")), "sized")
     links = tried = None
     for k in range(star_rounds):
         order = lambda c, k=k: F.xxhash64(F.lit(k), c)
@@ -351,8 +380,8 @@ def near_duplicates(
         votes = marked.join(heads, "value").where("label != other").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("votes"))
         pairs = scope.saved(votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "voted")
         tried = pairs if tried is None else tried.union(pairs)
-        na, nb = (sized.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}")) for c in "ab")
-        alike = scope.saved(pairs.join(_told(na, n_listed), "a").join(_told(nb, n_listed), "b").where(_sized(percent)).select("a", "b"), "alike")
+        at_a, at_b = (sized.select(F.col("node").alias(c), *_as(c)) for c in "ab")
+        alike = scope.saved(pairs.join(_told(at_a, n_listed), "a").join(_told(at_b, n_listed), "b").where(_fitting(percent)).select("a", "b"), "alike")
         guess = estimated(alike, reps, sketch_k).where(F.col("estimate") >= cut)
         found = scope.saved(confirmed(scope.saved(guess.select("a", "b"), "guessed"), texts, shingle_words=shingle_words, percent=percent), "star-links")
         links = found if links is None else links.union(found)

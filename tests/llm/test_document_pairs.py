@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from skein.llm import minhash
 from skein.llm.storage import Scope
 
@@ -26,3 +28,36 @@ def test_pairs_are_estimated_once_and_where_sizes_allow(spark, monkeypatch, sf_d
     assert minhash.near_duplicates(docs, shingle_words=2).count() == docs.count()
     assert rows["voted"] and not set(rows["met"]) & set(rows["voted"])
     assert set(rows["alike"]) < set(rows["voted"])
+
+
+def test_documents_that_share_a_passage_are_told_without_their_sketches(spark, monkeypatch):
+    """Groups of five share a tenth of their words, so each five have values in common; two of a group are near copies."""
+    pairs, whole = {}, Scope.saved
+
+    def saved(self, df, label):
+        out = whole(self, df, label)
+        if label in ("alike", "met"):
+            pairs.setdefault(label, set()).update((min(r.a, r.b), max(r.a, r.b)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Scope, "saved", saved)
+    rows = []
+    for g in range(40):
+        for k in range(5):
+            own = [f"w{g}x{k}x{j}" for j in range(180)]
+            rows.append((g * 10 + k, " ".join([f"s{g}x{j}" for j in range(20)] + own)))
+        rows.append((g * 10 + 5, rows[-1][1] + " one more"))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i - (i % 10 == 5) for i, _ in rows}
+    assert len(pairs["alike"] | pairs["met"]) < 60
+
+
+def test_masks_never_tell_of_more_values_than_are_lacking():
+    rng = np.random.default_rng(1)
+    for most in (60, 1_000):  # each value on a bit of its own, and some values on one bit
+        lows = [np.sort(rng.choice(most, n, replace=False)).astype(np.int64) for n in rng.integers(0, 33, 100)]
+        bits = np.stack(minhash.masks(lows)).view(np.uint64)
+        for a, x in enumerate(lows):
+            for b, y in enumerate(lows):
+                lacking, told = len(np.setdiff1d(x, y)), np.bitwise_count(bits[:, a] & ~bits[:, b]).sum()
+                assert told <= lacking and (told == lacking or most > minhash.MASK_BITS)
