@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+#: Bytes of text that are scanned at once: arrays of eight bytes a character are made from them.
+CHUNK_BYTES = 1 << 19
 #: Powers are kept by every worker as long as it lives, so as many as its longest text needs, in steps of so many.
 POWER_STEP = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)

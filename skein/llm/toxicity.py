@@ -155,20 +155,20 @@ def _numbered(table: pa.Table, own: np.ndarray) -> Rows:
     return Rows(np.concatenate(rows), np.concatenate(places), len(table))
 
 
-FITTED = "left_out int, words array<long>, weights array<double>, earlier array<double>, intercept double, held array<long>, told array<double>"
+FITTED = "left_out int, words array<int>, weights array<double>, earlier array<double>, intercept double, held array<long>, told array<double>"
 
 
 def _fit_models(rows: DataFrame, category: str, earlier: list[tuple[np.ndarray, np.ndarray]], chosen: dict[int, np.ndarray], options: dict) -> list:
     """One model for each fold left out (-1: none), each in a task: its parameters, and probabilities of the fold's rows.
 
-    ``rows`` has (row, fold, <category>, words); ``earlier`` sorted rows and probabilities of each category before.
+    ``rows`` has (row, fold, <category>, words), words as places in the vocabulary, and so has ``chosen``; ``earlier`` sorted rows and probabilities of each category before.
     """
 
     def fitted(table: pa.Table) -> pa.Table:
         left_out = table["left_out"][0].as_py()
         ids, fold = table["row"].to_numpy(), table["fold"].to_numpy()
         label = table[category].to_numpy()
-        own = chosen.get(left_out, np.zeros(0, dtype=np.int64))
+        own = chosen.get(left_out, np.zeros(0, dtype=np.int32))
         every = _numbered(table.select(["words"]), own)
         before = np.column_stack([p[np.searchsorted(i, ids)] for i, p in earlier]) if earlier else np.zeros((len(ids), 0))
         train, held = ~np.isnan(label) & (fold != left_out), fold == left_out
@@ -178,7 +178,7 @@ def _fit_models(rows: DataFrame, category: str, earlier: list[tuple[np.ndarray,
         told = probability(model, asked, before[held])
         one = lambda x, kind: pa.array([x], pa.list_(kind))
         return pa.Table.from_arrays(
-            [pa.array([left_out], pa.int32()), one(own[model.words], pa.int64()), one(model.weights, pa.float64()), one(model.earlier, pa.float64()), pa.array([model.intercept]), one(ids[held], pa.int64()), one(told, pa.float64())],
+            [pa.array([left_out], pa.int32()), one(own[model.words], pa.int32()), one(model.weights, pa.float64()), one(model.earlier, pa.float64()), pa.array([model.intercept]), one(ids[held], pa.int64()), one(told, pa.float64())],
             names=[c.split()[0] for c in FITTED.split(", ")],
         )
 
@@ -209,7 +209,9 @@ def word_rows(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterato
 def _batches_of_words(batch: pa.RecordBatch, names: list[str], vocabulary: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for lo, hi, rows in word_rows(batch["text"], vocabulary):
         bounds = np.searchsorted(rows.row, np.arange(hi - lo + 1))
-        words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows.word.view(np.int64)))
+        # of a vocabulary, places take half the memory of hashes wherever they go
+        entries = rows.word.view(np.int64) if vocabulary is None else np.searchsorted(vocabulary, rows.word).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(entries))
         yield pa.RecordBatch.from_arrays([batch[c].slice(lo, hi - lo) for c in names] + [words], names=[*names, "words"])
 
 
@@ -274,20 +276,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, sa
             found = _telling(counts, positive, total, n, n_positive, tried[f"t{i}"], max_features, least).collect()  # max_features at most
             telling[k, left_out] = np.sort(np.array([r["word"] for r in found], dtype=np.int64))
     vocabulary = np.unique(np.concatenate(list(telling.values())).view(np.uint64))
+    places = {m: np.sort(np.searchsorted(vocabulary, words.view(np.uint64))).astype(np.int32) for m, words in telling.items()}
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _batches_of_words(batch, names, vocabulary)
 
-    shape = f"row long, fold int, {', '.join(f'{c} double' for c in categories)}, words array<long>"
+    shape = f"row long, fold int, {', '.join(f'{c} double' for c in categories)}, words array<int>"
     rows = saved(sample.mapInArrow(told, shape), "labelled-words")
     chain, earlier = [], []
     for k, category in enumerate(categories):
-        models = _fit_models(rows, category, earlier, {m: telling[k, m] for j, m in models_of if j == k}, options)
+        models = _fit_models(rows, category, earlier, {m: places[k, m] for j, m in models_of if j == k}, options)
         whole = next(m for m in models if m["left_out"] == -1)
-        words = np.array(whole["words"], dtype=np.int64).view(np.uint64)
-        by_hash = np.argsort(words)
-        chain.append(Linear(words[by_hash], np.array(whole["weights"])[by_hash], np.array(whole["earlier"]), whole["intercept"]))
+        words = vocabulary[np.array(whole["words"], dtype=np.int64)]  # sorted, as places are
+        chain.append(Linear(words, np.array(whole["weights"]), np.array(whole["earlier"]), whole["intercept"]))
         if k + 1 < len(categories):
             ids = np.concatenate([np.array(m["held"], dtype=np.int64) for m in models])
             share = np.concatenate([np.array(m["told"], dtype=float) for m in models])
